@@ -41,7 +41,10 @@ class Tables:
         self.folder = folder
 
     def __getattr__(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        # Kept, as every new reader would read file footers again for the schema.
+        table = self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        setattr(self, name, table)
+        return table
 
     def tuned(self, *names: str) -> Tables:
         """Sizes the session's shuffles for the base tables a query reads."""
@@ -197,7 +200,7 @@ def count_null_keys(t: Tables) -> DataFrame:
         F.when(segment == "BUILDING", F.lit(None))
         .when(segment == "MACHINERY", F.lit(""))
         .when(segment == "FURNITURE", F.lit("\t \n"))
-        .when(segment == "HOUSEHOLD", F.lit(" "))
+        .when(segment == "HOUSEHOLD", F.lit("\u00a0"))
         .otherwise(segment)
     )
     return quality.count_null_keys(t.customer, key)

@@ -9,12 +9,18 @@ from pyspark.sql import DataFrame, SparkSession
 
 MIB = 1024 * 1024
 
-# Scanned bytes per shuffle partition. Adaptive execution merges partitions that turn
-# out small but never makes more of them, so the first number has to be high enough.
+# Row bytes scanned per shuffle partition. Adaptive execution merges partitions that
+# turn out small but never makes more of them, so the first number has to be high enough.
 BYTES_PER_PARTITION = 256 * MIB
-# Above this the number of shuffle blocks (map tasks x partitions) costs more than
-# larger partitions do; those spill.
+# Every scan task writes a block for every shuffle partition. These bounds keep the
+# blocks of a 100 TB job from becoming too many and too small; larger partitions spill.
 MAX_PARTITIONS = 50_000
+MAX_SCAN_TASKS = 200_000
+SPLIT_BYTES = (128 * MIB, 1024 * MIB)
+
+# Parquet files are a fraction of the size of the rows in them, and rows are what a
+# broadcast holds in memory.
+ROW_BYTES_PER_FILE_BYTE = 3.0
 
 SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
@@ -23,36 +29,45 @@ SETTINGS = {
     # Split a hot join partition even if the aggregate above then needs a shuffle of
     # its own; the shuffle is paid only when a hot partition was in fact found.
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
+    "spark.sql.sources.fileCompressionFactor": str(ROW_BYTES_PER_FILE_BYTE),
 }
 
 
 def scan_bytes(df: DataFrame) -> int:
-    """Spark's own estimate for a base table: the size of its files."""
+    """Spark's own estimate of the row bytes in a base table."""
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
-def partitions_for(total_bytes: int, parallelism: int) -> int:
-    """Shuffle partitions for a job that scans ``total_bytes``."""
-    by_size = -(-total_bytes // BYTES_PER_PARTITION)
+def partitions_for(row_bytes: int, parallelism: int) -> int:
+    """Shuffle partitions for a job that scans ``row_bytes``."""
+    by_size = -(-row_bytes // BYTES_PER_PARTITION)
     return max(1, parallelism, min(MAX_PARTITIONS, by_size))
 
 
+def split_bytes_for(row_bytes: int) -> int:
+    """File bytes per scan task."""
+    smallest, largest = SPLIT_BYTES
+    even = int(row_bytes / ROW_BYTES_PER_FILE_BYTE) // MAX_SCAN_TASKS
+    return min(largest, max(smallest, even))
+
+
 def tune(spark: SparkSession, *tables: DataFrame) -> None:
-    """Turn on skew handling and size shuffles for the base tables about to be read.
+    """Turn on skew handling and size tasks for the base tables about to be read.
 
-    A partition count that was set by hand is only ever raised.
+    A partition count set by hand is only ever raised, a split size set by hand is kept.
     """
     for key, value in SETTINGS.items():
         spark.conf.set(key, value)
     if not tables:
         return
-    wanted = partitions_for(
-        sum(scan_bytes(t) for t in tables), spark.sparkContext.defaultParallelism
-    )
+    row_bytes = sum(scan_bytes(t) for t in tables)
+    partitions = partitions_for(row_bytes, spark.sparkContext.defaultParallelism)
     current = int(spark.conf.get("spark.sql.shuffle.partitions"))
     spark_default = 200
-    if current == spark_default or wanted > current:
-        spark.conf.set("spark.sql.shuffle.partitions", str(wanted))
+    if current == spark_default or partitions > current:
+        spark.conf.set("spark.sql.shuffle.partitions", str(partitions))
+    if spark.conf.get("spark.sql.files.maxPartitionBytes") == f"{SPLIT_BYTES[0]}b":
+        spark.conf.set("spark.sql.files.maxPartitionBytes", f"{split_bytes_for(row_bytes)}b")
 
 
 def shared_dir(spark: SparkSession) -> str:

@@ -1,0 +1,73 @@
+import datetime as dt
+
+import pytest
+from pyspark.errors import PySparkException
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from orderloom.functions.columns import exact_sum, is_blank, period_start, strict_field
+
+
+def test_blank_is_null_or_nothing_above_a_space(spark):
+    keys = ["a", "", "b", None, "  ", "\t", "\n ", "\u00a0", " x "]
+    df = spark.createDataFrame([(k,) for k in keys], "k string")
+    found = [r.k for r in df.where(is_blank(F.col("k"))).collect()]
+    assert sorted(found, key=repr) == sorted(["", None, "  ", "\t", "\n "], key=repr)
+
+
+def test_blank_takes_any_type(spark):
+    df = spark.createDataFrame([(1,), (None,), (3,)], "k int")
+    assert df.where(is_blank(F.col("k"))).count() == 1
+
+
+@pytest.mark.parametrize("ansi", ["true", "false"])
+@pytest.mark.parametrize(
+    "kind,good,bad",
+    [
+        (T.IntegerType(), ["7", "-7", "+7"], ["7x", " 7", "7 ", "", "7.0", "99999999999"]),
+        (T.LongType(), ["99999999999"], ["1e3", "one"]),
+        (T.DoubleType(), ["1.5", "7", "1e3"], ["", "1,5", "abc"]),
+        (T.StringType(), ["", " x "], []),
+    ],
+)
+def test_strict_field(spark, conf, ansi, kind, good, bad):
+    conf({"spark.sql.ansi.enabled": ansi})
+    field = T.StructField("f", kind)
+
+    def parse(text):
+        df = spark.createDataFrame([([text],)], "cells array<string>")
+        return df.select(strict_field(F.col("cells"), 0, field)).first()[0]
+
+    for text in good:
+        assert parse(text) is not None
+    for text in bad:
+        with pytest.raises(PySparkException, match="column f: not a valid"):
+            parse(text)
+
+
+def test_missing_field_fails(spark):
+    df = spark.createDataFrame([(["1"],)], "cells array<string>")
+    with pytest.raises(PySparkException, match="field is missing"):
+        df.select(strict_field(F.col("cells"), 1, T.StructField("f", T.StringType()))).collect()
+
+
+def test_weeks_stay_whole_around_new_year(spark):
+    days = [dt.date(2024, 12, 29), dt.date(2024, 12, 30), dt.date(2025, 1, 1), dt.date(2025, 1, 5)]
+    df = spark.createDataFrame([(d,) for d in days], "d date")
+    weeks = [r[0] for r in df.select(period_start(F.col("d"), "week")).collect()]
+    assert weeks == [dt.date(2024, 12, 23)] + [dt.date(2024, 12, 30)] * 3
+    months = [r[0] for r in df.select(period_start(F.col("d"), "month")).collect()]
+    assert months == [dt.date(2024, 12, 1)] * 2 + [dt.date(2025, 1, 1)] * 2
+
+
+def test_unknown_grain(spark):
+    with pytest.raises(ValueError, match="grain"):
+        period_start(F.col("d"), "year")
+
+
+def test_exact_sum_does_not_depend_on_order(spark):
+    df = spark.range(100_000).select((F.col("id") / 100).alias("x"))
+    expected = sum(range(100_000)) / 100
+    for n in (1, 7):
+        assert df.repartition(n).agg(exact_sum(F.col("x"), 2)).first()[0] == expected
+    assert df.agg(exact_sum(F.col("x"), None)).first()[0] == pytest.approx(expected)

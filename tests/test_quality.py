@@ -1,0 +1,140 @@
+import random
+from collections import Counter
+
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
+from orderloom.operators import quality as q
+from tests.conftest import final_plan, rows
+
+
+def one(df):
+    (row,) = df.collect()
+    return row[0] if len(row) == 1 else tuple(row)
+
+
+def ints(spark, values, name="k"):
+    return spark.createDataFrame([(v,) for v in values], f"{name} int")
+
+
+def test_count_null_keys(spark):
+    df = spark.createDataFrame([(k,) for k in ["a", "", "b", None, "  "]], "k string")
+    assert one(q.count_null_keys(df, "k")) == 3
+
+
+def test_count_duplicate_keys(spark):
+    assert one(q.count_duplicate_keys(ints(spark, [1, 1, 2, 3, 3, 3]), ["k"])) == 2
+    assert one(q.count_duplicate_keys(ints(spark, [None, None, 1]), ["k"])) == 1
+    assert one(q.count_duplicate_keys(ints(spark, []), ["k"])) == 0
+
+
+def test_dedupe_keeps_one_row_per_key(spark):
+    df = spark.createDataFrame([(1, "y"), (1, "x"), (2, "z"), (None, "b"), (None, "a")], "k int, v string")
+    assert rows(q.dedupe_by_key(df, ["k"])) == sorted([(1, "x"), (2, "z"), (None, "a")], key=repr)
+
+
+def test_dedupe_by_a_stated_order(spark):
+    df = spark.createDataFrame([(1, 10, "old"), (1, 20, "new")], "k int, version int, v string")
+    assert rows(q.dedupe_by_key(df, ["k"], [df.version.desc()])) == [(1, 20, "new")]
+
+
+def test_dedupe_of_nothing_but_keys(spark):
+    assert rows(q.dedupe_by_key(ints(spark, [1, 1, 2]), ["k"])) == [(1,), (2,)]
+
+
+def test_dedupe_winner_does_not_depend_on_partitioning(spark):
+    data = [(random.Random(i).randrange(50), i % 7, str(i)) for i in range(2000)]
+    df = spark.createDataFrame(data, "k int, a int, b string")
+    results = [rows(q.dedupe_by_key(df.repartition(n), ["k"])) for n in (1, 3, 8)]
+    assert results[0] == results[1] == results[2]
+    assert results[0] == sorted(
+        (min((r for r in data if r[0] == k), key=lambda r: (r[1], r[2])) for k in {r[0] for r in data}),
+        key=repr,
+    )
+
+
+def test_dedupe_limits_copies_before_the_shuffle(spark):
+    df = spark.range(1000).selectExpr("id % 3 AS k", "id AS v")
+    plan = final_plan(q.dedupe_by_key(df, ["k"]))
+    assert plan.index("Exchange hashpartitioning") < plan.index("row_number(), 1, Partial")
+
+
+def test_distinct_keys(spark):
+    assert rows(q.distinct_keys(ints(spark, [1, 1, None, 2, None]), ["k"])) == [(1,), (2,), (None,)]
+
+
+@pytest.mark.parametrize("parents", [[1, 2, 3], [1, 2, 3, 3, 2, None]])
+def test_orphans(spark, parents):
+    parent = ints(spark, parents, "id")
+    child = ints(spark, [1, 2, 9, 4], "fk")
+    assert one(q.missing_references(child, "fk", parent, "id")) == 2
+    assert rows(q.drop_orphans(child, "fk", parent, "id")) == [(1,), (2,)]
+
+
+def test_null_foreign_key_is_an_orphan(spark):
+    parent = ints(spark, [1, None], "id")
+    child = ints(spark, [1, 1, None, None, 5], "fk")
+    assert one(q.missing_references(child, "fk", parent, "id")) == 3
+    assert rows(q.drop_orphans(child, "fk", parent, "id")) == [(1,), (1,)]
+
+
+def test_no_child_rows_and_no_parents(spark):
+    assert one(q.missing_references(ints(spark, [], "fk"), "fk", ints(spark, [1], "id"), "id")) == 0
+    assert one(q.missing_references(ints(spark, [1], "fk"), "fk", ints(spark, [], "id"), "id")) == 1
+    assert rows(q.drop_orphans(ints(spark, [1], "fk"), "fk", ints(spark, [], "id"), "id")) == []
+
+
+def test_key_and_foreign_key_may_share_a_name(spark):
+    parent, child = ints(spark, [1, 1], "id"), ints(spark, [1, 2], "id")
+    assert rows(q.drop_orphans(child, "id", parent, "id")) == [(1,)]
+    assert one(q.missing_references(child, "id", parent, "id")) == 1
+
+
+maybe_int = st.one_of(st.none(), st.integers(0, 5))
+table = st.lists(st.tuples(maybe_int, maybe_int), max_size=15)
+
+
+@settings(max_examples=12, deadline=None)
+@given(table, table)
+def test_rows_not_in_against_plain_python(spark, left, right):
+    a = spark.createDataFrame(left, "x int, y int")
+    b = spark.createDataFrame(right, "x int, y int")
+    expected = sorted((r for r in left if r not in right), key=repr)
+    assert rows(q.rows_not_in(a, b)) == expected
+    by_key = sorted((r for r in left if r[0] not in {s[0] for s in right}), key=repr)
+    assert rows(q.rows_not_in(a, b, ["x"])) == by_key
+
+
+@settings(max_examples=12, deadline=None)
+@given(st.lists(maybe_int, max_size=20), st.lists(maybe_int, max_size=8))
+def test_reference_checks_against_plain_python(spark, fks, ids):
+    child, parent = ints(spark, fks, "fk"), ints(spark, ids, "id")
+    known = {i for i in ids if i is not None}
+    assert one(q.missing_references(child, "fk", parent, "id")) == sum(f not in known for f in fks)
+    kept = sorted(((f,) for f in fks if f in known), key=repr)
+    assert rows(q.drop_orphans(child, "fk", parent, "id")) == kept
+    copies = Counter(fks)
+    assert one(q.count_duplicate_keys(child, ["fk"])) == sum(n > 1 for n in copies.values())
+
+
+def test_first_rows(spark):
+    df = spark.range(100).repartition(5)
+    assert rows(q.first_rows(df, ["id"], 3)) == [(0,), (1,), (2,)]
+
+
+def test_required_values(spark):
+    df = spark.createDataFrame(
+        [(1, 1.0, None), (None, 2.0, "x"), (3, None, "y"), (None, None, "z")],
+        "id int, price double, name string",
+    )
+    assert rows(q.drop_null_required(df, ["id", "price"])) == [(1, 1.0, None)]
+    assert one(q.count_null_required(df, ["id", "price"])) == (4, 3)
+
+
+def test_non_empty(spark):
+    full, empty = ints(spark, [1]), ints(spark, [])
+    assert rows(q.non_empty_report({"a": full, "b": empty})) == [("a", True), ("b", False)]
+    q.require_non_empty({"a": full})
+    with pytest.raises(ValueError, match="no rows in: b$"):
+        q.require_non_empty({"a": full, "b": empty})
