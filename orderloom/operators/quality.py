@@ -55,17 +55,16 @@ def distinct_keys(df: DataFrame, keys: Sequence[str]) -> DataFrame:
 def parent_keys(parent: DataFrame, key: str, name: str, unique: bool = False) -> DataFrame:
     """Non-null parent keys, one row each, in a column called ``name``.
 
-    ``unique=True`` says the parent already holds one row per key. Otherwise copies
-    are collapsed here, and grouped by the key *and* its hash on purpose: grouping by
-    the key alone leaves a partitioning the following join would reuse, which puts an
-    aggregate between join and shuffle, and adaptive execution splits hot partitions
-    of the child only where the join reads both shuffles directly. The price is one
-    more shuffle of the bare parent keys; the child is not moved again.
+    ``unique=True`` says the parent is a stored table with one row per key. Otherwise
+    copies are collapsed here, and the keys are then repartitioned by their hash on
+    purpose. Adaptive execution splits hot partitions of the child only where a join
+    reads both of its shuffles directly; a parent that is already partitioned by its
+    key, as it is after an aggregate or a deduplication, would be joined without a
+    shuffle of its own and put those operators in between. The price is one more shuffle
+    of the bare parent keys; the child is not moved again.
     """
     keys = parent.select(F.col(key).alias(name)).where(F.col(name).isNotNull())
-    if unique:
-        return keys
-    return keys.select(name, F.hash(name).alias("_hash")).distinct().select(name)
+    return keys if unique else keys.distinct().repartition(F.hash(name))
 
 
 def drop_orphans(

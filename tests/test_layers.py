@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from orderloom.__main__ import main, parse, sources_of
 from orderloom.entities import order_entities
 from orderloom.operators.sales import reconcile_revenue, sales_by_period
 from orderloom.plans.bronze import run_bronze
@@ -194,6 +195,45 @@ def test_pipeline(spark, tmp_path):
     assert again.gold_rows == run.gold_rows
 
 
+def test_job(spark, tmp_path, capsys):
+    sources, lines = write_inputs(tmp_path / "in")
+    with open(f"{sources['order_details'].path}/rest.csv", "w") as more:
+        more.write("151,999,1,1,1.0\n151,999,1,1,1.0\n")
+    args = [f"--{n.replace('_', '-')}={s.path}" for n, s in sources.items()]
+    main([*args, f"--out={tmp_path}/out"])
+    said = capsys.readouterr().out.splitlines()
+    used = sorted({int(t.split(",")[2]) for t in lines["order"][1:]})
+    assert said[:5] == [
+        "ingested region: 4 rows, 0 dropped",
+        "ingested product: 10 rows, 0 dropped",
+        "ingested order: 50 rows, 0 dropped",
+        "ingested order_details: 152 rows, 0 dropped",
+        "orders with a region: 50",
+    ]
+    assert "cleansed order_details: 152 in, 151 unique, 1 orphaned, 150 kept" in said
+    assert "rejected orderDetailId=151 order=999 product=1" in said
+    assert [t for t in said if t.startswith("region")] == [
+        f"region {r} has ordinal {i}" for i, r in enumerate(used)
+    ]
+    assert sum(t.startswith("product") for t in said) == 3
+    assert f"wrote {FACT}: 150 rows" in said
+
+
+def test_job_wants_a_connection_for_jdbc(tmp_path, capsys):
+    args = ["--order=/o", "--order-details=/d", "--out=/x", "--region=/r"]
+    with pytest.raises(SystemExit):
+        parse(args)
+    assert "--jdbc-url" in capsys.readouterr().err
+    secret = tmp_path / "password"
+    secret.write_text("hush\n")
+    parsed = parse([*args, "--jdbc-url=jdbc:x:y", "--jdbc-user=u", f"--jdbc-password-file={secret}"])
+    sources = sources_of(parsed)
+    assert {n: s.kind for n, s in sources.items()} == {
+        "order": "file", "order_details": "file", "region": "file", "product": "jdbc",
+    }
+    assert sources["product"].connection.password == "hush"
+
+
 def test_bronze_opens_all_sources_before_it_writes(spark, tmp_path):
     sources, _ = write_inputs(tmp_path / "in")
     sources["order_details"] = Source("ftp")

@@ -57,11 +57,15 @@ def is_split(plan):
     return "SortMergeJoin(skew=true)" in plan
 
 
-@pytest.mark.parametrize("unique", [True, False])
-def test_orphan_filter_splits_a_hot_key(skewed, small_partitions, unique):
+@pytest.mark.parametrize("parent", ["stored", "with copies", "deduplicated"])
+def test_orphan_filter_splits_a_hot_key(skewed, small_partitions, parent):
     details, orders = skewed
-    parents = orders if unique else orders.union(orders)
-    kept = quality.drop_orphans(details, "orderId", parents, "orderId", unique)
+    parents = {
+        "stored": orders,
+        "with copies": orders.union(orders),
+        "deduplicated": quality.dedupe_by_key(orders, ["orderId"]),
+    }[parent]
+    kept = quality.drop_orphans(details, "orderId", parents, "orderId", parent == "stored")
     result = kept.agg(F.count("orderDetailId"), F.sum("unitPrice"))
     assert is_split(final_plan(result))
     assert result.first()[0] == details.where("orderId is not null").count() == LINES * 2 // 3
@@ -71,13 +75,23 @@ def test_reference_flags_split_hot_and_null_keys(skewed, small_partitions):
     details, orders = skewed
     ids = T.StructType([T.StructField(n, T.LongType()) for n in ("orderDetailId", "orderId")])
     entity = Entity("lines", ids, ("orderDetailId",), (ForeignKey("orderId", "order", "orderId"),))
-    for unique in (True, False):
-        checked = check(entity, details, {"order": orders}, unique)
+    cleansed = quality.dedupe_by_key(orders, ["orderId"])
+    for parent, unique in ((orders, True), (orders, False), (cleansed, False)):
+        checked = check(entity, details, {"order": parent}, unique)
         counts = checked.rows.agg(F.count("unitPrice"), F.count_if(checked.is_kept()))
         assert is_split(final_plan(counts))
         assert tuple(counts.first()) == (LINES, LINES * 2 // 3)
 
 
+def test_row_difference_splits_a_hot_key(skewed, small_partitions):
+    details, orders = skewed
+    ordered = details.where("orderId <> 7 or orderId is null")
+    left = quality.rows_not_in(details, ordered, ["orderId"])
+    result = left.agg(F.count("orderDetailId"), F.sum("unitPrice"))
+    assert is_split(final_plan(result))
+    assert result.first()[0] == details.where("orderId = 7").count() >= LINES // 3
+
+
 def test_fact_join_splits_a_hot_order(skewed, small_partitions):
     details, orders = skewed
     result = sales.join_lines_orders(details, orders).agg(F.count("status"), F.sum("unitPrice"))
