@@ -21,7 +21,6 @@ from orderloom.plans.silver import reject_lines
 from orderloom.session import tune
 from orderloom.sources.jdbc import PRODUCT_QUERY, REGION_QUERY, JdbcConnection
 from orderloom.sources.spec import Source
-from orderloom.sources.text import read_body_lines
 
 JDBC = "jdbc"
 QUERIES = {"product": PRODUCT_QUERY, "region": REGION_QUERY}
@@ -90,7 +89,7 @@ def describe(spark: SparkSession, run: PipelineRun, out: str) -> list[str]:
 def main(argv: Sequence[str] | None = None) -> None:
     args = parse(argv)
     spark = SparkSession.builder.appName("orderloom").getOrCreate()
-    tune(spark, read_body_lines(spark, args.order), read_body_lines(spark, args.order_details))
+    tune(spark, spark.read.text(args.order), spark.read.text(args.order_details))
     layers = {n: f"{args.out.rstrip('/')}/{n}" for n in ("bronze", "silver", "gold")}
     run = run_pipeline(
         spark, sources_of(args), **layers, entities=order_entities(), money_scale=args.money_scale

@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 # only, so tabs and newlines need the pattern; a no-break space is not blank.
 BLANK_PATTERN = r"\A[\x00-\x20]*\z"
 
-# An integer field has no padding; a bare cast would accept ' 7 '.
+# An integer field has no padding; a cast would accept ' 7 '.
 INTEGER_PATTERN = r"\A[+-]?[0-9]+\z"
 
 GRAINS = ("day", "week", "month")
@@ -29,24 +29,19 @@ def any_null(*names: str) -> Column:
     return missing
 
 
-def strict_field(cells: Column, position: int, field: T.StructField) -> Column:
-    """One cell of a split line as ``field``'s type; a bad or missing cell fails the job.
+def field_or_null(cells: Column, position: int, field: T.StructField) -> Column:
+    """One cell of a split line as ``field``'s type; null if it is missing or no such value."""
+    return F.get(cells, F.lit(position)).try_cast(field.dataType)
 
-    The check is in the expression, not left to the cast, so the result does not
-    depend on whether the session runs in ANSI mode.
+
+def is_padded_integer(cells: Column, position: int, parsed: Column) -> Column:
+    """True where ``parsed`` came from text with padding, which the cast alone accepts.
+
+    Plainly written numbers read back as the text they came from; only the others are
+    held against the pattern, which takes far longer than the comparison.
     """
     raw = F.get(cells, F.lit(position))
-    if isinstance(field.dataType, T.StringType):
-        typed = raw
-    elif isinstance(field.dataType, T.IntegralType):
-        typed = F.when(raw.rlike(INTEGER_PATTERN), raw.try_cast(field.dataType))
-    else:
-        typed = raw.try_cast(field.dataType)
-    complaint = F.concat(
-        F.lit(f"column {field.name}: not a valid {field.dataType.simpleString()}: "),
-        F.coalesce(F.concat(F.lit("'"), raw, F.lit("'")), F.lit("field is missing")),
-    )
-    return F.coalesce(typed, F.raise_error(complaint)).alias(field.name)
+    return (raw != parsed.cast("string")) & ~raw.rlike(INTEGER_PATTERN)
 
 
 def period_start(day: Column, grain: str) -> Column:

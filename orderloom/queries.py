@@ -33,6 +33,16 @@ MONEY_SCALE = 2
 NTZ = T.TimestampNTZType()
 
 
+_schemas: dict[str, T.StructType] = {}
+
+
+def read_table(spark: SparkSession, path: str) -> DataFrame:
+    """A benchmark table, its schema taken from the footers once per process."""
+    if path not in _schemas:
+        _schemas[path] = spark.read.parquet(path).schema
+    return spark.read.schema(_schemas[path]).parquet(path)
+
+
 class Tables:
     """Benchmark tables of one folder, and the order model made of them."""
 
@@ -41,8 +51,7 @@ class Tables:
         self.folder = folder
 
     def __getattr__(self, name: str) -> DataFrame:
-        # Kept, as every new reader would read file footers again for the schema.
-        table = self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        table = read_table(self.spark, f"{self.folder}/{name}.parquet")
         setattr(self, name, table)
         return table
 

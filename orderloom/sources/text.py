@@ -13,32 +13,47 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from orderloom.functions.columns import strict_field
+from orderloom.functions.columns import any_null, field_or_null, is_padded_integer
 
 
-def header_line(spark: SparkSession, path: str) -> str:
+def header_line(text: DataFrame) -> str:
     """First line of the first file, by name, that has one.
 
-    Files are listed by the driver, as for any scan, and one line is read;
-    ``spark.read.text(path).first()`` would start with the largest file instead.
+    The list of files is the one the scan made; one line is read.
+    ``text.first()`` would start with the largest file instead.
     """
-    for uri in sorted(spark.read.text(path).inputFiles()):
-        line = spark.read.text(unquote(uri)).first()
+    files = sorted(text.inputFiles())
+    for uri in files:
+        line = text.sparkSession.read.text(unquote(uri)).first()
         if line is not None:
             return line[0]
-    raise ValueError(f"no header line: {path} has no lines")
+    raise ValueError(f"no header line: no lines in {len(files)} files")
 
 
 def read_body_lines(spark: SparkSession, path: str) -> DataFrame:
     """The lines under ``path`` that differ from the header, as column ``value``."""
-    header = header_line(spark, path)
-    return spark.read.text(path).select("value").where(F.col("value") != header)
+    text = spark.read.text(path)
+    return text.select("value").where(F.col("value") != header_line(text))
 
 
 def parse_lines(lines: DataFrame, schema: T.StructType) -> DataFrame:
-    """Lines as typed columns, by position. A bad or missing field fails the job."""
-    cells = F.split("value", ",", -1)
-    return lines.select(*[strict_field(cells, i, f) for i, f in enumerate(schema.fields)])
+    """Lines as typed columns, by position. A bad or missing field fails the job.
+
+    No column of a good line is null, so lines are tested once, not once per column,
+    whether or not the session runs in ANSI mode.
+    """
+    names = schema.names
+    cells = F.col("_cells")
+    typed = lines.select("value", F.split("value", ",", -1).alias("_cells")).select(
+        "*", *[field_or_null(cells, i, f).alias(f.name) for i, f in enumerate(schema.fields)]
+    )
+    bad = any_null(*names)
+    for i, f in enumerate(schema.fields):
+        if isinstance(f.dataType, T.IntegralType):
+            bad = bad | is_padded_integer(cells, i, F.col(f.name))
+    complaint = F.concat(F.lit(f"not a line of {schema.simpleString()}: "), F.col("value"))
+    checked = F.when(bad, F.raise_error(complaint)).otherwise(F.col(names[0]))
+    return typed.select(checked.alias(names[0]), *names[1:])
 
 
 def read_text(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:

@@ -14,7 +14,7 @@ from orderloom.sources.jdbc import (
 )
 from orderloom.sources.parquet import coerce_schema, conform, observe, read_parquet, write_parquet
 from orderloom.sources.spec import Source, read_source
-from orderloom.sources.text import header_line, read_body_lines, read_text
+from orderloom.sources.text import header_line, parse_lines, read_body_lines, read_text
 from tests.conftest import final_plan, rows
 
 REGION = order_entities()["region"].raw
@@ -35,7 +35,7 @@ def test_every_copy_of_the_header_goes(spark, tmp_path):
 def test_a_larger_file_without_header_keeps_its_first_line(spark, tmp_path):
     big = "".join(f"{i},n\n" for i in range(2, 3000))
     path = write_files(tmp_path / "in", a="id,name\n1,x\n", b=big)
-    assert header_line(spark, path) == "id,name"
+    assert header_line(spark.read.text(path)) == "id,name"
     assert read_text(spark, path, REGION).count() == 2999
 
 
@@ -63,13 +63,28 @@ def test_no_quoting_surplus_and_empty_fields(spark, tmp_path):
     assert rows(read_text(spark, path, REGION)) == [(2, '"q'), (3, ""), (4, "y"), (5, " p ")]
 
 
-@pytest.mark.parametrize("line", ["7x,a", "7", "", " 7,a", "7.0,a"])
-def test_a_bad_line_fails_the_job(spark, tmp_path, line):
+@pytest.mark.parametrize("ansi", ["true", "false"])
+@pytest.mark.parametrize(
+    "line", ["7x,a", "7", "", " 7,a", "7 ,a", "\t7,a", "7\x7f,a", "\x007,a", "7.0,a"]
+)
+def test_a_bad_line_fails_the_job(spark, tmp_path, conf, line, ansi):
+    conf({"spark.sql.ansi.enabled": ansi})
     path = write_files(tmp_path / "in", a=f"id,name\n1,x\n{line}\n2,y\n")
-    with pytest.raises(PySparkException, match="not a valid"):
+    with pytest.raises(PySparkException, match="not a line of struct<regionId:int,regionName"):
         read_text(spark, path, REGION).collect()
 
 
+def test_padding_matters_in_integer_fields_only(spark):
+    schema = order_entities()["order_details"].raw
+    def parse(*lines):
+        return rows(parse_lines(spark.createDataFrame([(x,) for x in lines], "value string"), schema))
+
+    assert parse("1,002,+3,-4, 5.5 ") == [(1, 2, 3, -4, 5.5)]
+    for line in ("1,2,3,4 ,5.5", "1, 2,3,4,5.5", "1,2,3,\x1c4,5.5"):
+        with pytest.raises(PySparkException, match="not a line of"):
+            parse("1,2,3,4,5.5", line)
+
+
 def test_coercion_by_name(spark):
     df = spark.sql("select 2.50BD as UNITPRICE, 7L as productid, 'n' as ProductName, null as category")
     out = coerce_schema(df, order_entities()["product"].raw)
