@@ -10,6 +10,7 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from orderloom.functions.columns import any_null, is_blank
 
@@ -109,16 +110,25 @@ def first_rows(df: DataFrame, order_by: Sequence[str], n: int) -> DataFrame:
     return df.orderBy(*order_by).limit(n)
 
 
+def lacks_required(df: DataFrame, required: Sequence[str]) -> Column:
+    """True where a required column is null or, as ``na.drop`` sees it, not a number."""
+    lacking = any_null(*required)
+    for name in required:
+        if isinstance(df.schema[name].dataType, (T.FloatType, T.DoubleType)):
+            lacking = lacking | F.isnan(name)
+    return lacking
+
+
 def drop_null_required(df: DataFrame, required: Sequence[str]) -> DataFrame:
     """Rows with a value in every required column."""
-    return df.na.drop(subset=list(required))
+    return df.where(~lacks_required(df, required))
 
 
 def count_null_required(df: DataFrame, required: Sequence[str]) -> DataFrame:
     """One row, ``inputRows`` and ``droppedRows``, as ``drop_null_required`` would leave out."""
     return df.agg(
         F.count(F.lit(1)).alias("inputRows"),
-        F.count_if(any_null(*required)).alias("droppedRows"),
+        F.count_if(lacks_required(df, required)).alias("droppedRows"),
     )
 
 

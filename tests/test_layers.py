@@ -195,6 +195,14 @@ def test_pipeline(spark, tmp_path):
     assert again.gold_rows == run.gold_rows
 
 
+def test_text_may_say_that_a_price_is_no_number(spark, tmp_path):
+    sources, _ = write_inputs(tmp_path / "in")
+    with open(f"{sources['product'].path}/part.csv", "a") as text:
+        text.write("11,Product_11,Toys,NaN\n")
+    counts = {c.entity: c for c in run_bronze(spark, sources, ENTITIES, f"{tmp_path}/bronze")}
+    assert (counts["product"].written, counts["product"].dropped) == (11, 0)
+
+
 def test_job(spark, tmp_path, capsys):
     sources, lines = write_inputs(tmp_path / "in")
     with open(f"{sources['order_details'].path}/rest.csv", "w") as more:

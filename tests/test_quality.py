@@ -125,11 +125,13 @@ def test_first_rows(spark):
 
 def test_required_values(spark):
     df = spark.createDataFrame(
-        [(1, 1.0, None), (None, 2.0, "x"), (3, None, "y"), (None, None, "z")],
+        [(1, 1.0, None), (None, 2.0, "x"), (3, None, "y"), (None, None, "z"), (5, float("nan"), "n")],
         "id int, price double, name string",
     )
     assert rows(q.drop_null_required(df, ["id", "price"])) == [(1, 1.0, None)]
-    assert one(q.count_null_required(df, ["id", "price"])) == (4, 3)
+    assert one(q.count_null_required(df, ["id", "price"])) == (5, 4)
+    assert rows(q.drop_null_required(df, ["id", "price"])) == rows(df.na.drop(subset=["id", "price"]))
+    assert q.drop_null_required(df, []).count() == 5
 
 
 def test_non_empty(spark):
