@@ -1,0 +1,116 @@
+"""The whole pipeline on dirty random text, against loops in plain Python."""
+
+import datetime as dt
+import random
+from collections import defaultdict
+
+import pytest
+from pyspark.sql import functions as F
+
+from orderloom.operators.sales import sales_by_period
+from orderloom.plans.gold import DAILY_SALES, FACT
+from orderloom.plans.pipeline import run_pipeline
+from orderloom.sources.spec import Source
+from tests.conftest import rows
+
+
+def first_by_key(table):
+    """Rows are tuples with the key in front; the smallest rest wins."""
+    best = {}
+    for row in table:
+        if row[0] not in best or row < best[row[0]]:
+            best[row[0]] = row
+    return list(best.values())
+
+
+def timestamp(text):
+    try:
+        return dt.datetime.fromisoformat(text)
+    except ValueError:
+        return None
+
+
+def dirty_tables(rng):
+    regions = [(i, rng.choice(("North", "South"))) for i in range(6)] + [(2, "Zenith"), (3, "")]
+    products = [(i, f"P{i}", rng.choice(("Home", "")), rng.randrange(999) / 100) for i in range(15)]
+    products += rng.sample(products, 3)
+    orders = [
+        (
+            rng.randrange(120),
+            rng.choice((f"2024-{rng.randrange(1, 4):02d}-{rng.randrange(1, 29):02d}T23:59:59", "junk")),
+            rng.randrange(8),
+            rng.randrange(40),
+            rng.choice(("NEW", "CANCELLED")),
+        )
+        for _ in range(150)
+    ]
+    details = [
+        (
+            rng.randrange(700),
+            # One order has a third of the lines.
+            rng.choice((7, rng.randrange(140), rng.randrange(140))),
+            rng.randrange(17),
+            rng.randrange(10),
+            rng.randrange(9999) / 100,
+        )
+        for _ in range(900)
+    ]
+    return {"region": regions, "product": products, "order": orders, "order_details": details}
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_pipeline_against_loops(spark, tmp_path, seed):
+    tables = dirty_tables(random.Random(seed))
+    sources = {}
+    for name, table in tables.items():
+        folder = tmp_path / "in" / name
+        folder.mkdir(parents=True)
+        text = [",".join(str(v) for v in row) + "\n" for row in table]
+        half = len(text) // 2
+        (folder / "a.csv").write_text("h\n" + "".join(text[:half]))
+        (folder / "b.csv").write_text("h\n" + "".join(text[half:]))
+        sources[name] = Source("file", path=str(folder))
+    out = {layer: f"{tmp_path}/{layer}" for layer in ("bronze", "silver", "gold")}
+    run = run_pipeline(spark, sources, **out, money_scale=2)
+
+    region, product, order, details = (first_by_key(tables[n]) for n in tables)
+    names, catalog = dict(region), {p[0]: p for p in product}
+    kept_orders = [o for o in order if o[2] in names]
+    by_id = {o[0]: o for o in kept_orders}
+    kept = [d for d in details if d[1] in by_id and d[2] in catalog]
+
+    silver_orders = [(o[0], timestamp(o[1]), *o[2:]) for o in kept_orders]
+    assert rows(spark.read.parquet(f"{out['silver']}/order")) == sorted(silver_orders, key=repr)
+    assert rows(spark.read.parquet(f"{out['silver']}/order_details")) == sorted(kept, key=repr)
+    rejected = sorted((d for d in details if d not in kept), key=repr)
+    assert rows(run.cleansed.rejects["order_details"]) == rejected
+    sample = run.cleansed.sample("order_details", ("orderDetailId",))
+    assert [r[0] for r in sample.collect()] == sorted(d[0] for d in rejected)[:20]
+
+    groups = defaultdict(lambda: [0, 0, set()])
+    for d in kept:
+        o = by_id[d[1]]
+        ts = timestamp(o[1])
+        for grain, day in (
+            ("day", ts and ts.date()),
+            ("week", ts and ts.date() - dt.timedelta(days=ts.weekday())),
+            ("month", ts and ts.date().replace(day=1)),
+        ):
+            group = groups[grain, day, o[2], names[o[2]], d[2], catalog[d[2]][1]]
+            group[0] += d[3] * round(d[4] * 100)
+            group[1] += d[3]
+            group[2].add(d[1])
+
+    def expected(grain):
+        return sorted(
+            ((*k[1:], g[0] / 100, g[1], len(g[2])) for k, g in groups.items() if k[0] == grain),
+            key=repr,
+        )
+
+    fact = spark.read.parquet(f"{out['gold']}/{FACT}")
+    assert fact.count() == len(kept)
+    assert fact.where(F.col("lineRevenue") != F.col("quantity") * F.col("unitPrice")).isEmpty()
+    assert rows(spark.read.parquet(f"{out['gold']}/{DAILY_SALES}")) == expected("day")
+    dims = [spark.read.parquet(f"{out['silver']}/{n}") for n in ("product", "region")]
+    for grain in ("week", "month"):
+        assert rows(sales_by_period(fact, *dims, grain, 2)) == expected(grain)

@@ -10,6 +10,7 @@ from orderloom import session
 from orderloom.entities import Entity, ForeignKey
 from orderloom.operators import quality, sales
 from orderloom.plans.silver import check
+from orderloom.sources.parquet import observe, write_parquet
 from tests.conftest import final_plan
 
 DATA = "/root/testdata/sf0.001"
@@ -111,6 +112,13 @@ def test_sales_totals_split_a_hot_order(spark, skewed, small_partitions):
     assert result.first()[1] == known.select("orderId", "productId").distinct().count()
 
 
+def test_counts_taken_while_writing_survive_a_split(spark, skewed, small_partitions, tmp_path):
+    lines, seen = observe(sales.join_lines_orders(*skewed), {"all": F.count(F.lit(1))})
+    written = write_parquet(lines.where("quantity > 0"), str(tmp_path / "out"))
+    assert seen.get["all"] == LINES * 2 // 3
+    assert written == spark.read.parquet(str(tmp_path / "out")).count() < LINES * 2 // 3
+
+
 def test_missing_references_shuffles_counts_only(skewed, small_partitions):
     details, orders = skewed
     result = quality.missing_references(details, "orderId", orders, "orderId")
