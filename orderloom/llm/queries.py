@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from orderloom.llm.bpe import bpe_round_trip
 from orderloom.llm.sharding import proportional_shards
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -16,6 +18,11 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def op3_bpe(spark: SparkSession, folder: str) -> DataFrame:
+    vocabulary = public_tokenizers.path("byte_bpe_50k.json")
+    return bpe_round_trip(table(spark, folder, "documents"), vocabulary)
+
+
 def op7_sharding(spark: SparkSession, folder: str) -> DataFrame:
     placed = proportional_shards(table(spark, folder, "documents"))
     return placed.select(
@@ -25,5 +32,6 @@ def op7_sharding(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op3_bpe": op3_bpe,
     "op7_sharding": op7_sharding,
 }

@@ -127,8 +127,11 @@ def _ranked(rows: DataFrame, group: list[str], order: tuple[str, ...]) -> DataFr
         *group, "_cell", F.coalesce(F.sum("_in_cell").over(before), F.lit(0)).alias("_start")
     )
     inside = F.row_number().over(Window.partitionBy(*group, "_cell").orderBy(*order)) - 1
+    # Dealt out by cell on purpose: rows that a join left partitioned by their source alone
+    # would also do for the window, and put a whole source into one task.
     return (
-        rows.withColumn("_inside", inside)
+        rows.repartition(*group, "_cell")
+        .withColumn("_inside", inside)
         .join(starts, [*group, "_cell"])
         .withColumn("_rank", (F.col("_start") + F.col("_inside")).cast("bigint"))
         .drop("_start", "_inside", "_cell")
