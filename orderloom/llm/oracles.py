@@ -2,4 +2,25 @@
 
 from __future__ import annotations
 
-ORACLES: dict[str, str] = {}
+ARCHIVED = """
+WITH payloads AS (
+    SELECT page_id, url, coalesce(html, '') AS payload FROM pages
+),
+records AS (
+    SELECT page_id, coalesce(url, '') AS url, strlen(payload) AS payload_bytes,
+           sha1(payload) AS payload_digest,
+           CASE WHEN strlen(payload) >= 1000
+                THEN max(page_id) OVER (PARTITION BY payload) END AS first_page
+    FROM payloads
+)
+SELECT page_id, payload_bytes, payload_digest,
+       CASE WHEN first_page IS NULL OR first_page = page_id THEN 'response' ELSE 'revisit' END
+           AS record_type,
+       CASE WHEN first_page <> page_id THEN first_page END AS refers_to,
+       url
+FROM records
+"""
+
+ORACLES: dict[str, str] = {
+    "op2_warc": ARCHIVED,
+}

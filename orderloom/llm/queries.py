@@ -9,7 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from orderloom.llm.bpe import bpe_round_trip
+from orderloom.llm.ngram_join import ngram_components
+from orderloom.llm.quality_rules import STATISTICS, learn_rules, score_quality
 from orderloom.llm.sharding import proportional_shards
+from orderloom.llm.url_filter import filter_urls, mine_rules
+from orderloom.llm.warc import archive_pages
+from orderloom.session import staging_path
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -18,11 +23,30 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def op1_ngram_join(spark: SparkSession, folder: str) -> DataFrame:
+    placed = ngram_components(table(spark, folder, "documents"), n=3, percent=90)
+    return placed.select("doc_id", "n_shingles", "component_id")
+
+
+def op2_warc(spark: SparkSession, folder: str) -> DataFrame:
+    archived = archive_pages(table(spark, folder, "pages"), staging_path(spark, "archives"))
+    return archived.select(
+        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url"
+    )
+
+
 def op3_bpe(spark: SparkSession, folder: str) -> DataFrame:
     vocabulary = public_tokenizers.path("byte_bpe_50k.json")
     return bpe_round_trip(table(spark, folder, "documents"), vocabulary)
 
 
+def op6_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    rules = learn_rules(docs, table(spark, folder, "labels"))
+    scored = score_quality(docs.select("doc_id", "text"), rules)
+    return scored.select("doc_id", *STATISTICS, "base_failed", "kept", "reason")
+
+
 def op7_sharding(spark: SparkSession, folder: str) -> DataFrame:
     placed = proportional_shards(table(spark, folder, "documents"))
     return placed.select(
@@ -31,7 +55,16 @@ def op7_sharding(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op10_url_filter(spark: SparkSession, folder: str) -> DataFrame:
+    pages = table(spark, folder, "pages")
+    return filter_urls(pages, mine_rules(pages, table(spark, folder, "labels")))
+
+
 QUERIES: dict[str, Query] = {
+    "op1_ngram_join": op1_ngram_join,
+    "op2_warc": op2_warc,
     "op3_bpe": op3_bpe,
+    "op6_quality_rules": op6_quality_rules,
     "op7_sharding": op7_sharding,
+    "op10_url_filter": op10_url_filter,
 }
