@@ -29,7 +29,7 @@ FEATURES = {
     "dup_lines_per_word": lambda _: F.col("n_dup_lines") / F.greatest("n_words", F.lit(1)),
     "repeat_share": lambda _: F.col("n_repeat_words") / F.greatest("n_words", F.lit(1)),
 }
-#: Cut points are these quantiles of the labelled rows, finer towards both ends.
+#: Cut points lie between these quantiles of the labelled rows, finer towards both ends.
 QUANTILES = (0.005, 0.01, 0.02, 0.05, *(i / 20 for i in range(2, 19)), 0.95, 0.98, 0.99, 0.995)
 
 MIN_WORDS = 50
@@ -74,7 +74,11 @@ def with_statistics(docs: DataFrame, text: str = "text") -> DataFrame:
             ).otherwise(F.array().cast("array<bigint>")),
         }
     )
-    return _with_repeats(step).drop("_q_text", "_q_words", "_q_lines", "_q_grams")
+    step = _with_repeats(step)
+    # Each row generates one row of statistics. Filters on them stop here; pushed further
+    # down they would repeat the expressions they are made of, over and over.
+    own = [F.col(f"`{c}`") for c in docs.columns if c not in STATISTICS]
+    return step.select(*own, F.inline(F.array(F.struct(*STATISTICS))))
 
 
 def _with_repeats(step: DataFrame) -> DataFrame:
@@ -124,7 +128,7 @@ def _with_repeats(step: DataFrame) -> DataFrame:
         "_q_at", lambda x, i: F.least(F.lit(3), F.coalesce(F.get("_q_at", i + 1) - x, F.lit(3)))
     )
     total = F.aggregate(covered, F.lit(0).cast("bigint"), lambda a, x: a + x)
-    return step.withColumn("n_repeat_words", total).drop("_q_packed", "_q_pairs", "_q_at")
+    return step.withColumn("n_repeat_words", total)
 
 
 def base_failed() -> Column:
@@ -259,7 +263,9 @@ def _cut_points(rows: DataFrame) -> dict[str, list[float]]:
     found = rows.agg(
         *[F.percentile_approx(n, list(QUANTILES), 10_000).alias(n) for n in FEATURES]
     ).first()
-    return {n: sorted(set(found[n] or [])) for n in FEATURES}
+    # Half way between values that occur, so that a rule keeps its distance from both.
+    values = {n: sorted(set(found[n] or [])) for n in FEATURES}
+    return {n: [(a + b) / 2 for a, b in zip(v, v[1:])] for n, v in values.items()}
 
 
 def _grow(
@@ -278,18 +284,9 @@ def _best_condition(
     rows: DataFrame, cuts: dict[str, list[float]], min_support: int
 ) -> Condition | None:
     """The test with the highest information gain, from bin counts of one pass."""
-    binned = F.array(
-        *[
-            F.struct(
-                F.lit(n).alias("feature"),
-                F.size(
-                    F.filter(F.array(*map(F.lit, cuts[n])), lambda c, n=n: F.col(n) > c)
-                ).alias("bin"),
-            )
-            for n in FEATURES
-            if cuts[n]
-        ]
-    )
+    binned = F.array(*[_cell(name, cuts[name]) for name in FEATURES if cuts[name]])
+    if not any(cuts.values()):
+        return None
     counted = (
         rows.select("_bad", F.explode(binned).alias("_cell"))
         .groupBy("_cell.feature", "_cell.bin")
@@ -312,6 +309,12 @@ def _best_condition(
     return best
 
 
+def _cell(feature: str, cuts: list[float]) -> Column:
+    """A feature's name and the number of its cut points below a row's value."""
+    below = F.filter(F.array(*map(F.lit, cuts)), lambda cut: F.col(feature) > cut)
+    return F.struct(F.lit(feature).alias("feature"), F.size(below).alias("bin"))
+
+
 def _prune(rows: DataFrame, conditions: list[Condition]) -> Rule | None:
     """The prefix of the rule that separates held-back rows best."""
     if not conditions:
