@@ -12,6 +12,7 @@ from orderloom.llm.bpe import bpe_round_trip
 from orderloom.llm.ngram_join import ngram_components
 from orderloom.llm.quality_rules import STATISTICS, learn_rules, score_quality
 from orderloom.llm.sharding import proportional_shards
+from orderloom.llm.toxicity import fit_toxicity, held_out, score_toxicity
 from orderloom.llm.url_filter import filter_urls, mine_rules
 from orderloom.llm.warc import archive_pages
 from orderloom.session import staging_path
@@ -40,6 +41,15 @@ def op3_bpe(spark: SparkSession, folder: str) -> DataFrame:
     return bpe_round_trip(table(spark, folder, "documents"), vocabulary)
 
 
+def op4_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    model = fit_toxicity(docs, table(spark, folder, "labels"))
+    return score_toxicity(docs, model).select(
+        "doc_id", held_out("doc_id").alias("held_out"), "score",
+        (F.col("score") >= 0.3).cast("int").alias("predicted"), "threshold", "toxic",
+    )
+
+
 def op6_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
     rules = learn_rules(docs, table(spark, folder, "labels"))
@@ -64,6 +74,7 @@ QUERIES: dict[str, Query] = {
     "op1_ngram_join": op1_ngram_join,
     "op2_warc": op2_warc,
     "op3_bpe": op3_bpe,
+    "op4_toxicity": op4_toxicity,
     "op6_quality_rules": op6_quality_rules,
     "op7_sharding": op7_sharding,
     "op10_url_filter": op10_url_filter,
