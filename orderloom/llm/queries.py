@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from orderloom.llm.bpe import bpe_round_trip
+from orderloom.llm.decontaminate import contaminated_pairs
 from orderloom.llm.ngram_join import ngram_components
 from orderloom.llm.quality_rules import STATISTICS, learn_rules, score_quality
 from orderloom.llm.sharding import proportional_shards
@@ -65,6 +66,10 @@ def op7_sharding(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op9_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
+    return contaminated_pairs(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
 def op10_url_filter(spark: SparkSession, folder: str) -> DataFrame:
     pages = table(spark, folder, "pages")
     return filter_urls(pages, mine_rules(pages, table(spark, folder, "labels")))
@@ -77,5 +82,6 @@ QUERIES: dict[str, Query] = {
     "op4_toxicity": op4_toxicity,
     "op6_quality_rules": op6_quality_rules,
     "op7_sharding": op7_sharding,
+    "op9_decontaminate": op9_decontaminate,
     "op10_url_filter": op10_url_filter,
 }
