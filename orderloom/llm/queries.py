@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from orderloom.llm.bpe import bpe_round_trip
 from orderloom.llm.decontaminate import contaminated_pairs
+from orderloom.llm.html_text import extract_text
 from orderloom.llm.ngram_join import ngram_components
 from orderloom.llm.quality_rules import STATISTICS, learn_rules, score_quality
 from orderloom.llm.sharding import proportional_shards
@@ -66,6 +67,10 @@ def op7_sharding(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op8_html_text(spark: SparkSession, folder: str) -> DataFrame:
+    return extract_text(table(spark, folder, "pages"))
+
+
 def op9_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
     return contaminated_pairs(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
 
@@ -82,6 +87,7 @@ QUERIES: dict[str, Query] = {
     "op4_toxicity": op4_toxicity,
     "op6_quality_rules": op6_quality_rules,
     "op7_sharding": op7_sharding,
+    "op8_html_text": op8_html_text,
     "op9_decontaminate": op9_decontaminate,
     "op10_url_filter": op10_url_filter,
 }
