@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from orderloom.llm.bpe import bpe_round_trip
 from orderloom.llm.decontaminate import contaminated_pairs
 from orderloom.llm.html_text import extract_text
+from orderloom.llm.line_dedup import dedup_lines
 from orderloom.llm.ngram_join import ngram_components
 from orderloom.llm.quality_rules import STATISTICS, learn_rules, score_quality
 from orderloom.llm.sharding import proportional_shards
@@ -52,6 +53,11 @@ def op4_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op5_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    return dedup_lines(docs).select("doc_id", "n_lines", "n_dropped", "text")
+
+
 def op6_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
     rules = learn_rules(docs, table(spark, folder, "labels"))
@@ -85,6 +91,7 @@ QUERIES: dict[str, Query] = {
     "op2_warc": op2_warc,
     "op3_bpe": op3_bpe,
     "op4_toxicity": op4_toxicity,
+    "op5_line_dedup": op5_line_dedup,
     "op6_quality_rules": op6_quality_rules,
     "op7_sharding": op7_sharding,
     "op8_html_text": op8_html_text,
