@@ -262,13 +262,17 @@ def bpe_decode(
 
 
 def bpe_round_trip(
-    docs: DataFrame, vocabulary: str, row_id: str = "doc_id", text: str = "text"
+    docs: DataFrame,
+    vocabulary: str,
+    row_id: str = "doc_id",
+    text: str = "text",
+    with_ids: bool = False,
 ) -> DataFrame:
     """Encodes and decodes in one pass over the texts, and keeps digests of both.
 
     Returns ``row_id``, ``n_tokens``, ``ids_sha256`` (of the ids as little-endian unsigned
-    32-bit integers) and ``decoded_sha256`` (of the decoded text in UTF-8). Edge cases as
-    in ``bpe_encode``.
+    32-bit integers) and ``decoded_sha256`` (of the decoded text in UTF-8), and the ``ids``
+    themselves if asked for. Edge cases as in ``bpe_encode``.
     """
 
     def digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -280,11 +284,13 @@ def bpe_round_trip(
                 pa.array([sha256(x.astype("<u4").tobytes()).hexdigest() for x in ids]),
                 pa.array([sha256(t.encode()).hexdigest() for t in batch.column(2).to_pylist()]),
             ]
-            yield pa.RecordBatch.from_arrays(
-                columns, ["id", "n_tokens", "ids_sha256", "decoded_sha256"]
-            )
+            names = ["id", "n_tokens", "ids_sha256", "decoded_sha256"]
+            if with_ids:
+                columns, names = [*columns, batch.column(1)], [*names, "ids"]
+            yield pa.RecordBatch.from_arrays(columns, names)
 
     rows, kind = _pair(docs, row_id, text)
+    schema = f"id {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string"
     return rows.mapInArrow(
-        digests, f"id {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string"
+        digests, schema + (", ids array<int>" if with_ids else "")
     ).withColumnRenamed("id", row_id)
