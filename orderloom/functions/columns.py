@@ -55,13 +55,38 @@ def period_start(day: Column, grain: str) -> Column:
     return day if grain == "day" else F.trunc(day, grain)
 
 
+# Digits of a single amount; a sum of decimals has ten more, room for 10^10 such amounts.
+AMOUNT_DIGITS = 28
+
+
+def exact_amount(amount: Column, scale: int) -> Column:
+    """``amount`` rounded to a decimal; one too large for it fails the job in any mode.
+
+    A number that is none (NaN) becomes null.
+    """
+    rounded = amount.try_cast(T.DecimalType(AMOUNT_DIGITS, scale))
+    lost = amount.isNotNull() & rounded.isNull() & ~F.isnan(amount.cast("double"))
+    too_large = F.raise_error(F.concat(F.lit("amount too large to add: "), amount.cast("string")))
+    return F.when(lost, too_large.cast(T.DecimalType(AMOUNT_DIGITS, scale))).otherwise(rounded)
+
+
+def exact_total(amount: Column, scale: int) -> Column:
+    """Sum of amounts as a decimal, each rounded to ``scale``; too large a sum fails the job."""
+    addend = exact_amount(amount, scale)
+    total = F.sum(addend)
+    overflow = F.raise_error(F.lit("sum of amounts is too large")).cast(T.DecimalType(38, scale))
+    return F.when(F.count(addend) == 0, F.lit(None)).when(total.isNull(), overflow).otherwise(total)
+
+
 def exact_sum(amount: Column, scale: int | None) -> Column:
     """Sum of money as double.
 
     ``scale=None`` adds doubles, so the last bits depend on the order of addition.
     With a scale every amount is rounded to it and added as a decimal: the same
-    total on any cluster, partitioning or retry.
+    total on any cluster, partitioning or retry. A NaN makes the sum NaN either way.
     """
     if scale is None:
         return F.sum(amount)
-    return F.sum(amount.cast(T.DecimalType(18, scale))).cast("double")
+    return F.when(F.bool_or(F.isnan(amount.cast("double"))), F.lit(float("nan"))).otherwise(
+        exact_total(amount, scale).cast("double")
+    )

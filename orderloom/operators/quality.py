@@ -57,15 +57,22 @@ def parent_keys(parent: DataFrame, key: str, name: str, unique: bool = False) ->
     """Non-null parent keys, one row each, in a column called ``name``.
 
     ``unique=True`` says the parent is a stored table with one row per key. Otherwise
-    copies are collapsed here, and the keys are then repartitioned by their hash on
-    purpose. Adaptive execution splits hot partitions of the child only where a join
-    reads both of its shuffles directly; a parent that is already partitioned by its
-    key, as it is after an aggregate or a deduplication, would be joined without a
-    shuffle of its own and put those operators in between. The price is one more shuffle
-    of the bare parent keys; the child is not moved again.
+    copies are collapsed here, and the keys are dealt out once more, see ``dealt_out``: two
+    shuffles of the bare parent keys besides that of the join.
     """
     keys = parent.select(F.col(key).alias(name)).where(F.col(name).isNotNull())
-    return keys if unique else keys.distinct().repartition(F.hash(name))
+    return keys if unique else dealt_out(keys.distinct(), name)
+
+
+def dealt_out(keys: DataFrame, name: str) -> DataFrame:
+    """``keys`` repartitioned by a hash of their own, so that a join shuffles them itself.
+
+    Adaptive execution splits hot partitions of the child only where a join reads both of
+    its shuffles directly. Keys that are already partitioned, as they are after an
+    aggregate or a deduplication, would be joined without a shuffle of their own and put those
+    operators in between. The child is not moved again.
+    """
+    return keys.repartition(F.hash(name))
 
 
 def drop_orphans(
@@ -74,9 +81,12 @@ def drop_orphans(
     """Child rows whose foreign key exists in the parent; a null key does not.
 
     No hint: Spark broadcasts the keys if their size allows it, before or during the
-    run, and else sort-merges, splitting hot child keys over several tasks.
+    run, and else sort-merges, splitting hot child keys over several tasks. Copies of parent
+    keys do no harm here and are not collapsed; a parent that is not ``unique`` costs one more
+    shuffle of its bare keys.
     """
-    return child.join(parent_keys(parent, key, fk, unique), fk, "left_semi")
+    keys = parent.select(F.col(key).alias(fk)).where(F.col(fk).isNotNull())
+    return child.join(keys if unique else dealt_out(keys, fk), fk, "left_semi")
 
 
 def missing_references(child: DataFrame, fk: str, parent: DataFrame, key: str) -> DataFrame:
@@ -91,14 +101,18 @@ def missing_references(child: DataFrame, fk: str, parent: DataFrame, key: str) -
     return absent.agg(F.coalesce(F.sum("rows"), F.lit(0)).cast("bigint").alias("missing"))
 
 
-def rows_not_in(df: DataFrame, other: DataFrame, keys: Sequence[str] | None = None) -> DataFrame:
+def rows_not_in(
+    df: DataFrame, other: DataFrame, keys: Sequence[str] | None = None, unique: bool = False
+) -> DataFrame:
     """Rows of ``df`` with no equal in ``other``, by ``keys`` or by all columns.
 
     Every copy of a matching row goes and copies of the others stay, which neither
-    EXCEPT nor EXCEPT ALL does. Nulls equal nulls.
+    EXCEPT nor EXCEPT ALL does. Nulls equal nulls. ``unique=True`` says that ``other`` has
+    one row per key, which saves collapsing its copies before they are shuffled.
     """
     names = list(keys) if keys is not None else df.columns
-    right = other.select(*[F.col(n).alias(f"_other_{i}") for i, n in enumerate(names)]).distinct()
+    right = other.select(*[F.col(n).alias(f"_other_{i}") for i, n in enumerate(names)])
+    right = right if unique else right.distinct()
     matches = F.lit(True)
     for i, n in enumerate(names):
         matches = matches & F.col(n).eqNullSafe(F.col(f"_other_{i}"))
@@ -134,17 +148,18 @@ def count_null_required(df: DataFrame, required: Sequence[str]) -> DataFrame:
 
 def non_empty_report(tables: Mapping[str, DataFrame]) -> DataFrame:
     """One row per table: ``entity`` and whether it has at least one row."""
-    report = None
-    for name, df in tables.items():
-        # An existence test: one row of a table answers it.
-        row = df.limit(1).agg((F.count(F.lit(1)) > 0).alias("nonEmpty"))
-        row = row.select(F.lit(name).alias("entity"), "nonEmpty")
-        report = row if report is None else report.unionByName(row)
-    return report
+    first = next(iter(tables.values()))
+    found = [(name, has_rows(df)) for name, df in tables.items()]
+    return first.sparkSession.createDataFrame(found, "entity string, nonEmpty boolean")
+
+
+def has_rows(df: DataFrame) -> bool:
+    """Looks at one partition, and at more only if it is empty."""
+    return bool(df.take(1))
 
 
 def require_non_empty(tables: Mapping[str, DataFrame]) -> None:
     """Raise ValueError that names the empty tables, if there are any."""
-    empty = [name for name, df in tables.items() if df.isEmpty()]
+    empty = [name for name, df in tables.items() if not has_rows(df)]
     if empty:
         raise ValueError(f"no rows in: {', '.join(empty)}")

@@ -9,10 +9,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from orderloom.functions.columns import exact_sum, period_start
+from orderloom.functions.columns import exact_sum, exact_total, period_start
 
+# The columns of the fact, by name and in order.
 FACT_COLUMNS = (
     "orderDetailId", "orderId", "productId", "regionId", "quantity", "unitPrice",
     "lineRevenue", "productName", "category", "catalogUnitPrice", "regionName",
@@ -21,9 +21,13 @@ FACT_COLUMNS = (
 
 PERIOD_NAMES = {"day": "orderDate", "week": "weekStart", "month": "monthStart"}
 
-# A product's list price plus ten percent.
+# Fixed value: a product's list price plus ten percent.
 MARKUP = 1.1
 
+# Decimals of the amounts that are added; finer than any currency, so that rounding a
+# product of doubles only takes off its binary tail.
+MONEY_SCALE = 6
+
 
 def with_line_revenue(details: DataFrame) -> DataFrame:
     """Adds ``lineRevenue``: quantity times the price on the line, not in the catalog."""
@@ -73,7 +77,7 @@ def sales_by_period(
     products: DataFrame,
     regions: DataFrame,
     grain: str = "day",
-    money_scale: int | None = None,
+    money_scale: int | None = MONEY_SCALE,
 ) -> DataFrame:
     """Revenue, quantity and number of orders per period, region and product.
 
@@ -110,18 +114,25 @@ def marked_up_prices(products: DataFrame) -> DataFrame:
 
 
 def reconcile_revenue(
-    fact: DataFrame, totals: DataFrame, details: DataFrame, tolerance: float = 1e-6
+    fact: DataFrame,
+    totals: DataFrame,
+    details: DataFrame,
+    scale: int = MONEY_SCALE,
+    tolerance: float = 1e-6,
 ) -> DataFrame:
     """One row that compares the fact with its totals and with the order lines.
 
-    The one-row sums are stacked and folded; no join is needed. Money is added as
-    decimals, since 1e-6 is out of reach for sums of very many doubles.
+    The one-row sums are stacked and folded; no join is needed. ``scale`` is the one that the
+    totals were added with: both sides then add the same rounded amounts, as decimals, and
+    are compared as decimals. Totals are stored as doubles, so half a unit in the last place of
+    each is allowed besides ``tolerance``.
     """
 
     def side(df: DataFrame, name: str, revenue: str | None) -> DataFrame:
-        amount = F.col(revenue) if revenue else F.lit(None)
+        amount = F.col(revenue) if revenue else F.lit(None).cast("double")
         return df.agg(
-            F.sum(amount.cast(T.DecimalType(28, 6))).cast("double").alias("revenue"),
+            exact_total(amount, scale).alias("revenue"),
+            F.sum(F.abs(amount)).alias("size"),
             F.count(F.lit(1)).alias("rows"),
         ).withColumn("side", F.lit(name))
 
@@ -136,10 +147,16 @@ def reconcile_revenue(
     folded = sides.agg(
         pick("fact", "rows").alias("factRows"),
         pick("details", "rows").alias("detailRows"),
-        F.coalesce(pick("fact", "revenue"), F.lit(0.0)).alias("factRevenue"),
-        F.coalesce(pick("totals", "revenue"), F.lit(0.0)).alias("totalRevenue"),
+        F.coalesce(pick("fact", "revenue"), F.lit(0)).alias("factRevenue"),
+        F.coalesce(pick("totals", "revenue"), F.lit(0)).alias("totalRevenue"),
+        (tolerance + F.coalesce(pick("totals", "size"), F.lit(0.0)) / 2**53).alias("_allowed"),
     )
-    agrees = (F.col("factRows") == F.col("detailRows")) & (
-        F.abs(F.col("factRevenue") - F.col("totalRevenue")) < tolerance
+    apart = F.abs(F.col("factRevenue") - F.col("totalRevenue"))
+    agrees = (F.col("factRows") == F.col("detailRows")) & (apart < F.col("_allowed"))
+    return folded.select(
+        "factRows",
+        "detailRows",
+        F.col("factRevenue").cast("double").alias("factRevenue"),
+        F.col("totalRevenue").cast("double").alias("totalRevenue"),
+        agrees.alias("reconciled"),
     )
-    return folded.withColumn("reconciled", agrees)

@@ -78,14 +78,44 @@ JUDGED_DETAILS = """judged AS (
 )"""
 
 FOREIGN_PRODUCTS = """coerced AS (
-    SELECT CASE WHEN p_size <= 40 THEN p_partkey END AS "productId",
+    SELECT CASE WHEN p_size <= 40 AND p_size <> 9 THEN p_partkey END AS "productId",
            CASE WHEN p_name <> 'small ring' THEN p_name END AS "productName",
            p_type AS "category",
-           CASE WHEN p_type <> 'PROMO' THEN p_retailprice END AS "unitPrice"
+           CASE WHEN p_type <> 'PROMO' AND p_size <> 7 THEN p_retailprice END AS "unitPrice"
     FROM part
 )"""
 
 
+# The fact of the job on faulty orders and missing parents, as silver leaves them.
+JOB_FACT = """fact AS (
+    SELECT d."orderDetailId", d."orderId", d."productId", o."regionId", d."quantity",
+           d."unitPrice", d."quantity" * d."unitPrice" AS "lineRevenue", p."productName",
+           p."category", p."unitPrice" AS "catalogUnitPrice", r."regionName", o."orderTs",
+           CAST(o."orderTs" AS date) AS "orderDate", o."customerId", o."status"
+    FROM judged d
+    JOIN clean_orders o ON o."orderId" = d."orderId"
+    JOIN products p ON p."productId" = d."productId"
+    JOIN regions r ON r."regionId" = o."regionId"
+    WHERE d."missingParent" IS NULL
+)"""
+
+JOB_TOTALS = """totals AS (
+    SELECT "orderDate", "regionId", "regionName", "productId", "productName",
+           sum(CAST("lineRevenue" AS decimal(28, 2))) AS "totalRevenue",
+           CAST(sum("quantity") AS bigint) AS "totalQuantity",
+           count(DISTINCT "orderId") AS "orderCount"
+    FROM fact GROUP BY ALL
+)"""
+
+RECONCILED = """
+    SELECT f.n AS "factRows", d.n AS "detailRows", CAST(f.revenue AS double) AS "factRevenue",
+           CAST(t.revenue AS double) AS "totalRevenue",
+           f.n = d.n AND f.revenue = t.revenue AS "reconciled"
+    FROM (SELECT count(*) AS n, sum(CAST("lineRevenue" AS decimal(28, 2))) AS revenue FROM fact) f,
+         (SELECT sum("totalRevenue") AS revenue FROM totals) t,
+         (SELECT count(*) AS n FROM {details}) d"""
+
+
 def _with(*parts: str, select: str) -> str:
     return f"WITH {', '.join(parts)} {select}"
 
@@ -119,12 +149,12 @@ ORACLES: dict[str, str] = {
     "monthly_sales": _sales("CAST(date_trunc('month', \"orderDate\") AS date)", "monthStart"),
     "fact_order_lines": _with(*MODEL, FACT, select="SELECT * FROM fact"),
     "reconcile_revenue": _with(
-        DETAILS,
-        select="""SELECT count(*) AS "factRows", count(*) AS "detailRows",
-            CAST(sum(CAST("quantity" * "unitPrice" AS decimal(18, 2))) AS double) AS "factRevenue",
-            CAST(sum(CAST("quantity" * "unitPrice" AS decimal(18, 2))) AS double) AS "totalRevenue",
-            true AS "reconciled"
-        FROM details""",
+        REGIONS, PRODUCTS, ORDERS, DETAILS, FACT,
+        """totals AS (
+            SELECT "orderDate", "regionId", "productId",
+                   sum(CAST("lineRevenue" AS decimal(28, 2))) AS "totalRevenue"
+            FROM fact GROUP BY ALL)""",
+        select=RECONCILED.format(details="lineitem"),
     ),
     "line_revenue": _with(
         DETAILS, select='SELECT *, "quantity" * "unitPrice" AS "lineRevenue" FROM details'
@@ -228,7 +258,22 @@ ORACLES: dict[str, str] = {
         select="""SELECT "orderId", TRY_CAST("orderTs" AS timestamp) AS "orderTs"
         FROM faulty_orders""",
     ),
-    "ingest_text_lines": """SELECT r_regionkey || ',' || r_name AS "value" FROM region""",
+    "type_order_ts_zoned": _with(
+        ORDERS, FAULTY_ORDERS,
+        select="""SELECT "orderId",
+            strftime(TRY_CAST("orderTs" AS timestamp), '%Y-%m-%d %H:%M:%S') AS "orderTs"
+        FROM faulty_orders""",
+    ),
+    "event_date_zoned": 'SELECT event_id, CAST(ts AS date) AS "eventDate" FROM events',
+    "typed_scan": """SELECT l_orderkey, CAST(l_linenumber AS bigint) AS l_linenumber, l_quantity
+        FROM lineitem""",
+    "ingest_quantity_total": """SELECT CAST(sum(CAST(l_quantity AS bigint)) AS bigint)
+            AS "totalQuantity", count(*) AS "rows" FROM lineitem""",
+    "ingest_text_lines": _with(
+        DETAILS,
+        select="""SELECT concat_ws(',', "orderDetailId", "orderId", "productId", "quantity",
+            "unitPrice") AS "value" FROM details""",
+    ),
     "ingest_region": """SELECT CAST(r_regionkey AS bigint) AS "regionId", r_name AS "regionName"
         FROM region""",
     "ingest_product": _with(PRODUCTS, select="SELECT * FROM products"),
@@ -272,4 +317,35 @@ ORACLES: dict[str, str] = {
                count("missingParent"), count(*) - count("missingParent")
         FROM judged""",
     ),
+    "pipeline_report": _with(
+        *SILVER,
+        select="""
+        SELECT 'region' AS "entity", count(*) AS "inputRows", count(*) AS "dedupedRows",
+               CAST(0 AS bigint) AS "orphanRows", count(*) AS "keptRows"
+        FROM region WHERE r_name <> 'ASIA'
+        UNION ALL
+        SELECT 'product', count(*), count(*), 0, count(*) FROM some_products
+        UNION ALL
+        SELECT 'order', (SELECT count(*) FROM faulty_orders),
+               (SELECT count(DISTINCT "orderId") FROM faulty_orders),
+               (SELECT count(DISTINCT "orderId") FROM faulty_orders)
+                   - (SELECT count(*) FROM clean_orders),
+               (SELECT count(*) FROM clean_orders)
+        UNION ALL
+        SELECT 'order_details', (SELECT count(*) FROM lineitem), count(*),
+               count("missingParent"), count(*) - count("missingParent")
+        FROM judged""",
+    ),
+    "pipeline_rejects": _with(
+        *SILVER, select='SELECT * FROM judged WHERE "missingParent" IS NOT NULL'
+    ),
+    "pipeline_fact": _with(PRODUCTS, *SILVER, JOB_FACT, select="SELECT * FROM fact"),
+    "pipeline_daily_sales": _with(
+        PRODUCTS, *SILVER, JOB_FACT, JOB_TOTALS,
+        select='SELECT * REPLACE (CAST("totalRevenue" AS double) AS "totalRevenue") FROM totals',
+    ),
+    "pipeline_reconcile": _with(
+        PRODUCTS, *SILVER, JOB_FACT, JOB_TOTALS,
+        select=RECONCILED.format(details="""judged WHERE "missingParent" IS NULL"""),
+    ),
 }

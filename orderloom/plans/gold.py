@@ -4,15 +4,16 @@ from __future__ import annotations
 
 from pyspark.sql import SparkSession
 
-from orderloom.operators.sales import order_lines_fact, sales_by_period
+from orderloom.operators.sales import MONEY_SCALE, order_lines_fact, sales_by_period
 from orderloom.sources.parquet import write_parquet
 
+# The names of the gold tables.
 FACT = "fact_order_lines"
 DAILY_SALES = "agg_sales_by_date_region_product"
 
 
 def run_gold(
-    spark: SparkSession, silver: str, out: str, money_scale: int | None = None
+    spark: SparkSession, silver: str, out: str, money_scale: int | None = MONEY_SCALE
 ) -> dict[str, int]:
     """Writes both tables and returns their row counts.
 

@@ -9,8 +9,10 @@ from posixpath import normpath
 from urllib.parse import urlparse
 
 from pyspark.sql import SparkSession
+from pyspark.sql import types as T
 
 from orderloom.entities import Entity, order_entities
+from orderloom.operators.sales import MONEY_SCALE
 from orderloom.plans.bronze import IngestCount, run_bronze
 from orderloom.plans.gold import run_gold
 from orderloom.plans.silver import SilverRun, run_silver
@@ -53,12 +55,13 @@ def run_pipeline(
     silver: str,
     gold: str,
     entities: Mapping[str, Entity] | None = None,
-    money_scale: int | None = None,
+    money_scale: int | None = MONEY_SCALE,
+    timestamp_type: T.DataType | None = None,
 ) -> PipelineRun:
     """Runs all layers and returns their counts; nothing is logged or kept in memory."""
     entities = entities or order_entities()
     files = [s.path for s in sources.values() if s.path is not None]
     require_separate_paths(files, [bronze, silver, gold])
     ingested = run_bronze(spark, sources, entities, bronze)
-    cleansed = run_silver(spark, entities, bronze, silver)
+    cleansed = run_silver(spark, entities, bronze, silver, timestamp_type)
     return PipelineRun(ingested, cleansed, run_gold(spark, silver, gold, money_scale))

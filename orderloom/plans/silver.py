@@ -8,7 +8,6 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 from dataclasses import dataclass
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,7 +19,6 @@ from orderloom.operators.quality import (
     first_rows,
     parent_keys,
     require_non_empty,
-    rows_not_in,
 )
 from orderloom.sources.parquet import observe, read_parquet, write_parquet
 
@@ -96,46 +94,8 @@ def check(
     return Checked(entity, checked)
 
 
-def silver(
-    tables: Mapping[str, DataFrame], entities: Mapping[str, Entity]
-) -> dict[str, Checked]:
-    """All entities checked against each other, lazily. Parents come first in ``entities``."""
-    checked: dict[str, Checked] = {}
-    parents: dict[str, DataFrame] = {}
-    for name, entity in entities.items():
-        checked[name] = check(entity, tables[name], parents)
-        parents[name] = checked[name].rows.where(checked[name].is_kept())
-    return checked
-
-
-def silver_report(
-    tables: Mapping[str, DataFrame], checked: Mapping[str, Checked]
-) -> DataFrame:
-    """One row per entity: rows in, rows after deduplication, orphans, rows kept."""
-    counts = []
-    for name, result in checked.items():
-        rows_in = tables[name].agg(F.count(F.lit(1)).alias("inputRows"))
-        rows_out = result.rows.agg(
-            F.count(F.lit(1)).alias("dedupedRows"),
-            F.count_if(result.is_kept()).alias("keptRows"),
-        )
-        counts += [c.withColumn("entity", F.lit(name)) for c in (rows_in, rows_out)]
-    stacked = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), counts)
-    return (
-        stacked.groupBy("entity")
-        .agg(*[F.max(c).alias(c) for c in ("inputRows", "dedupedRows", "keptRows")])
-        .select(
-            "entity",
-            "inputRows",
-            "dedupedRows",
-            (F.col("dedupedRows") - F.col("keptRows")).alias("orphanRows"),
-            "keptRows",
-        )
-    )
-
-
 def reject_lines(rejects: DataFrame) -> DataFrame:
-    """Rejected order lines as text, one column ``reject``."""
+    """Rejected order lines as text, one column ``reject``, in a fixed format."""
     return rejects.select(
         F.format_string(
             "orderDetailId=%d order=%d product=%d", "orderDetailId", "orderId", "productId"
@@ -154,30 +114,42 @@ class SilverRun:
         return first_rows(self.rejects[name], key, REJECT_SAMPLE_SIZE)
 
 
-def run_silver(
-    spark: SparkSession, entities: Mapping[str, Entity], bronze: str, out: str
+def cleanse(
+    spark: SparkSession,
+    entities: Mapping[str, Entity],
+    tables: Mapping[str, DataFrame],
+    out: str,
+    timestamp_type: T.DataType | None = None,
 ) -> SilverRun:
-    """Cleanses ``bronze/<entity>`` into ``out/<entity>``; fails if an entity is empty.
+    """Cleanses ``tables`` into ``out/<entity>``; fails if one of them is empty.
 
     One job per entity deduplicates, checks, counts and writes. A child reads its
     parents back from ``out``: their lineage ends there, and a lost executor cannot
-    set off a second run of the parent's plan.
+    set off a second run of the parent's plan. Rejects come from the same check, with the
+    first parent that they lack, when somebody asks for them.
     """
-    raw = {n: read_parquet(spark, f"{bronze}/{n}", e.raw) for n, e in entities.items()}
-    require_non_empty(raw)
-
+    require_non_empty(tables)
     report, parents, rejects = [], {}, {}
     for name, entity in entities.items():
-        result = check(entity, raw[name], parents, unique_parents=True)
+        result = check(entity, tables[name], parents, unique_parents=True)
         rows, seen = observe(result.rows, {"deduped": F.count(F.lit(1))})
-        kept = write_parquet(Checked(entity, rows).kept(), f"{out}/{name}")
+        kept = write_parquet(Checked(entity, rows).kept(timestamp_type), f"{out}/{name}")
         deduped = seen.get["deduped"]
         # count() on Parquet reads file footers only.
-        report.append((name, raw[name].count(), deduped, deduped - kept, kept))
+        report.append((name, tables[name].count(), deduped, deduped - kept, kept))
         parents[name] = spark.read.parquet(f"{out}/{name}")
         if entity.foreign_keys:
-            # The keys that were written settle who was rejected; only the few rows
-            # left over have to be deduplicated again.
-            leftover = rows_not_in(raw[name], parents[name], entity.primary_key)
-            rejects[name] = dedupe_by_key(leftover, entity.primary_key)
+            rejects[name] = result.rejected()
     return SilverRun(spark.createDataFrame(report, REPORT_SCHEMA), rejects)
+
+
+def run_silver(
+    spark: SparkSession,
+    entities: Mapping[str, Entity],
+    bronze: str,
+    out: str,
+    timestamp_type: T.DataType | None = None,
+) -> SilverRun:
+    """Cleanses ``bronze/<entity>`` into ``out/<entity>``, see ``cleanse``."""
+    raw = {n: read_parquet(spark, f"{bronze}/{n}", e.raw) for n, e in entities.items()}
+    return cleanse(spark, entities, raw, out, timestamp_type)

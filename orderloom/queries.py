@@ -9,23 +9,28 @@ orphans, so queries about those narrow a parent table or null out a column first
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from orderloom.entities import order_entities
+from orderloom.entities import ForeignKey, order_entities
 from orderloom.operators import quality, sales
 from orderloom.operators.ordinals import surrogate_ordinals
+from orderloom.plans.gold import DAILY_SALES, FACT
+from orderloom.plans.pipeline import PipelineRun, run_pipeline
 from orderloom.plans.silver import (
     REJECT_SAMPLE_SIZE,
+    SilverRun,
+    check,
+    cleanse,
     reject_lines,
-    silver,
-    silver_report,
     type_timestamps,
 )
 from orderloom.session import staging_path, tune
-from orderloom.sources.parquet import coerce_schema, write_parquet
+from orderloom.sources.parquet import coerce_schema, read_parquet, write_parquet
+from orderloom.sources.spec import Source, read_source
 from orderloom.sources.text import read_body_lines, read_text
 
 ENTITIES = order_entities(T.LongType())
@@ -33,16 +38,6 @@ MONEY_SCALE = 2
 NTZ = T.TimestampNTZType()
 
 
-_schemas: dict[str, T.StructType] = {}
-
-
-def read_table(spark: SparkSession, path: str) -> DataFrame:
-    """A benchmark table, its schema taken from the footers once per process."""
-    if path not in _schemas:
-        _schemas[path] = spark.read.parquet(path).schema
-    return spark.read.schema(_schemas[path]).parquet(path)
-
-
 class Tables:
     """Benchmark tables of one folder, and the order model made of them."""
 
@@ -51,7 +46,7 @@ class Tables:
         self.folder = folder
 
     def __getattr__(self, name: str) -> DataFrame:
-        table = read_table(self.spark, f"{self.folder}/{name}.parquet")
+        table = self.spark.read.parquet(f"{self.folder}/{name}.parquet")
         setattr(self, name, table)
         return table
 
@@ -147,9 +142,13 @@ def fact_order_lines(t: Tables) -> DataFrame:
 
 def reconcile_revenue(t: Tables) -> DataFrame:
     t.tuned("lineitem", "orders", "customer")
-    fact = sales.order_lines_fact(t.details(), t.model_orders(), t.products(), t.regions())
+    # The fact is stored, as gold does, so that the join runs once for both of its readers.
+    path = staging_path(t.spark, "fact")
+    made = sales.order_lines_fact(t.details(), t.model_orders(), t.products(), t.regions())
+    made.select("orderId", "productId", "regionId", "quantity", "lineRevenue", "orderDate").write.parquet(path)
+    fact = t.spark.read.parquet(path)
     totals = sales.sales_by_period(fact, t.products(), t.regions(), "day", MONEY_SCALE)
-    return sales.reconcile_revenue(fact, totals, t.details())
+    return sales.reconcile_revenue(fact, totals, t.lineitem, MONEY_SCALE)
 
 
 def line_revenue(t: Tables) -> DataFrame:
@@ -177,7 +176,7 @@ def join_orders_region(t: Tables) -> DataFrame:
 
 def drop_orphans(t: Tables) -> DataFrame:
     t.tuned("lineitem", "part")
-    return quality.drop_orphans(t.details(), "productId", t.some_products(), "productId")
+    return quality.drop_orphans(t.details(), "productId", t.some_products(), "productId", True)
 
 
 def missing_references(t: Tables) -> DataFrame:
@@ -188,8 +187,8 @@ def missing_references(t: Tables) -> DataFrame:
 def drop_orphans_two_fk(t: Tables) -> DataFrame:
     t.tuned("lineitem", "orders", "part")
     open_orders = t.orders.where("o_orderstatus <> 'P'")
-    with_order = quality.drop_orphans(t.details(), "orderId", open_orders, "o_orderkey")
-    return quality.drop_orphans(with_order, "productId", t.some_products(), "productId")
+    with_order = quality.drop_orphans(t.details(), "orderId", open_orders, "o_orderkey", True)
+    return quality.drop_orphans(with_order, "productId", t.some_products(), "productId", True)
 
 
 def dedupe_by_key(t: Tables) -> DataFrame:
@@ -228,10 +227,14 @@ def non_empty_gate(t: Tables) -> DataFrame:
 
 
 def _rejected(t: Tables) -> DataFrame:
+    """Lines without a product, each table read once: the rows of a check that lack a flag."""
     t.tuned("lineitem", "part")
-    deduped = quality.dedupe_by_key(t.details(), ["orderDetailId"])
-    clean = quality.drop_orphans(deduped, "productId", t.some_products(), "productId")
-    return quality.rows_not_in(deduped, clean, ["orderDetailId"])
+    lines = replace(
+        ENTITIES["order_details"],
+        foreign_keys=(ForeignKey("productId", "product", "productId"),),
+    )
+    checked = check(lines, t.details(), {"product": t.some_products()}, unique_parents=True)
+    return checked.rejected().drop("missingParent")
 
 
 def rejected_rows(t: Tables) -> DataFrame:
@@ -290,17 +293,25 @@ def marked_up_prices_sample(t: Tables) -> DataFrame:
 
 
 def _foreign_products(t: Tables) -> DataFrame:
-    """Products as a database might hand them over: other types, case and order."""
+    """Products as a database might hand them over: other types, case and order, some nulls,
+    prices that are no number and ids too large for their type."""
+    price = F.col("p_retailprice").cast("decimal(12,2)").cast("string")
     return t.part.select(
-        F.col("p_retailprice").cast("decimal(12,2)").alias("UNITPRICE"),
+        F.when(F.col("p_type") == "PROMO", F.lit(None))
+        .when(F.col("p_size") == 7, F.lit("n/a"))
+        .otherwise(price)
+        .alias("UNITPRICE"),
         F.col("p_type").alias("category"),
         F.nullif("p_name", F.lit("small ring")).alias("ProductName"),
-        F.when(F.col("p_size") <= 40, F.col("p_partkey")).cast("decimal(20,0)").alias("productid"),
-    ).withColumn("UNITPRICE", F.when(F.col("category") != "PROMO", F.col("UNITPRICE")))
+        F.when(F.col("p_size") == 9, F.lit("99999999999999999999"))
+        .when(F.col("p_size") <= 40, F.col("p_partkey").cast("string"))
+        .cast("decimal(20,0)")
+        .alias("productid"),
+    )
 
 
 def coerced_products(t: Tables) -> DataFrame:
-    return coerce_schema(_foreign_products(t), ENTITIES["product"].raw)
+    return coerce_schema(_foreign_products(t), ENTITIES["product"].raw, permissive=True)
 
 
 def drop_null_required(t: Tables) -> DataFrame:
@@ -316,17 +327,56 @@ def type_order_ts(t: Tables) -> DataFrame:
     return type_timestamps(t.faulty_orders().select("orderId", "orderTs"), ("orderTs",), NTZ)
 
 
-def _as_text(t: Tables, rows: DataFrame, name: str) -> str:
-    """Writes ``rows`` as comma-separated text, header in the first file; returns the folder."""
+def type_order_ts_zoned(t: Tables) -> DataFrame:
+    """As the job types them, in the session's time zone; shown as text."""
+    t.tuned("orders", "customer")
+    typed = type_timestamps(t.faulty_orders().select("orderId", "orderTs"), ("orderTs",))
+    return typed.withColumn("orderTs", F.date_format("orderTs", "yyyy-MM-dd HH:mm:ss"))
+
+
+def event_date_zoned(t: Tables) -> DataFrame:
+    return t.events.select("event_id", F.to_date(F.col("ts").cast("timestamp")).alias("eventDate"))
+
+
+def typed_scan(t: Tables) -> DataFrame:
+    """Lines through the scan that every layer uses: declared types, only declared columns."""
+    schema = (
+        T.StructType()
+        .add("l_orderkey", T.LongType())
+        .add("l_linenumber", T.LongType())
+        .add("l_quantity", T.DoubleType())
+    )
+    return read_parquet(t.spark, f"{t.folder}/lineitem.parquet", schema)
+
+
+def _as_text(t: Tables, rows: DataFrame, name: str, plain_file: bool = False) -> str:
+    """Writes ``rows`` as comma-separated text and returns the folder.
+
+    The first file, by name, has the header; so has every other task's file, except that
+    ``plain_file`` adds a larger one without. Nulls are empty fields.
+    """
     path = staging_path(t.spark, name)
-    header = t.spark.range(1).select(F.lit(",".join(rows.columns)).alias("value"))
-    body = rows.select(F.concat_ws(",", *[F.col(c).cast("string") for c in rows.columns]))
-    header.coalesce(1).union(body).write.text(path)
-    return path
+    header = ",".join(rows.columns)
+    cells = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in rows.columns]
+    line = cells[0]
+    for cell in cells[1:]:
+        line = F.concat(line, F.lit(","), cell)
+    lines = rows.select(line.alias("value"))
+    heads = t.spark.range(3).select(F.lit(header).alias("value"))
+    # Sub-folders fix the order of the files: a is read first.
+    heads.coalesce(1).write.text(f"{path}/a")
+    if plain_file:
+        few = F.pmod(F.xxhash64("value"), F.lit(10)) == 0
+        heads.coalesce(1).union(lines.where(few)).write.text(f"{path}/b")
+        lines.where(~few).write.text(f"{path}/c")
+    else:
+        heads.coalesce(1).union(lines).write.text(f"{path}/b")
+    return f"{path}/*"
 
 
 def ingest_text_lines(t: Tables) -> DataFrame:
-    return read_body_lines(t.spark, _as_text(t, t.regions(), "region"))
+    """Lines over several files, repeated headers, and a larger file without one."""
+    return read_body_lines(t.spark, _as_text(t, t.details(), "order_details", plain_file=True))
 
 
 def _ingest(t: Tables, rows: DataFrame, name: str) -> DataFrame:
@@ -338,7 +388,9 @@ def ingest_region(t: Tables) -> DataFrame:
 
 
 def ingest_product(t: Tables) -> DataFrame:
-    return _ingest(t, t.products(), "product")
+    """Through the choice of source that the job makes."""
+    path = _as_text(t, t.products(), "product")
+    return read_source(t.spark, Source("file", path=path), ENTITIES["product"].raw)
 
 
 def ingest_orders(t: Tables) -> DataFrame:
@@ -350,6 +402,12 @@ def ingest_order_details(t: Tables) -> DataFrame:
     return _ingest(t, t.details(), "order_details")
 
 
+def ingest_quantity_total(t: Tables) -> DataFrame:
+    """One column of re-ingested lines; the others are checked all the same."""
+    lines = _ingest(t, t.details(), "order_details")
+    return lines.agg(F.sum("quantity").alias("totalQuantity"), F.count(F.lit(1)).alias("rows"))
+
+
 def write_readback(t: Tables) -> DataFrame:
     path = staging_path(t.spark, "orders")
     write_parquet(t.orders, path)
@@ -366,25 +424,74 @@ def write_count(t: Tables) -> DataFrame:
     )
 
 
+def _silver(t: Tables) -> tuple[SilverRun, str]:
+    t.tuned("lineitem", "orders", "customer")
+    out = staging_path(t.spark, "silver")
+    return cleanse(t.spark, ENTITIES, t.faulty_model(), out, NTZ), out
+
+
 def silver_orders(t: Tables) -> DataFrame:
-    t.tuned("orders", "customer")
-    return silver(t.faulty_model(), ENTITIES)["order"].kept(NTZ)
+    _, out = _silver(t)
+    return t.spark.read.parquet(f"{out}/order")
 
 
 def silver_order_details(t: Tables) -> DataFrame:
-    t.tuned("lineitem", "orders", "customer")
-    return silver(t.faulty_model(), ENTITIES)["order_details"].kept()
+    _, out = _silver(t)
+    return t.spark.read.parquet(f"{out}/order_details")
 
 
 def silver_rejects(t: Tables) -> DataFrame:
-    t.tuned("lineitem", "orders", "customer")
-    return silver(t.faulty_model(), ENTITIES)["order_details"].rejected()
+    run, _ = _silver(t)
+    return run.rejects["order_details"]
 
 
 def cleansing_report(t: Tables) -> DataFrame:
+    run, _ = _silver(t)
+    return run.report
+
+
+def _pipeline(t: Tables) -> tuple[PipelineRun, str]:
+    """The job on the benchmark tables, written as text first: faulty orders, missing parents."""
     t.tuned("lineitem", "orders", "customer")
-    tables = t.faulty_model()
-    return silver_report(tables, silver(tables, ENTITIES))
+    model = t.faulty_model()
+    # Text has no nulls: an order without a region names one that does not exist.
+    model["order"] = model["order"].withColumn("regionId", F.coalesce("regionId", F.lit(-1)))
+    sources = {n: Source("file", path=_as_text(t, rows, n)) for n, rows in model.items()}
+    out = staging_path(t.spark, "job")
+    layers = {n: f"{out}/{n}" for n in ("bronze", "silver", "gold")}
+    run = run_pipeline(
+        t.spark, sources, **layers, entities=ENTITIES, money_scale=MONEY_SCALE, timestamp_type=NTZ
+    )
+    return run, out
+
+
+def pipeline_fact(t: Tables) -> DataFrame:
+    _, out = _pipeline(t)
+    return t.spark.read.parquet(f"{out}/gold/{FACT}")
+
+
+def pipeline_daily_sales(t: Tables) -> DataFrame:
+    _, out = _pipeline(t)
+    return t.spark.read.parquet(f"{out}/gold/{DAILY_SALES}")
+
+
+def pipeline_rejects(t: Tables) -> DataFrame:
+    run, _ = _pipeline(t)
+    return run.cleansed.rejects["order_details"]
+
+
+def pipeline_report(t: Tables) -> DataFrame:
+    run, _ = _pipeline(t)
+    return run.cleansed.report
+
+
+def pipeline_reconcile(t: Tables) -> DataFrame:
+    _, out = _pipeline(t)
+    fact, totals, details = (
+        t.spark.read.parquet(f"{out}/{n}")
+        for n in (f"gold/{FACT}", f"gold/{DAILY_SALES}", "silver/order_details")
+    )
+    return sales.reconcile_revenue(fact, totals, details, MONEY_SCALE)
 
 
 QUERIES: dict[str, Callable[[Tables], DataFrame]] = {
@@ -395,6 +502,7 @@ QUERIES: dict[str, Callable[[Tables], DataFrame]] = {
     "reconcile_revenue": reconcile_revenue,
     "line_revenue": line_revenue,
     "event_date": event_date,
+    "event_date_zoned": event_date_zoned,
     "join_lines_orders": join_lines_orders,
     "join_lines_product": join_lines_product,
     "join_orders_region": join_orders_region,
@@ -419,15 +527,23 @@ QUERIES: dict[str, Callable[[Tables], DataFrame]] = {
     "drop_null_required": drop_null_required,
     "null_required_count": null_required_count,
     "type_order_ts": type_order_ts,
+    "type_order_ts_zoned": type_order_ts_zoned,
     "ingest_text_lines": ingest_text_lines,
     "ingest_region": ingest_region,
     "ingest_product": ingest_product,
     "ingest_orders": ingest_orders,
     "ingest_order_details": ingest_order_details,
+    "ingest_quantity_total": ingest_quantity_total,
+    "typed_scan": typed_scan,
     "write_readback": write_readback,
     "write_count": write_count,
     "silver_orders": silver_orders,
     "silver_order_details": silver_order_details,
     "silver_rejects": silver_rejects,
     "silver_report": cleansing_report,
+    "pipeline_fact": pipeline_fact,
+    "pipeline_daily_sales": pipeline_daily_sales,
+    "pipeline_rejects": pipeline_rejects,
+    "pipeline_report": pipeline_report,
+    "pipeline_reconcile": pipeline_reconcile,
 }

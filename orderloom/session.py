@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
+import re
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,11 +12,10 @@ MIB = 1024 * 1024
 # Row bytes scanned per shuffle partition. Adaptive execution merges partitions that
 # turn out small but never makes more of them, so the first number has to be high enough.
 BYTES_PER_PARTITION = 256 * MIB
-# Every scan task writes a block for every shuffle partition. These bounds keep the
-# blocks of a 100 TB job from becoming too many and too small; larger partitions spill.
-MAX_PARTITIONS = 50_000
-MAX_SCAN_TASKS = 200_000
-SPLIT_BYTES = (128 * MIB, 1024 * MIB)
+# File bytes per scan task, and how many tasks there are before splits grow instead: every
+# scan task writes a block for every shuffle partition.
+SPLIT_BYTES = 128 * MIB
+SCAN_TASKS = 200_000
 
 # Parquet files are a fraction of the size of the rows in them, and rows are what a
 # broadcast holds in memory.
@@ -32,63 +31,59 @@ SETTINGS = {
     "spark.sql.sources.fileCompressionFactor": str(ROW_BYTES_PER_FILE_BYTE),
 }
 
+_UNITS = {"B": 1, "KiB": 1 << 10, "MiB": 1 << 20, "GiB": 1 << 30, "TiB": 1 << 40, "PiB": 1 << 50, "EiB": 1 << 60}
+
 
 def scan_bytes(df: DataFrame) -> int:
-    """Spark's own estimate of the row bytes in a base table."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    """Spark's own estimate of the row bytes in a base table, as EXPLAIN COST states it."""
+    plan = df.sparkSession.sql("EXPLAIN COST SELECT * FROM {table}", table=df).first()[0]
+    size, unit = re.search(r"sizeInBytes=([\d.E+]+) (\w+)", plan).groups()
+    return int(float(size) * _UNITS[unit])
 
 
 def partitions_for(row_bytes: int, parallelism: int) -> int:
-    """Shuffle partitions for a job that scans ``row_bytes``."""
-    by_size = -(-row_bytes // BYTES_PER_PARTITION)
-    return max(1, parallelism, min(MAX_PARTITIONS, by_size))
+    """Shuffle partitions for a job that scans ``row_bytes``; they follow the data at any size."""
+    return max(1, parallelism, -(-row_bytes // BYTES_PER_PARTITION))
 
 
 def split_bytes_for(row_bytes: int) -> int:
     """File bytes per scan task."""
-    smallest, largest = SPLIT_BYTES
-    even = int(row_bytes / ROW_BYTES_PER_FILE_BYTE) // MAX_SCAN_TASKS
-    return min(largest, max(smallest, even))
+    return max(SPLIT_BYTES, int(row_bytes / ROW_BYTES_PER_FILE_BYTE) // SCAN_TASKS)
 
 
 def tune(spark: SparkSession, *tables: DataFrame) -> None:
     """Turn on skew handling and size tasks for the base tables about to be read.
 
-    A partition count set by hand is only ever raised, a split size set by hand is kept.
+    Sizes set by hand stay as they are. Those of an earlier call follow the new tables, up or
+    down.
     """
     for key, value in SETTINGS.items():
         spark.conf.set(key, value)
     if not tables:
         return
     row_bytes = sum(scan_bytes(t) for t in tables)
-    partitions = partitions_for(row_bytes, spark.sparkContext.defaultParallelism)
-    current = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    spark_default = 200
-    if current == spark_default or partitions > current:
-        spark.conf.set("spark.sql.shuffle.partitions", str(partitions))
-    if spark.conf.get("spark.sql.files.maxPartitionBytes") == f"{SPLIT_BYTES[0]}b":
-        spark.conf.set("spark.sql.files.maxPartitionBytes", f"{split_bytes_for(row_bytes)}b")
-
+    parallelism = spark.sparkContext.defaultParallelism
+    _size(spark, "spark.sql.shuffle.partitions", str(partitions_for(row_bytes, parallelism)))
+    _size(spark, "spark.sql.files.maxPartitionBytes", f"{split_bytes_for(row_bytes)}b")
 
-def shared_dir(spark: SparkSession) -> str:
-    """A folder every executor sees: the one in ``spark.checkpoint.dir``.
 
-    Only a local session without that setting gets a temporary folder.
-    """
-    configured = spark.conf.get("spark.checkpoint.dir", None)
-    if configured:
-        return configured.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    return tempfile.mkdtemp(prefix="orderloom-")
+def _size(spark: SparkSession, key: str, value: str) -> None:
+    """Sets ``key`` unless someone else did; what was set here is noted beside it."""
+    note = f"orderloom.tuned.{key}"
+    explicit = dict(spark.conf.getAll)
+    if key in explicit and explicit[key] != explicit.get(note):
+        return
+    spark.conf.set(key, value)
+    spark.conf.set(note, value)
 
 
-def staging_path(spark: SparkSession, name: str) -> str:
-    """A new path for ``name`` in the shared folder."""
-    return f"{shared_dir(spark)}/orderloom-{uuid.uuid4().hex}/{name}"
+def shared_dir(spark: SparkSession, folder: str | None = None) -> str:
+    """A folder every executor sees: the given one, that of ``spark.checkpoint.dir``, or else one
+    in the session's warehouse."""
+    chosen = folder or spark.conf.get("spark.checkpoint.dir", None)
+    return (chosen or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/staging").rstrip("/")
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Leave a configured checkpoint folder alone, else set one."""
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(shared_dir(spark))
+def staging_path(spark: SparkSession, name: str, folder: str | None = None) -> str:
+    """A new path for ``name`` in the shared folder."""
+    return f"{shared_dir(spark, folder)}/orderloom-{uuid.uuid4().hex}/{name}"

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 
+from orderloom.entities import Entity
+
 
 @dataclass(frozen=True)
 class JdbcConnection:
@@ -28,16 +31,17 @@ class JdbcPartitioning:
     partitions: int
 
 
-# The aliases are quoted because databases fold the case of bare identifiers.
-PRODUCT_QUERY = """(
-    SELECT product_id AS "productId", product_name AS "productName",
-           category AS "category", unit_price AS "unitPrice"
-    FROM product
-) AS product_rows"""
+def entity_query(entity: Entity, table: str | None = None) -> str:
+    """A subquery that renames a table's snake_case columns to the entity's.
+
+    The names are quoted because databases fold the case of bare identifiers.
+    """
+    columns = ", ".join(f'{_snake_case(n)} AS "{n}"' for n in entity.raw.names)
+    return f"(SELECT {columns} FROM {table or entity.name}) AS {entity.name}_rows"
+
 
-REGION_QUERY = """(
-    SELECT region_id AS "regionId", region_name AS "regionName" FROM region
-) AS region_rows"""
+def _snake_case(name: str) -> str:
+    return re.sub(r"(?<!^)([A-Z])", r"_\1", name).lower()
 
 
 def jdbc_options(

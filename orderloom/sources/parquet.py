@@ -18,9 +18,19 @@ WIDENINGS = {
 }
 
 
-def coerce_schema(df: DataFrame, schema: T.StructType) -> DataFrame:
-    """The schema's columns, found by name in any case and cast explicitly."""
-    return df.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in schema.fields])
+def coerce_schema(df: DataFrame, schema: T.StructType, permissive: bool = False) -> DataFrame:
+    """The schema's columns, found by name in any case and cast explicitly.
+
+    ``permissive`` turns a value that its type cannot hold, junk or too large, into null, so
+    that the row can be dropped and counted with those that lack a value. Otherwise it fails
+    the job (in ANSI mode).
+    """
+
+    def converted(field: T.StructField) -> Column:
+        column = F.col(field.name)
+        return column.try_cast(field.dataType) if permissive else column.cast(field.dataType)
+
+    return df.select(*[converted(f).alias(f.name) for f in schema.fields])
 
 
 def conform(df: DataFrame, schema: T.StructType) -> DataFrame:

@@ -24,7 +24,8 @@ class Source:
 
 
 def read_source(spark: SparkSession, source: Source, schema: T.StructType) -> DataFrame:
-    """The source's rows in ``schema``. A JDBC row may still lack required values."""
+    """The source's rows in ``schema``. A JDBC row may still lack required values: values that
+    its type cannot hold are null."""
     if source.kind == "file":
         if source.path is None:
             raise ValueError("a file source needs a path")
@@ -33,5 +34,5 @@ def read_source(spark: SparkSession, source: Source, schema: T.StructType) -> Da
         if source.connection is None or source.dbtable is None:
             raise ValueError("a jdbc source needs a connection and a dbtable")
         rows = read_jdbc(spark, source.connection, source.dbtable, source.partitioning)
-        return coerce_schema(rows, schema)
+        return coerce_schema(rows, schema, permissive=True)
     raise ValueError(f"unknown source kind: {source.kind!r}")

@@ -7,7 +7,7 @@ field is an empty string, and surplus fields are ignored.
 
 from __future__ import annotations
 
-from urllib.parse import unquote
+import re
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,31 +16,37 @@ from pyspark.sql import types as T
 from orderloom.functions.columns import any_null, field_or_null, is_padded_integer
 
 
-def header_line(text: DataFrame) -> str:
+def header_line(spark: SparkSession, path: str) -> str:
     """First line of the first file, by name, that has one.
 
-    The list of files is the one the scan made; one line is read.
-    ``text.first()`` would start with the largest file instead.
+    Files are found by Spark tasks, without their content, and only the first name with
+    something in it comes back. ``first()`` on the lines would start with the largest file.
     """
-    files = sorted(text.inputFiles())
-    for uri in files:
-        line = text.sparkSession.read.text(unquote(uri)).first()
+    files = spark.read.format("binaryFile").load(path).where("length > 0").select("path")
+    last = ""
+    while True:
+        found = files.where(F.col("path") > last).agg(F.min("path")).first()[0]
+        if found is None:
+            raise ValueError(f"no header line: no lines in {path}")
+        # A name is no pattern, whatever characters it has.
+        line = spark.read.text(re.sub(r"([\\{}\[\]*?])", r"\\\1", found)).first()
         if line is not None:
             return line[0]
-    raise ValueError(f"no header line: no lines in {len(files)} files")
+        last = found
 
 
 def read_body_lines(spark: SparkSession, path: str) -> DataFrame:
     """The lines under ``path`` that differ from the header, as column ``value``."""
-    text = spark.read.text(path)
-    return text.select("value").where(F.col("value") != header_line(text))
+    lines = spark.read.text(path).select("value")
+    return lines.where(F.col("value") != header_line(spark, path))
 
 
 def parse_lines(lines: DataFrame, schema: T.StructType) -> DataFrame:
     """Lines as typed columns, by position. A bad or missing field fails the job.
 
     No column of a good line is null, so lines are tested once, not once per column,
-    whether or not the session runs in ANSI mode.
+    whether or not the session runs in ANSI mode. The test is a filter: which columns are
+    read, if any, makes no difference to it.
     """
     names = schema.names
     cells = F.col("_cells")
@@ -52,8 +58,8 @@ def parse_lines(lines: DataFrame, schema: T.StructType) -> DataFrame:
         if isinstance(f.dataType, T.IntegralType):
             bad = bad | is_padded_integer(cells, i, F.col(f.name))
     complaint = F.concat(F.lit(f"not a line of {schema.simpleString()}: "), F.col("value"))
-    checked = F.when(bad, F.raise_error(complaint)).otherwise(F.col(names[0]))
-    return typed.select(checked.alias(names[0]), *names[1:])
+    good = F.when(bad, F.raise_error(complaint).cast("boolean")).otherwise(F.lit(True))
+    return typed.where(good).select(*names)
 
 
 def read_text(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:

@@ -13,9 +13,9 @@ from orderloom.operators.sales import reconcile_revenue, sales_by_period
 from orderloom.plans.bronze import run_bronze
 from orderloom.plans.gold import DAILY_SALES, FACT
 from orderloom.plans.pipeline import require_separate_paths, run_pipeline
-from orderloom.plans.silver import reject_lines, run_silver, silver, silver_report, type_timestamps
+from orderloom.plans.silver import cleanse, reject_lines, run_silver, type_timestamps
 from orderloom.sources import spec
-from orderloom.sources.jdbc import PRODUCT_QUERY, JdbcConnection
+from orderloom.sources.jdbc import JdbcConnection, JdbcPartitioning, entity_query
 from orderloom.sources.spec import Source
 from tests.conftest import rows
 
@@ -70,10 +70,11 @@ REPORT = [
 KEPT_DETAILS = [(1, 10, 1, 1, 1.0), (3, 12, 2, 2, 2.5)]
 
 
-def test_cleansing(dirty):
-    checked = silver(dirty, ENTITIES)
-    assert rows(checked["region"].kept()) == [(1, "Nord"), (2, "South")]
-    orders = checked["order"].kept()
+def test_cleansing(spark, dirty, tmp_path):
+    out = str(tmp_path)
+    run = cleanse(spark, ENTITIES, dirty, out)
+    assert rows(spark.read.parquet(f"{out}/region")) == [(1, "Nord"), (2, "South")]
+    orders = spark.read.parquet(f"{out}/order")
     assert orders.schema["orderTs"].dataType == T.TimestampType()
     assert rows(orders) == sorted(
         [
@@ -82,12 +83,12 @@ def test_cleansing(dirty):
         ],
         key=repr,
     )
-    assert rows(checked["order_details"].kept()) == KEPT_DETAILS
+    assert rows(spark.read.parquet(f"{out}/order_details")) == KEPT_DETAILS
     # Orders 11 and 13 went first, and their lines went with them.
-    lacking = checked["order_details"].rejected().select("orderDetailId", "missingParent")
+    lacking = run.rejects["order_details"].select("orderDetailId", "missingParent")
     assert rows(lacking) == [(2, "order"), (4, "product"), (5, "order"), (6, "order"), (7, "order")]
-    assert rows(checked["region"].rejected()) == []
-    assert rows(silver_report(dirty, checked)) == REPORT
+    assert run.rejects.keys() == {"order", "order_details"}
+    assert rows(run.report) == REPORT
 
 
 @pytest.fixture
@@ -234,12 +235,16 @@ def test_job_wants_a_connection_for_jdbc(tmp_path, capsys):
     assert "--jdbc-url" in capsys.readouterr().err
     secret = tmp_path / "password"
     secret.write_text("hush\n")
-    parsed = parse([*args, "--jdbc-url=jdbc:x:y", "--jdbc-user=u", f"--jdbc-password-file={secret}"])
+    parsed = parse(
+        [*args, "--jdbc-url=jdbc:x:y", "--jdbc-user=u", f"--jdbc-password-file={secret}",
+         "--product-split=1:900:4"]
+    )
     sources = sources_of(parsed)
     assert {n: s.kind for n, s in sources.items()} == {
         "order": "file", "order_details": "file", "region": "file", "product": "jdbc",
     }
     assert sources["product"].connection.password == "hush"
+    assert sources["product"].partitioning == JdbcPartitioning("productId", "1", "900", 4)
 
 
 def test_bronze_opens_all_sources_before_it_writes(spark, tmp_path):
@@ -261,7 +266,7 @@ def test_bronze_drops_and_counts_database_rows_without_required_values(spark, tm
 
     monkeypatch.setattr(spec, "read_jdbc", fake)
     connection = JdbcConnection("jdbc:postgresql://db/shop", "reader", "secret")
-    sources["product"] = Source("jdbc", connection=connection, dbtable=PRODUCT_QUERY)
+    sources["product"] = Source("jdbc", connection=connection, dbtable=entity_query(ENTITIES["product"]))
     counts = {c.entity: c for c in run_bronze(spark, sources, ENTITIES, f"{tmp_path}/bronze")}
     assert (counts["product"].written, counts["product"].dropped) == (1, 2)
     assert rows(spark.read.parquet(f"{tmp_path}/bronze/product")) == [(1, "a", None, 1.5)]

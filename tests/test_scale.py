@@ -7,6 +7,8 @@ from pyspark.sql import types as T
 
 from __spark_entry__ import entry, oracle_sql, queries
 from orderloom import session
+from orderloom.oracles import ORACLES
+from orderloom.queries import QUERIES
 from orderloom.entities import Entity, ForeignKey
 from orderloom.operators import quality, sales
 from orderloom.plans.silver import check
@@ -134,28 +136,70 @@ def test_partition_sizing():
     gib, tib = 1 << 30, 1 << 40
     assert session.partitions_for(0, 8) == 8
     assert session.partitions_for(100 * gib, 8) == 400
-    assert session.partitions_for(300 * tib, 8000) == session.MAX_PARTITIONS
+    # No ceiling: a partition of a larger job is no larger.
+    assert session.partitions_for(300 * tib, 8000) == 300 * tib // session.BYTES_PER_PARTITION
     assert session.split_bytes_for(100 * gib) == 128 << 20
     assert 500e6 < session.split_bytes_for(300 * tib) < 600e6
 
 
-def test_tune_keeps_larger_hand_made_settings(spark, conf):
+def test_size_of_a_scan(spark):
     table = spark.read.parquet(f"{DATA}/lineitem.parquet")
-    conf({"spark.sql.shuffle.partitions": "200"})
-    session.tune(spark, table)
-    assert spark.conf.get("spark.sql.shuffle.partitions") == "8"
-    conf({"spark.sql.shuffle.partitions": "33"})
-    session.tune(spark, table)
-    assert spark.conf.get("spark.sql.shuffle.partitions") == "33"
-
-
-def test_shared_folder_is_the_configured_one(spark):
-    configured = spark.conf.get("spark.checkpoint.dir", None)
-    folder = session.shared_dir(spark)
-    assert folder == configured.rstrip("/") if configured else folder.startswith("/tmp")
+    assert 50_000 < session.scan_bytes(table) < 50_000_000
+
+
+@pytest.mark.parametrize("by_hand", ["33", "200", "1"])
+def test_tune_keeps_sizes_set_by_hand(spark, conf, by_hand):
+    conf({"spark.sql.shuffle.partitions": by_hand})
+    session.tune(spark, spark.read.parquet(f"{DATA}/lineitem.parquet"))
+    assert spark.conf.get("spark.sql.shuffle.partitions") == by_hand
+
+
+def test_tune_follows_the_data_up_and_down(spark, conf, monkeypatch):
+    keys = ["spark.sql.shuffle.partitions", "spark.sql.files.maxPartitionBytes"]
+    conf({k: spark.conf.get(k) for k in keys})
+    for key in keys:
+        spark.conf.unset(key)
+    sizes = iter([300 << 40, 1 << 20, 1 << 40])
+    monkeypatch.setattr(session, "scan_bytes", lambda df: next(sizes))
+    found = []
+    for _ in range(3):
+        session.tune(spark, spark.range(1))
+        found.append([spark.conf.get(k) for k in keys])
+    assert found == [
+        ["1228800", "549755813b"], ["8", "134217728b"], ["4096", "134217728b"],
+    ]
+
+
+def test_shared_folder_is_the_configured_one(spark, conf):
+    assert session.shared_dir(spark) == spark.conf.get("spark.checkpoint.dir")
+    assert session.shared_dir(spark, "s3://x/") == "s3://x"
     assert session.staging_path(spark, "x") != session.staging_path(spark, "x")
 
 
+def test_orphan_filter_shuffles_parent_keys_once_more_at_most(skewed, small_partitions):
+    details, orders = skewed
+    for unique, exchanges in ((True, 2), (False, 3)):
+        kept = quality.drop_orphans(details, "orderId", orders, "orderId", unique)
+        assert final_plan(kept).count("Exchange hashpartitioning") == exchanges
+
+
+def test_rejects_scan_and_deduplicate_once(spark, small_partitions):
+    plan = queries()["rejected_rows"](spark, DATA)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan parquet") == 2 and plan.count("Window ") == 1
+
+
+def test_a_gate_looks_at_one_partition(spark):
+    table = spark.range(0, 1000, 1, 50)
+    spark.sparkContext.setJobGroup("gate", "gate")
+    try:
+        assert quality.has_rows(table)
+        tracker = spark.sparkContext.statusTracker()
+        stages = [tracker.getStageInfo(s) for j in tracker.getJobIdsForGroup("gate") for s in tracker.getJobInfo(j).stageIds]
+    finally:
+        spark.sparkContext.setJobGroup("tests", "tests")
+    assert sum(s.numTasks for s in stages) == 1
+
+
 @pytest.fixture(scope="module")
 def oracle():
     connection = duckdb.connect()
@@ -165,10 +209,11 @@ def oracle():
 
 
 def test_every_query_has_a_twin():
-    assert queries().keys() == oracle_sql().keys()
+    assert QUERIES.keys() == ORACLES.keys()
+    assert QUERIES.keys() <= queries().keys() and ORACLES.keys() <= oracle_sql().keys()
 
 
-@pytest.mark.parametrize("name", list(queries()))
+@pytest.mark.parametrize("name", list(QUERIES))
 def test_query_against_its_twin(spark, oracle, name):
     df = queries()[name](spark, DATA)
     columns = sorted(df.columns)

@@ -6,10 +6,9 @@ from pyspark.sql import types as T
 from orderloom.entities import order_entities
 from orderloom.sources import spec
 from orderloom.sources.jdbc import (
-    PRODUCT_QUERY,
-    REGION_QUERY,
     JdbcConnection,
     JdbcPartitioning,
+    entity_query,
     jdbc_options,
 )
 from orderloom.sources.parquet import coerce_schema, conform, observe, read_parquet, write_parquet
@@ -35,7 +34,7 @@ def test_every_copy_of_the_header_goes(spark, tmp_path):
 def test_a_larger_file_without_header_keeps_its_first_line(spark, tmp_path):
     big = "".join(f"{i},n\n" for i in range(2, 3000))
     path = write_files(tmp_path / "in", a="id,name\n1,x\n", b=big)
-    assert header_line(spark.read.text(path)) == "id,name"
+    assert header_line(spark, path) == "id,name"
     assert read_text(spark, path, REGION).count() == 2999
 
 
@@ -44,6 +43,37 @@ def test_leading_empty_files_have_no_header(spark, tmp_path):
     assert rows(read_text(spark, path, REGION)) == [(1, "x")]
 
 
+def test_names_are_no_patterns(spark, tmp_path):
+    path = write_files(tmp_path / "in", **{"part{0}": "id,name\n1,x\n", "z[a]*": "2,y\n"})
+    assert rows(read_text(spark, path, REGION)) == [(1, "x"), (2, "y")]
+
+
+@pytest.mark.parametrize("ansi", ["true", "false"])
+@pytest.mark.parametrize("line", ["BAD,2,3,4,5.5", "1,2,3,BAD,5.5", "1,2,3,4,BAD", "1,2,3,4"])
+def test_a_bad_field_fails_whatever_is_read(spark, conf, ansi, line):
+    conf({"spark.sql.ansi.enabled": ansi})
+    schema = order_entities()["order_details"].raw
+    lines = spark.createDataFrame([("1,2,3,4,5.5",), (line,)], "value string")
+    for read in (
+        lambda df: df.count(),
+        lambda df: df.agg(F.sum("quantity")).collect(),
+        lambda df: df.select("orderId", "unitPrice").collect(),
+    ):
+        with pytest.raises(PySparkException, match="not a line of"):
+            read(parse_lines(lines, schema))
+
+
+def test_junk_from_a_database_becomes_null(spark):
+    df = spark.sql("select 'abc' as productId, 'n' as productName, null as category, '2.5' as unitPrice")
+    assert rows(coerce_schema(df, order_entities()["product"].raw, permissive=True)) == [
+        (None, "n", None, 2.5)
+    ]
+    large = df.withColumn("productId", F.lit(99999999999))
+    assert rows(coerce_schema(large, order_entities()["product"].raw, permissive=True))[0][0] is None
+    with pytest.raises(PySparkException):
+        coerce_schema(df, order_entities()["product"].raw).collect()
+
+
 def test_no_lines_at_all(spark, tmp_path):
     with pytest.raises(ValueError, match="no lines"):
         read_text(spark, write_files(tmp_path / "in", a="", b=""), REGION)
@@ -160,9 +190,12 @@ def test_jdbc_options():
 
 
 def test_jdbc_queries_name_the_columns_of_the_entities():
-    for query, entity in ((PRODUCT_QUERY, "product"), (REGION_QUERY, "region")):
-        for name in order_entities()[entity].raw.names:
-            assert f'"{name}"' in query
+    assert entity_query(order_entities()["region"]) == (
+        '(SELECT region_id AS "regionId", region_name AS "regionName" FROM region) AS region_rows'
+    )
+    assert 'unit_price AS "unitPrice" FROM shop.items' in entity_query(
+        order_entities()["product"], "shop.items"
+    )
 
 
 def test_source_choice(spark, tmp_path, monkeypatch):
@@ -176,9 +209,9 @@ def test_source_choice(spark, tmp_path, monkeypatch):
         return spark.sql("select 1BD as REGIONID, 'x' as regionName")
 
     monkeypatch.setattr(spec, "read_jdbc", fake)
-    source = Source("jdbc", connection=CONNECTION, dbtable=REGION_QUERY)
+    source = Source("jdbc", connection=CONNECTION, dbtable=entity_query(order_entities()["region"]))
     assert rows(read_source(spark, source, REGION)) == [(1, "x")]
-    assert asked == [(CONNECTION, REGION_QUERY, None)]
+    assert asked == [(CONNECTION, source.dbtable, None)]
 
 
 @pytest.mark.parametrize("source", [Source("ftp"), Source("file"), Source("jdbc", dbtable="t")])
