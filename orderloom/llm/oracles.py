@@ -1,4 +1,8 @@
-"""The llm queries that SQL can express, in DuckDB's SQL."""
+"""The llm queries that SQL can express, in DuckDB's SQL.
+
+The others learn from labels, merge by rank, tile or parse; their tests hold them against
+brute force.
+"""
 
 from __future__ import annotations
 
@@ -21,6 +25,93 @@ SELECT page_id, payload_bytes, payload_digest,
 FROM records
 """
 
+# Documents with equal sets are one node; links are found through shared shingles.
+LINKED = r"""
+WITH RECURSIVE words AS (
+    SELECT doc_id, regexp_extract_all(
+        translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[^\x20\x09-\x0D]+') AS w
+    FROM documents
+),
+sets AS (
+    SELECT doc_id, CASE
+        WHEN len(w) = 0 THEN []
+        WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+        ELSE list_sort(list_distinct(list_transform(
+            range(1, len(w) - 1), lambda i: array_to_string(w[i:i + 2], ' ')))) END AS s
+    FROM words
+),
+nodes AS (
+    SELECT row_number() OVER (ORDER BY min(doc_id)) AS node, min(doc_id) AS least, s, len(s) AS n
+    FROM sets WHERE len(s) > 0 GROUP BY s
+),
+shingles AS (SELECT node, n, unnest(s) AS g FROM nodes),
+pairs AS (
+    SELECT a.node AS a, b.node AS b, any_value(a.n) AS na, any_value(b.n) AS nb, count(*) AS shared
+    FROM shingles a JOIN shingles b ON a.g = b.g AND a.node < b.node
+        AND 100 * least(a.n, b.n) >= 90 * greatest(a.n, b.n)
+    GROUP BY a.node, b.node
+),
+links AS (SELECT a, b FROM pairs WHERE 100 * shared >= 90 * (na + nb - shared)),
+both_ways AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach AS (
+    SELECT a AS node, a AS other FROM both_ways
+    UNION
+    SELECT r.node, e.b FROM reach r JOIN both_ways e ON e.a = r.other
+),
+components AS (
+    SELECT r.node, min(m.least) AS component_id
+    FROM reach r JOIN nodes m ON m.node = r.other GROUP BY r.node
+)
+SELECT sets.doc_id, len(sets.s) AS n_shingles,
+       coalesce(c.component_id, n.least, sets.doc_id) AS component_id
+FROM sets LEFT JOIN nodes n ON n.s = sets.s LEFT JOIN components c ON c.node = n.node
+"""
+
+SHARDED = """
+WITH crc_table AS (
+    SELECT list(list_reduce(list_prepend(i, range(8)), lambda c, b:
+        CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY i) AS t
+    FROM range(256) r(i)
+),
+texts AS (
+    SELECT doc_id, 's' || source AS source, strlen(coalesce(text, '')) + 1 AS size,
+           list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'),
+                          lambda x: CAST('0x' || x AS bigint)) AS data
+    FROM documents
+),
+docs AS (
+    SELECT doc_id, coalesce(source, 'null') AS source, CAST(size AS bigint) AS size,
+           xor(list_reduce(list_prepend(CAST(4294967295 AS bigint), data), lambda c, b:
+               xor(c >> 8, t[xor(c & 255, b) + 1])), CAST(4294967295 AS bigint)) AS crc
+    FROM texts, crc_table
+),
+drawn AS (
+    SELECT *, (CAST(('0x' || substr(md5(concat_ws('|', '0', coalesce(CAST(doc_id AS varchar), 'null'),
+        size, crc)), 1, 13)) AS bigint) + 0.5::double) / 4503599627370496::double AS draw,
+        (CAST(('0x' || substr(md5('0|' || source), 1, 13)) AS bigint) + 0.5::double)
+            / 4503599627370496::double AS shift
+    FROM docs
+),
+ranked AS (
+    SELECT *, row_number() OVER (PARTITION BY source ORDER BY draw, doc_id, size, crc) - 1 AS r,
+           count(*) OVER (PARTITION BY source) AS n
+    FROM drawn
+),
+placed AS (
+    SELECT *, row_number() OVER (
+        ORDER BY (CAST(r AS double) + shift) / CAST(n AS double), source, draw, doc_id, size, crc
+        ) - 1 AS p, count(*) OVER () AS total
+    FROM ranked
+)
+SELECT doc_id, size, crc AS text_crc32, 'rows' AS law, CAST(p * 8 // total AS integer) AS shard,
+       CAST(p - ((p * 8 // total) * total + 7) // 8 AS bigint) AS slot,
+       CAST(NULL AS integer) AS grown_shard
+FROM placed
+"""
+
 ORACLES: dict[str, str] = {
+    "op1_ngram_join": LINKED,
     "op2_warc": ARCHIVED,
+    "op7_sharding": SHARDED,
 }
