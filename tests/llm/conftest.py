@@ -1,0 +1,43 @@
+"""Small tables with everything that can be odd about a row."""
+
+import pytest
+
+LONG = " ".join(f"w{i % 977}x{i % 13}" for i in range(60_000))
+#: Column names that operators use for themselves.
+CLASHING = {
+    "_key": "k", "_row": 1, "node": 2, "score": 3.0, "key": "y", "id": 9, "n_words": -1,
+    "_q_text": "q", "component": 4, "n_lines": -5, "_lines": "l", "_text": "t", "kept": "no",
+}
+SENTENCE = "the quick brown fox jumps over the lazy dog near the old river bank on a warm day"
+
+TEXTS = [
+    (1, SENTENCE), (2, SENTENCE), (2, SENTENCE), (3, None), (4, ""), (5, " \t\n\x0b "),
+    (None, SENTENCE), (None, None), (6, LONG), (7, LONG + " end"), (8, "é日本 🎉 ünï\ncode"),
+    (9, "one"), (10, "one two"), (11, "A\nA\nB\n\nA"), (12, "\x00odd\x01 bytes\x7f"),
+]
+
+
+@pytest.fixture(scope="session")
+def odd(spark):
+    """Texts with nulls, ties, repeated rows, a very long one, and clashing extra columns."""
+    columns = "doc_id bigint, text string, lang string, source string, n_chars bigint"
+    extra = "_key string, _row int, node int, score double, key string, id int, n_words int, "
+    extra += "_q_text string, component int, n_lines int, _lines string, _text string, kept string"
+    rows = [
+        (i, t, "en" if n % 2 else None, None if n % 3 else "s", None, *CLASHING.values())
+        for n, (i, t) in enumerate(TEXTS)
+    ]
+    return spark.createDataFrame(rows, f"{columns}, {extra}").repartition(3)
+
+
+@pytest.fixture(scope="session")
+def no_docs(odd):
+    return odd.where("false")
+
+
+@pytest.fixture(scope="session")
+def labels(spark):
+    return spark.createDataFrame(
+        [(1, 1, 0), (2, 0, 1), (2, 1, 0), (None, 0, 1), (6, None, None), (99, 0, 1)],
+        "doc_id bigint, quality int, toxic int",
+    )
