@@ -228,7 +228,7 @@ def row_key(row_id: str, text: str) -> Column:
 def ngram_components(
     docs: DataFrame, n: int, percent: int, row_id: str = "doc_id", text: str = "text"
 ) -> DataFrame:
-    """One row per document: ``row_id, row_key, n_shingles, node, component_id``.
+    """One row per document: ``row_id, row_key, n_shingles, node, component, component_id``.
 
     Words are ``[^\\x20\\x09-\\x0D]+`` with A-Z lower-cased. Documents link if
     ``100 * overlap >= percent * union`` of their n-gram sets. ``component_id`` is the smallest
@@ -280,9 +280,9 @@ def ngram_components(
         "node", "least_id", F.coalesce("component", "node").alias("component")
     )
     least = placed.groupBy("component").agg(F.min("least_id").alias("component_id"))
-    by_node = placed.join(least, "component").select("node", "component_id")
+    by_node = placed.join(least, "component").select("node", "component", "component_id")
     return profile.join(by_node, "node", "left").select(
-        F.col("id").alias(row_id), "row_key", F.col("size").alias("n_shingles"), "node",
+        F.col("id").alias(row_id), "row_key", F.col("size").alias("n_shingles"), "node", "component",
         F.when(F.col("node").isNull(), F.col("id")).otherwise(F.col("component_id")).alias("component_id"),
     )
 
@@ -324,21 +324,22 @@ def _verified(
 def one_per_component(
     docs: DataFrame, n: int = 5, percent: int = 80, row_id: str = "doc_id", text: str = "text"
 ) -> DataFrame:
-    """The rows of ``docs`` with the smallest id of each component, one row each.
+    """The row of ``docs`` with the smallest id of each component.
 
-    Documents without words link with nothing and all stay. Of repeated rows one stays. In a
-    component of null ids the one with the smallest row key stays.
+    Documents without words link with nothing and all stay. Of rows with that id, and in a
+    component of null ids, the one with the smallest row key stays, once if it is repeated.
     """
     placed = stored(
         ngram_components(docs.select(row_id, text), n, percent, row_id, text), "placed"
     )
-    keep = placed.where(F.col("node").isNotNull() & F.col(row_id).eqNullSafe(F.col("component_id")))
-    # Null ids: a node stands for its component.
-    group = F.coalesce(F.col("component_id"), F.col("node"))
-    best = keep.groupBy(group.alias("_group"), F.col(row_id).isNull().alias("_null")).agg(
-        F.min("row_key").alias("_key")
+    place = F.struct(F.col(row_id).isNull(), F.col(row_id), F.col("row_key"))
+    kept_keys = (
+        placed.where("node IS NOT NULL")
+        .groupBy("component")
+        .agg(F.min(place)["row_key"].alias("_key"))
+        .select("_key")
+        .distinct()
     )
-    kept_keys = best.select("_key").distinct()
     dropped = stored(
         placed.where("node IS NOT NULL")
         .select(F.col("row_key").alias("_key"))
