@@ -352,8 +352,11 @@ def one_per_component(
         .agg(F.count(F.lit(1)).alias("_rows")).where("_rows > 1").select("_key"),
         "repeated",
     )
-    kept = within(docs.withColumn("_key", row_key(row_id, text)), dropped, "_key", "left_anti")
+    # The row travels as one value, so none of its columns can clash with the key.
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")
+    rows = docs.select(whole, row_key(row_id, text).alias("_key"))
+    kept = within(rows, dropped, "_key", "left_anti")
     if not repeated.isEmpty():
         once = within(kept, repeated, "_key").dropDuplicates(["_key"])
         kept = within(kept, repeated, "_key", "left_anti").unionByName(once)
-    return kept.select(*[F.col(f"`{c}`") for c in docs.columns])
+    return kept.select(*[F.col("_row").getField(c).alias(c) for c in docs.columns])

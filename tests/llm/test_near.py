@@ -121,6 +121,7 @@ def test_components_of_odd_rows(spark, odd, no_docs):
     assert ngram_components(no_docs, 3, 90).isEmpty()
     one = one_per_component(odd)
     assert one.columns == odd.columns
+    assert one.where("_key <> 'k' OR node <> 2 OR _row <> 1").isEmpty()
     # The sentence stays once, with the smallest id; rows without words all stay.
     assert rows(one.select("doc_id")) == sorted(
         [(i,) for i in (1, 3, 4, 5, None, 6, 8, 9, 10, 11, 12)], key=repr
