@@ -9,10 +9,13 @@ from orderloom.session import staging_path
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written to the shared folder and read back: its lineage ends there."""
+    """``df`` written to the shared folder and read back: its lineage ends there.
+
+    The schema is known, so reading it back starts no job of its own.
+    """
     path = staging_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def connected_components(edges: DataFrame) -> DataFrame:

@@ -66,8 +66,13 @@ def linked_components(
         .select("key", "members")
     )
     rest = stored(members.join(open_keys, "key"), "open")
-    more = stored(verify(stored(_tile_pairs(rest, items, possible).distinct(), "tiles")), "links")
-    return connected_components(links.union(more))
+    if rest.isEmpty():
+        return known
+    tiles = stored(_tile_pairs(rest, items, possible).distinct(), "tiles")
+    if tiles.isEmpty():
+        return known
+    more = stored(verify(tiles), "links")
+    return known if more.isEmpty() else connected_components(links.union(more))
 
 
 def _shared(signatures: DataFrame) -> DataFrame:
