@@ -5,8 +5,8 @@ length l is cut into ``DISTANCE + 1`` segments; of two lines that are near, the
 some segment of the shorter unchanged, not far from its place. Every line is therefore filed
 under its own segments and looks up, for each length a partner may have, the substrings that
 may match a segment there. Length, segment number and content make the key, so lines meet only
-where all three agree. Candidates are held against each other by the parity of their byte
-counts and then decided by banded bit-parallel edit distance.
+where all three agree. Candidates are held against each other by the parity of their counts of
+bytes and byte pairs and triples, and then decided by banded bit-parallel edit distance.
 
 Near lines are closed to classes. Of the lines of a class the first stays, by document id, row
 and line number, wherever the others are.
@@ -32,7 +32,12 @@ DISTANCE = 2
 MIN_BYTES = 20
 #: Shorter lines only have exact copies; their segments would say too little.
 MIN_NEAR_BYTES = 48
-SKETCH_WORDS = 4
+#: Bytes of lines that advance together.
+TABLE_BYTES = 1 << 20
+#: A line's sketch: for runs of one, two and three bytes, which of 128 classes it has an odd
+#: number of. An edit takes away a run of each byte that it touches and adds as many.
+RUNS = (1, 2, 3)
+SKETCH_WORDS = 2
 _LINES = "row_key bigint, id bigint, line int, node bigint, size int"
 
 
@@ -139,29 +144,44 @@ def _signed(batches: Iterator[pa.RecordBatch], distance: int) -> Iterator[pa.Rec
 
 
 def _sketched(batches: Iterator[pa.RecordBatch], distance: int) -> Iterator[pa.RecordBatch]:
-    """Batches of (text) as (node, size, sketch): which byte values a line has an odd number of."""
+    """Batches of (text) as (node, size, sketch)."""
     for batch in batches:
         for _, _, part, starts, ends, _ in line_spans(batch.column(0)):
             long = ends - starts >= MIN_NEAR_BYTES
             starts, ends = starts[long], ends[long]
             nodes = span_hashes(prefix_hashes(part), starts, ends).astype(np.int64)
-            owner = np.repeat(np.arange(len(starts)), ends - starts)
-            at = np.arange(len(owner)) + np.repeat(
-                starts - (np.cumsum(ends - starts) - (ends - starts)), ends - starts
-            )
-            counts = np.bincount(owner * 256 + part[at], minlength=len(starts) * 256)
-            bits = (counts & 1).astype(np.uint8).reshape(len(starts), 256)
-            words = np.packbits(bits, axis=1, bitorder="little").view(np.int64)
-            offsets = pa.array(np.arange(len(starts) + 1, dtype=np.int32) * SKETCH_WORDS)
+            sketches = _sketches(part, starts, ends - starts)
+            width = sketches.shape[1]
+            offsets = pa.array(np.arange(len(starts) + 1, dtype=np.int32) * width)
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(nodes), pa.array((ends - starts).astype(np.int64)),
-                    pa.ListArray.from_arrays(offsets, pa.array(words.ravel())),
+                    pa.ListArray.from_arrays(offsets, pa.array(sketches.ravel())),
                 ],
                 ["node", "size", "sketch"],
             )
 
 
+def _sketches(part: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """``len(RUNS) * SKETCH_WORDS`` numbers per line."""
+    before = np.cumsum(sizes) - sizes
+    owner = np.repeat(np.arange(len(starts)), sizes)
+    place = np.arange(len(owner)) - np.repeat(before, sizes)
+    at = place + np.repeat(starts, sizes)
+    left = np.repeat(sizes, sizes) - place
+    run, found = np.zeros(len(owner), np.uint64), []
+    for length in RUNS:
+        begins = left >= length
+        owner, at, left, run = owner[begins], at[begins], left[begins], run[begins]
+        run = run << np.uint64(8) | part[at + length - 1].astype(np.uint64)
+        classes = SKETCH_WORDS * 64
+        cell = owner * classes + (mix(run) % np.uint64(classes)).astype(np.int64)
+        odd = np.bincount(cell, minlength=len(starts) * classes) & 1
+        bits = odd.astype(np.uint8).reshape(len(starts), classes)
+        found.append(np.packbits(bits, axis=1, bitorder="little").view(np.int64))
+    return np.concatenate(found, axis=1)
+
+
 def _line_payloads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Batches of (text) as (node, payload), the bytes of the line."""
     for batch in batches:
@@ -178,23 +198,50 @@ def _line_payloads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 def near(line: bytes, others: list[bytes], distance: int = DISTANCE) -> np.ndarray:
     """Which of ``others`` are within ``distance`` edits of ``line``.
 
-    All pairs advance together, a column at a time. A bit vector per pair holds the vertical
-    differences in the band of ``2 * distance + 1`` rows around the diagonal, and the
+    What a pair has in common at its ends is taken off first; it never changes the distance. The
+    rest of all pairs advances together, a column at a time. A bit vector per pair holds the
+    vertical differences in the band of ``2 * distance + 1`` rows around the diagonal, and the
     distance is followed along the diagonal that ends in the last cell. Pairs that are
     too far already are dropped on the way.
     """
     result = np.zeros(len(others), bool)
-    alive = np.array([i for i, o in enumerate(others) if abs(len(o) - len(line)) <= distance], np.int64)
-    # Long lines a few at a time, so that the table of bytes stays small.
-    step = max(1, (4 << 20) // max(1, len(line) + distance))
-    for first in range(0, len(alive), step):
-        chosen = alive[first : first + step]
-        result[chosen] = _near(line, [others[i] for i in chosen], distance)
+    rest: list[tuple[int, bytes, bytes]] = []
+    for i, other in enumerate(others):
+        if abs(len(other) - len(line)) <= distance:
+            a, b = _middle(line, other)
+            if min(len(a), len(b)) == 0:
+                result[i] = max(len(a), len(b)) <= distance
+            else:
+                rest.append((i, a, b) if len(a) >= len(b) else (i, b, a))
+    # Pairs of like length together, and a few at a time if they are long.
+    rest.sort(key=lambda x: len(x[1]))
+    first = 0
+    while first < len(rest):
+        last = first + 1
+        while last < len(rest) and (last + 1 - first) * len(rest[last][1]) <= TABLE_BYTES:
+            last += 1
+        chosen = rest[first:last]
+        result[[i for i, _, _ in chosen]] = _near([x[1:] for x in chosen], distance)
+        first = last
     return result
 
 
-def _near(line: bytes, others: list[bytes], distance: int) -> np.ndarray:
-    pairs = [(line, o) if len(line) >= len(o) else (o, line) for o in others]
+def _middle(a: bytes, b: bytes) -> tuple[bytes, bytes]:
+    """Both without what they begin and end with alike."""
+    head = _alike(a, b)
+    a, b = a[head:], b[head:]
+    tail = _alike(a[::-1], b[::-1])
+    return a[: len(a) - tail], b[: len(b) - tail]
+
+
+def _alike(a: bytes, b: bytes) -> int:
+    n = min(len(a), len(b))
+    differ = np.frombuffer(a, np.uint8, n) != np.frombuffer(b, np.uint8, n)
+    return int(differ.argmax()) if differ.any() else n
+
+
+def _near(pairs: list[tuple[bytes, bytes]], distance: int) -> np.ndarray:
+    """For pairs (longer, shorter), whether they are within ``distance`` edits."""
     rows = np.array([len(a) for a, _ in pairs])
     columns = np.array([len(b) for _, b in pairs])
     # Byte values plus 1; padding never matches.
@@ -250,15 +297,18 @@ def line_classes(docs: DataFrame, distance: int, row_id: str, text: str) -> tupl
     )
 
     def possible_sql(a: str, b: str) -> Column:
-        differ = hamming(f"{a}_sketch", f"{b}_sketch", SKETCH_WORDS)
-        lengths = F.abs(F.col(f"{a}_size") - F.col(f"{b}_size"))
-        # An edit changes the parity of two byte counts at most.
-        return (lengths <= distance) & (differ <= 2 * distance)
+        chance = F.abs(F.col(f"{a}_size") - F.col(f"{b}_size")) <= distance
+        for i, run in enumerate(RUNS):
+            differ = hamming(f"{a}_sketch", f"{b}_sketch", SKETCH_WORDS, i * SKETCH_WORDS)
+            chance = chance & (differ <= 2 * run * distance)
+        return chance
 
     def possible(size, sketch, sizes, sketches):
-        return (np.abs(size - sizes) <= distance) & (
-            numpy_hamming(sketch, sketches) <= 2 * distance
-        )
+        chance = np.abs(size - sizes) <= distance
+        for i, run in enumerate(RUNS):
+            own = slice(i * SKETCH_WORDS, (i + 1) * SKETCH_WORDS)
+            chance &= numpy_hamming(sketch[..., own], sketches[..., own]) <= 2 * run * distance
+        return chance
 
     def verify(pairs: DataFrame) -> DataFrame:
         nodes = stored(

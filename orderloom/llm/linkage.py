@@ -18,7 +18,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -26,8 +26,11 @@ from orderloom.llm.components import connected_components, stored
 
 #: Items of a block: two blocks and their table of comparisons are what a task holds.
 BLOCK = 256
+#: Sketches held against each other in one numpy call.
+COMPARED_AT_ONCE = 50_000
 
-#: (sizes, sketches, sizes, sketches) of pairs, true where a link is not ruled out.
+#: Sizes and sketches of the left and of the right items of pairs; true where a link is not
+#: ruled out.
 Possible = Callable[[np.ndarray, np.ndarray, np.ndarray, np.ndarray], np.ndarray]
 
 
@@ -101,10 +104,10 @@ def _possible_pairs(
     return joined.where(possible("a", "b")).select("a", "b")
 
 
-def hamming(a: str, b: str, words: int) -> Column:
-    """Bits in which the sketches in columns ``a`` and ``b`` differ."""
+def hamming(a: str, b: str, words: int, first: int = 0) -> Column:
+    """Bits in which ``words`` words of the sketches in columns ``a`` and ``b`` differ."""
     total = F.lit(0)
-    for i in range(words):
+    for i in range(first, first + words):
         total = total + F.bit_count(F.get(a, F.lit(i)).bitwiseXOR(F.get(b, F.lit(i))))
     return total
 
@@ -127,34 +130,63 @@ def _tile_pairs(rest: DataFrame, items: DataFrame, possible: Possible) -> DataFr
         .join(items, "node")
     )
 
-    def pairs(tile: pd.DataFrame) -> pd.DataFrame:
-        low, high = tile["_low"].iloc[0], tile["_high"].iloc[0]
-        left = tile[tile["_block"] == low]
-        right = left if low == high else tile[tile["_block"] == high]
-        found = list(_compared(left, right, possible))
-        nodes = np.concatenate(found) if found else np.zeros((0, 2), np.int64)
-        nodes.sort(axis=1)
-        return pd.DataFrame({"a": nodes[:, 0], "b": nodes[:, 1]}).drop_duplicates()
-
-    return dealt.groupBy("key", "_low", "_high").applyInPandas(pairs, "a bigint, b bigint")
-
-
-def _compared(left: pd.DataFrame, right: pd.DataFrame, possible: Possible) -> Iterator[np.ndarray]:
-    if not len(left) or not len(right):
-        return
-
-    def columns(rows: pd.DataFrame) -> tuple[np.ndarray, ...]:
-        sketches = np.stack(rows["sketch"].to_numpy()).astype(np.int64).view(np.uint64)
-        return rows["node"].to_numpy(), rows["component"].to_numpy(), rows["size"].to_numpy(), sketches
-
-    nodes, components, sizes, sketches = columns(left)
-    others, other_components, other_sizes, other_sketches = columns(right)
-    for i in range(len(nodes)):
-        hits = possible(sizes[i], sketches[i], other_sizes, other_sketches)
-        hits &= other_components != components[i]
-        if hits.any():
-            met = others[hits]
-            yield np.stack([np.full(len(met), nodes[i]), met], axis=1)
+    return (
+        dealt.repartition("key", "_low", "_high")
+        .sortWithinPartitions("key", "_low", "_high")
+        .select("key", "_low", "_high", "_block", "node", "component", "size", "sketch")
+        .mapInArrow(lambda batches: _tiles(batches, possible), "a bigint, b bigint")
+    )
+
+
+def _tiles(batches: Iterator[pa.RecordBatch], possible: Possible) -> Iterator[pa.RecordBatch]:
+    """Pairs of sorted tile rows. A tile that goes on in the next batch waits for it."""
+    waiting: list[np.ndarray] | None = None
+    for batch in batches:
+        columns = [batch.column(i).to_numpy() for i in range(7)]
+        sketches = batch.column(7).flatten().to_numpy()
+        columns.append(sketches.reshape(batch.num_rows, -1).view(np.uint64))
+        if waiting is not None and len(waiting[0]):
+            columns = [np.concatenate(pair) for pair in zip(waiting, columns)]
+        if not len(columns[0]):
+            continue
+        tile = _numbered(columns)
+        last = int(np.searchsorted(tile, tile[-1]))
+        yield _pairs_of([c[:last] for c in columns], tile[:last], possible)
+        waiting = [c[last:] for c in columns]
+    if waiting is not None and len(waiting[0]):
+        yield _pairs_of(waiting, _numbered(waiting), possible)
+
+
+def _numbered(columns: list[np.ndarray]) -> np.ndarray:
+    fresh = np.zeros(len(columns[0]), bool)
+    for column in columns[:3]:
+        fresh[1:] |= column[1:] != column[:-1]
+    return np.cumsum(fresh)
+
+
+def _pairs_of(columns: list[np.ndarray], tile: np.ndarray, possible: Possible) -> pa.RecordBatch:
+    """All tiles of a batch at once: rows are held against the row 1, 2, ... places further on,
+    as long as that lies in the same tile."""
+    _, low, high, block, node, component, size, sketch = columns
+    found = [np.zeros((0, 2), np.int64)]
+    left, step = np.arange(len(tile)), 1
+    while True:
+        left = left[left + step < len(tile)]
+        left = left[tile[left] == tile[left + step]]
+        if not len(left):
+            break
+        right = left + step
+        open_pair = (component[left] != component[right]) & (
+            (low[left] == high[left]) | (block[left] != block[right])
+        )
+        i, j = left[open_pair], right[open_pair]
+        for first in range(0, len(i), COMPARED_AT_ONCE):
+            x, y = i[first : first + COMPARED_AT_ONCE], j[first : first + COMPARED_AT_ONCE]
+            hits = possible(size[x], sketch[x], size[y], sketch[y])
+            found.append(np.stack([node[x[hits]], node[y[hits]]], axis=1))
+        step += 1
+    nodes = np.unique(np.sort(np.concatenate(found), axis=1), axis=0)
+    return pa.RecordBatch.from_arrays([pa.array(nodes[:, 0]), pa.array(nodes[:, 1])], ["a", "b"])
 
 
 def numpy_hamming(sketch: np.ndarray, others: np.ndarray) -> np.ndarray:
