@@ -110,8 +110,50 @@ SELECT doc_id, size, crc AS text_crc32, 'rows' AS law, CAST(p * 8 // total AS in
 FROM placed
 """
 
+# levenshtein() counts edits of bytes, as the operator does.
+DEDUPED_LINES = """
+WITH RECURSIVE lines AS (
+    SELECT doc_id, unnest(string_split(text, chr(10))) AS line,
+           generate_subscripts(string_split(text, chr(10)), 1) AS n
+    FROM documents WHERE text IS NOT NULL
+),
+distinct_lines AS (
+    SELECT line, strlen(line) AS size, row_number() OVER (ORDER BY line) AS node
+    FROM lines WHERE strlen(line) >= 20 GROUP BY line
+),
+links AS (
+    SELECT a.node AS a, b.node AS b
+    FROM distinct_lines a, range(3) d(shift), distinct_lines b
+    WHERE b.size = a.size + d.shift AND a.size >= 48 AND (d.shift > 0 OR a.node < b.node)
+      AND levenshtein(a.line, b.line) <= 2
+),
+both_ways AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach AS (
+    SELECT a AS node, a AS other FROM both_ways
+    UNION
+    SELECT r.node, e.b FROM reach r JOIN both_ways e ON e.a = r.other
+),
+classes AS (SELECT node, min(other) AS class FROM reach GROUP BY node),
+placed AS (
+    SELECT l.doc_id, l.n, l.line, coalesce(c.class, d.node) AS class
+    FROM lines l LEFT JOIN distinct_lines d ON d.line = l.line LEFT JOIN classes c ON c.node = d.node
+),
+judged AS (
+    SELECT *, class IS NULL OR row_number() OVER (PARTITION BY class ORDER BY doc_id, n) = 1 AS stays
+    FROM placed
+),
+rebuilt AS (
+    SELECT doc_id, count(*) AS n_lines, count(*) FILTER (NOT stays) AS n_dropped,
+           coalesce(string_agg(line, chr(10) ORDER BY n) FILTER (stays), '') AS text
+    FROM judged GROUP BY doc_id
+)
+SELECT d.doc_id, coalesce(r.n_lines, 0) AS n_lines, coalesce(r.n_dropped, 0) AS n_dropped, r.text
+FROM documents d LEFT JOIN rebuilt r ON r.doc_id = d.doc_id
+"""
+
 ORACLES: dict[str, str] = {
     "op1_ngram_join": LINKED,
     "op2_warc": ARCHIVED,
+    "op5_line_dedup": DEDUPED_LINES,
     "op7_sharding": SHARDED,
 }
