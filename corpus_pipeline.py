@@ -34,7 +34,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without lines that an earlier one has; those left without any text go."""
     deduped = dedup_lines(docs)
-    emptied = (F.col("n_dropped") > 0) & (F.trim("text") == "")
+    emptied = (F.col("n_dropped") > 0) & ~F.col("text").rlike(r"[^\x20\x09-\x0D]")
     kept = deduped.where(~F.coalesce(emptied, F.lit(False)))
     return kept.withColumn("n_chars", F.char_length("text").cast("bigint")).select(*docs.columns)
 

@@ -252,7 +252,7 @@ def test_the_pipeline_stage_by_stage(spark):
     before, after = results[names[1]]
     expected = deduped_by_loops(texts(before))
     given = dict(texts(before))
-    expected = [(d, t) for d, t in expected if t.strip(" ") or not given[d].strip(" ")]
+    expected = [(d, t) for d, t in expected if WORD.search(t) or t == given[d]]
     assert sorted(texts(after)) == sorted(expected)
     assert all(after.n_chars == after.text.str.len())
 
