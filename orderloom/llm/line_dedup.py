@@ -363,7 +363,9 @@ def dedup_lines(
         F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"),
         row_key(row_id, text).alias("_key"),
         F.split(F.col(text), "\n", -1).alias("_lines"),
-    ).join(dropped, "_key", "left")
+    )
+    # As many rows as there are documents with copies, so never a broadcast.
+    rows = rows.join(dropped.hint("merge"), "_key", "left")
     rows = rows.withColumn("_drop", F.coalesce("_drop", F.array().cast("array<int>")))
     kept = F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), "_drop")
     cleaned = F.concat_ws("\n", F.transform(kept, lambda i: F.get("_lines", i)))

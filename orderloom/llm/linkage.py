@@ -7,10 +7,13 @@ shared by thousands, so links are looked for in two steps:
    Verified links are closed to components. In a group of copies all is settled here.
 2. Tiles: groups that still span several components are cut into blocks of bounded size, and
    bit sketches of two blocks are held against each other in numpy. Only pairs in different
-   components whose sketches leave a link possible become rows, and are verified.
+   components whose sketches leave a link possible become rows, and are verified. In the first
+   rounds a tile sends no more pairs than would join its components, one for each join, so
+   that a large group of copies of copies is closed with few; the last round sends all that
+   are left.
 
-Both steps pass every linked pair that could still join two components, so the components
-are exact.
+The last round passes every pair that could still join two components, so the components are
+exact.
 """
 
 from __future__ import annotations
@@ -53,8 +56,32 @@ def linked_components(
     links = stored(verify(candidates), "links")
     known = stored(connected_components(links), "components")
 
-    # Nodes without any link are components of their own. The least node of a group has
-    # been held against all others and needs no second look.
+    sparing = 2
+    while True:
+        rest = stored(_open_groups(groups, known), "open")
+        if rest.isEmpty():
+            return known
+        tiles = stored(_tile_pairs(rest, items, possible, sparing > 0).distinct(), "tiles")
+        if tiles.isEmpty():
+            return known
+        found = stored(verify(tiles), "links")
+        joined = not found.isEmpty()
+        if joined:
+            links = stored(links.union(found), "links")
+            known = stored(connected_components(links), "components")
+        if not sparing:
+            return known
+        # A round that joins nothing would send the same pairs again.
+        sparing = sparing - 1 if joined else 0
+
+
+def _open_groups(groups: DataFrame, known: DataFrame) -> DataFrame:
+    """``key, node, component, members`` of groups that span several components.
+
+    Nodes without any link are components of their own. The least node of a group has
+    been held against all others and needs no second look. Groups of the same members, as
+    near copies have by the dozen, count once.
+    """
     members = groups.join(known, "node", "left").select(
         "key", "node", F.coalesce("component", "node").alias("component")
     )
@@ -64,18 +91,14 @@ def linked_components(
             F.min("component").alias("low"),
             F.max("component").alias("high"),
             F.count(F.lit(1)).alias("members"),
+            F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("_set"),
         )
         .where("low < high")
+        .groupBy("members", "_set")
+        .agg(F.min("key").alias("key"))
         .select("key", "members")
     )
-    rest = stored(members.join(open_keys, "key"), "open")
-    if rest.isEmpty():
-        return known
-    tiles = stored(_tile_pairs(rest, items, possible).distinct(), "tiles")
-    if tiles.isEmpty():
-        return known
-    more = stored(verify(tiles), "links")
-    return known if more.isEmpty() else connected_components(links.union(more))
+    return members.join(open_keys, "key")
 
 
 def _shared(signatures: DataFrame) -> DataFrame:
@@ -112,8 +135,11 @@ def hamming(a: str, b: str, words: int, first: int = 0) -> Column:
     return total
 
 
-def _tile_pairs(rest: DataFrame, items: DataFrame, possible: Possible) -> DataFrame:
-    """Pairs of open groups that lie in different components and may link.
+def _tile_pairs(
+    rest: DataFrame, items: DataFrame, possible: Possible, sparing: bool
+) -> DataFrame:
+    """Pairs of open groups that lie in different components and may link; if ``sparing``, a tile
+    leaves out pairs whose components are joined by those that it sends.
 
     Blocks of a group meet in pairs: item of block i goes to the tiles (min(i, j), max(i, j))
     for all j, so a tile holds two blocks at most however large the group is.
@@ -134,11 +160,13 @@ def _tile_pairs(rest: DataFrame, items: DataFrame, possible: Possible) -> DataFr
         dealt.repartition("key", "_low", "_high")
         .sortWithinPartitions("key", "_low", "_high")
         .select("key", "_low", "_high", "_block", "node", "component", "size", "sketch")
-        .mapInArrow(lambda batches: _tiles(batches, possible), "a bigint, b bigint")
+        .mapInArrow(lambda batches: _tiles(batches, possible, sparing), "a bigint, b bigint")
     )
 
 
-def _tiles(batches: Iterator[pa.RecordBatch], possible: Possible) -> Iterator[pa.RecordBatch]:
+def _tiles(
+    batches: Iterator[pa.RecordBatch], possible: Possible, sparing: bool
+) -> Iterator[pa.RecordBatch]:
     """Pairs of sorted tile rows. A tile that goes on in the next batch waits for it."""
     waiting: list[np.ndarray] | None = None
     for batch in batches:
@@ -151,10 +179,10 @@ def _tiles(batches: Iterator[pa.RecordBatch], possible: Possible) -> Iterator[pa
             continue
         tile = _numbered(columns)
         last = int(np.searchsorted(tile, tile[-1]))
-        yield _pairs_of([c[:last] for c in columns], tile[:last], possible)
+        yield _pairs_of([c[:last] for c in columns], tile[:last], possible, sparing)
         waiting = [c[last:] for c in columns]
     if waiting is not None and len(waiting[0]):
-        yield _pairs_of(waiting, _numbered(waiting), possible)
+        yield _pairs_of(waiting, _numbered(waiting), possible, sparing)
 
 
 def _numbered(columns: list[np.ndarray]) -> np.ndarray:
@@ -164,7 +192,9 @@ def _numbered(columns: list[np.ndarray]) -> np.ndarray:
     return np.cumsum(fresh)
 
 
-def _pairs_of(columns: list[np.ndarray], tile: np.ndarray, possible: Possible) -> pa.RecordBatch:
+def _pairs_of(
+    columns: list[np.ndarray], tile: np.ndarray, possible: Possible, sparing: bool
+) -> pa.RecordBatch:
     """All tiles of a batch at once: rows are held against the row 1, 2, ... places further on,
     as long as that lies in the same tile."""
     _, low, high, block, node, component, size, sketch = columns
@@ -183,11 +213,38 @@ def _pairs_of(columns: list[np.ndarray], tile: np.ndarray, possible: Possible) -
         for first in range(0, len(i), COMPARED_AT_ONCE):
             x, y = i[first : first + COMPARED_AT_ONCE], j[first : first + COMPARED_AT_ONCE]
             hits = possible(size[x], sketch[x], size[y], sketch[y])
-            found.append(np.stack([node[x[hits]], node[y[hits]]], axis=1))
+            found.append(np.stack([x[hits], y[hits]], axis=1))
         step += 1
+    at = np.concatenate(found)
+    if sparing:
+        at = at[_forest(tile[at[:, 0]], component[at[:, 0]], component[at[:, 1]])]
+    found = [node[at]]
     nodes = np.unique(np.sort(np.concatenate(found), axis=1), axis=0)
     return pa.RecordBatch.from_arrays([pa.array(nodes[:, 0]), pa.array(nodes[:, 1])], ["a", "b"])
 
 
+def _forest(tile: np.ndarray, left: np.ndarray, right: np.ndarray) -> list[int]:
+    """Positions of pairs that are enough to join, tile by tile, all that the pairs would join."""
+    _, first = np.unique(
+        np.stack([tile, np.minimum(left, right), np.maximum(left, right)], axis=1),
+        axis=0, return_index=True,
+    )
+    parent: dict[tuple[int, int], tuple[int, int]] = {}
+
+    def find(x: tuple[int, int]) -> tuple[int, int]:
+        while (above := parent.setdefault(x, x)) != x:
+            parent[x] = parent[above]
+            x = above
+        return x
+
+    kept = []
+    for at in first.tolist():
+        a, b = find((int(tile[at]), int(left[at]))), find((int(tile[at]), int(right[at])))
+        if a != b:
+            parent[a] = b
+            kept.append(at)
+    return kept
+
+
 def numpy_hamming(sketch: np.ndarray, others: np.ndarray) -> np.ndarray:
     return np.bitwise_count(sketch ^ others).sum(axis=-1).astype(np.int64)

@@ -30,10 +30,12 @@ def linking_pairs(pairs: DataFrame, payloads: DataFrame, compare: Compare) -> Da
     firsts = salts.select(
         "a", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("salts") - 1)).alias("salt")
     )
-    brought = firsts.join(payloads.withColumnRenamed("node", "a"), "a").select(
+    # Payloads are large and the pairs many: always sorted and merged, so that a plan that was
+    # tried on a small table is the one that runs on a large one.
+    brought = firsts.join(payloads.withColumnRenamed("node", "a").hint("merge"), "a").select(
         "a", "salt", F.lit(None).cast("bigint").alias("b"), "payload"
     )
-    met = salted.join(payloads.withColumnRenamed("node", "b"), "b").select(
+    met = salted.join(payloads.withColumnRenamed("node", "b").hint("merge"), "b").select(
         "a", "salt", "b", "payload"
     )
     return (
