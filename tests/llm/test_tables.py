@@ -235,6 +235,19 @@ def test_common_subsequence_against_a_table():
         assert all(a[i] in rest for i in found)
 
 
+@pytest.mark.parametrize("attributes,chrome", [
+    ('style="overflow:hidden"', False), ("href='/hidden/gems'", False), ('title="hidden costs"', False),
+    ("href=/p?class=ad", False), ('data-id="share"', False), ('href="/p?id=search"', False),
+    ('title="a role=search b"', False), ('aria-hidden="false"', False), ("data-hidden", False),
+    ("hidden", True), ('style="x"hidden', True), ("/hidden", True), ("HIDDEN=''", True),
+    ('aria-hidden = "true"', True), ("title='x' ID=share", True), ("class = 'big ad-box'", True),
+    ('title="id=x" role="search"', True),
+])
+def test_only_whole_attributes_make_chrome(attributes, chrome):
+    lines = html_text.page_lines(f"<article><p>a</p><div {attributes}>b</div><p>c</p></article>")
+    assert html_text.main_lines(lines) == (["a", "c"] if chrome else ["a", "b", "c"])
+
+
 def test_components(spark):
     rng = random.Random(3)
     edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(170)]
