@@ -25,6 +25,8 @@ RULES = {
     "example.com/de/": "block",
     "org/fr/": "allow",
 }
+#: So many tokens of rules are sent to the tasks of the filter at most; with more, rules are joined.
+VOCABULARY = 1000
 NO_RULES = "rule_id bigint, items array<string>, anchor string, support bigint, confidence double"
 
 
@@ -81,14 +83,11 @@ def url_tokens(url: Column) -> Column:
 
 @dataclass(frozen=True)
 class MinedRules:
-    """``table`` has one row per rule; ``vocabulary`` are the tokens that rules use.
-
-    A token in a rule is in at least ``min_support`` of the bad URLs, so the vocabulary has at
-    most tokens-per-URL / ``min_support`` entries whatever the size of the corpus.
-    """
+    """``table`` has one row per rule; ``vocabulary`` are the tokens that rules use, or None if
+    they are more than ``VOCABULARY``."""
 
     table: DataFrame
-    vocabulary: tuple[str, ...]
+    vocabulary: tuple[str, ...] | None
 
 
 def mine_rules(
@@ -98,17 +97,16 @@ def mine_rules(
     url: str = "url",
     row_id: str = "doc_id",
     label: str = "quality",
-    min_support: float = 0.01,
     min_count: int = 5,
     min_confidence: float = 0.6,
-    max_items: int = 3,
 ) -> MinedRules:
     """Token combinations that speak for a URL labelled 0.
 
-    All labelled URLs count. ``min_support`` is the share of bad URLs that must hold the
-    combination, ``min_confidence`` the share of bad ones among the labelled URLs that hold
-    it. A rule that adds tokens to another of at least its confidence is dropped. Pages
-    without label, null ids and null labels are not learned from; no labels, no rules.
+    All labelled URLs count. ``min_count`` is the number of bad URLs that must hold the
+    combination (all of them if there are fewer), whatever the number of bad URLs and of
+    tokens; ``min_confidence`` the share of bad ones among the labelled URLs that hold it. A
+    rule that adds tokens to another of at least its confidence is dropped. Pages without
+    label, null ids and null labels are not learned from; no labels, no rules.
     """
     spark = pages.sparkSession
     path = staging_path(spark, "url-labelled")
@@ -131,10 +129,10 @@ def mine_rules(
     transactions = labelled.where("_bad > 0").select(
         F.explode(F.array_repeat("_tokens", F.col("_bad").cast("int"))).alias("items")
     )
-    share = max(min_support, min_count / bad_rows)
-    model = FPGrowth(itemsCol="items", minSupport=min(1.0, share)).fit(transactions)
-    sets = model.freqItemsets.where(F.size("items") <= max_items)
-    sets = sets.select(F.array_sort("items").alias("items"), F.col("freq").alias("support"))
+    # FP-growth rounds share times rows up to a count; half a row less keeps that exact.
+    share = min(1.0, (min_count - 0.5) / bad_rows)
+    model = FPGrowth(itemsCol="items", minSupport=share).fit(transactions)
+    sets = model.freqItemsets.select(F.array_sort("items").alias("items"), F.col("freq").alias("support"))
     path = staging_path(spark, "url-itemsets")
     sets.write.parquet(path)
     sets = spark.read.parquet(path)
@@ -171,9 +169,9 @@ def mine_rules(
     path = staging_path(spark, "url-rules")
     rules.write.parquet(path)
     rules = spark.read.parquet(path)
-    # Bounded, see MinedRules.
-    words = rules.select(F.explode("items").alias("token")).distinct().orderBy("token").collect()
-    return MinedRules(rules, tuple(r["token"] for r in words))
+    tokens = rules.select(F.explode("items").alias("token")).distinct()
+    words = sorted(r["token"] for r in tokens.limit(VOCABULARY + 1).collect())
+    return MinedRules(rules, tuple(words) if len(words) <= VOCABULARY else None)
 
 
 def _matches(rows: DataFrame, tokens: str, rules: DataFrame) -> DataFrame:
@@ -222,9 +220,12 @@ def filter_urls(
     """
     rows = pages.select(page_id, F.col(url).alias("_url")).withColumns(split_url(F.col("_url")))
     rows = rows.withColumn("rule", fixed_rule(rules))
-    known = F.array(*map(F.lit, mined.vocabulary)).cast("array<string>")
-    rows = rows.withColumn("_tokens", F.array_intersect(url_tokens(F.col("_url")), known))
-    # Only tokens that rules use are left, so distinct sets are few and matched once each.
+    rows = rows.withColumn("_tokens", url_tokens(F.col("_url")))
+    if mined.vocabulary is not None:
+        # Only tokens that rules use are left, so distinct sets are few.
+        known = F.array(*map(F.lit, mined.vocabulary)).cast("array<string>")
+        rows = rows.withColumn("_tokens", F.array_intersect("_tokens", known))
+    # Equal sets are matched once.
     sets = rows.select("_tokens").distinct()
     found = (
         _matches(sets, "_tokens", mined.table)

@@ -140,6 +140,24 @@ def test_mined_url_rules(spark):
     assert url_filter.mine_rules(df, labels.where("false")).vocabulary == ()
 
 
+@pytest.mark.parametrize("vocabulary", [1000, 2])
+def test_mined_rules_of_one_host_among_many_and_of_four_tokens(spark, monkeypatch, vocabulary):
+    monkeypatch.setattr(url_filter, "VOCABULARY", vocabulary)
+    # A host of 8 bad URLs among 1,208; the path and three host labels are bad only together.
+    bad = [f"http://lone.com/{i}" for i in range(8)] + [f"http://w.x.y/win/{i}" for i in range(1200)]
+    good = [f"http://{h}/{p}/{i}" for h, p in
+            [("w.x.z", "win"), ("w.u.y", "win"), ("v.x.y", "win"), ("w.x.y", "news")] for i in range(1200)]
+    data = list(enumerate(bad + good + ["http://a.com/1"] * 50))
+    df = spark.createDataFrame(data, "page_id int, url string")
+    labels = df.selectExpr("page_id AS doc_id", f"int(page_id >= {len(bad)}) AS quality")
+    mined = url_filter.mine_rules(df, labels)
+    found = {tuple(r["items"]): r.support for r in mined.table.collect()}
+    assert found == {("host:lone",): 8, ("host:w", "host:x", "host:y", "path:win"): 1200}
+    assert (mined.vocabulary is None) == (vocabulary == 2)
+    blocked = url_filter.filter_urls(df, mined).where("verdict = 'block'")
+    assert sorted(r.page_id for r in blocked.collect()) == list(range(len(bad)))
+
+
 def test_archives_of_odd_pages(spark, pages, tmp_path):
     folder = str(tmp_path / "archives")
     manifest = warc.write_archives(warc.plan_records(pages, min_revisit_bytes=100), folder, archive_bytes=2000)
