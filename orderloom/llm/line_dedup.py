@@ -30,7 +30,7 @@ from orderloom.llm.words import mix, prefix_hashes, slices, span_hashes, text_by
 DISTANCE = 2
 #: Shorter lines (in bytes) are never dropped: short ones recur in clean documents.
 MIN_BYTES = 20
-#: Shorter lines only have exact copies; their segments would say too little.
+#: Shorter lines only have exact copies unless ``min_near_bytes`` says otherwise.
 MIN_NEAR_BYTES = 48
 #: Bytes of lines that advance together.
 TABLE_BYTES = 1 << 20
@@ -88,14 +88,15 @@ def segments(length: int, distance: int) -> list[tuple[int, int]]:
     return [(sum(sizes[:i]), size) for i, size in enumerate(sizes)]
 
 
-def probes(size: int, distance: int) -> list[tuple[int, int, int, int]]:
+def probes(size: int, distance: int, least: int) -> list[tuple[int, int, int, int]]:
     """Where a line of ``size`` looks: (partner's length, segment, start, length).
 
+    Partners have ``least`` bytes or more.
     Start positions are those that keep the errors before and after a segment within bounds
     (multi-match-aware selection). Its own segments are among them.
     """
     found = []
-    for length in range(max(MIN_NEAR_BYTES, size - distance), size + 1):
+    for length in range(max(least, size - distance), size + 1):
         shift = size - length
         for i, (start, width) in enumerate(segments(length, distance)):
             low = max(0, start - i, start + shift - (distance - i))
@@ -104,13 +105,16 @@ def probes(size: int, distance: int) -> list[tuple[int, int, int, int]]:
     return found
 
 
-def _signed(batches: Iterator[pa.RecordBatch], distance: int) -> Iterator[pa.RecordBatch]:
+def _signed(
+    batches: Iterator[pa.RecordBatch], distance: int, least: int | None = None
+) -> Iterator[pa.RecordBatch]:
     """Batches of (text) as (key, node), for lines that may have near ones."""
+    least = MIN_NEAR_BYTES if least is None else least
     seen: set[int] = set()
     places: dict[int, tuple[np.ndarray, ...]] = {}
     for batch in batches:
         for _, _, part, starts, ends, _ in line_spans(batch.column(0)):
-            long = ends - starts >= MIN_NEAR_BYTES
+            long = ends - starts >= least
             starts, sizes = starts[long], (ends - starts)[long]
             if not len(starts):
                 continue
@@ -127,7 +131,7 @@ def _signed(batches: Iterator[pa.RecordBatch], distance: int) -> Iterator[pa.Rec
             for a, z in zip(cuts[:-1], cuts[1:]):
                 size = int(sizes[a])
                 if size not in places:
-                    table = np.array(probes(size, distance), np.int64)
+                    table = np.array(probes(size, distance, least), np.int64)
                     salt = mix((table[:, 0] << 8 | table[:, 1]).astype(np.uint64))
                     places[size] = (table[:, 2], table[:, 2] + table[:, 3], salt)
                 begin, end, salt = places[size]
@@ -143,11 +147,11 @@ def _signed(batches: Iterator[pa.RecordBatch], distance: int) -> Iterator[pa.Rec
                 seen = set()
 
 
-def _sketched(batches: Iterator[pa.RecordBatch], distance: int) -> Iterator[pa.RecordBatch]:
+def _sketched(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
     """Batches of (text) as (node, size, sketch)."""
     for batch in batches:
         for _, _, part, starts, ends, _ in line_spans(batch.column(0)):
-            long = ends - starts >= MIN_NEAR_BYTES
+            long = ends - starts >= least
             starts, ends = starts[long], ends[long]
             nodes = span_hashes(prefix_hashes(part), starts, ends).astype(np.int64)
             sketches = _sketches(part, starts, ends - starts)
@@ -182,11 +186,11 @@ def _sketches(part: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.nda
     return np.concatenate(found, axis=1)
 
 
-def _line_payloads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _line_payloads(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
     """Batches of (text) as (node, payload), the bytes of the line."""
     for batch in batches:
         for _, _, part, starts, ends, _ in line_spans(batch.column(0)):
-            long = ends - starts >= MIN_NEAR_BYTES
+            long = ends - starts >= least
             starts, ends = starts[long], ends[long]
             nodes = span_hashes(prefix_hashes(part), starts, ends).astype(np.int64)
             lines = [part[a:z].tobytes() for a, z in zip(starts, ends)]
@@ -279,8 +283,11 @@ def _near(pairs: list[tuple[bytes, bytes]], distance: int) -> np.ndarray:
     return score <= distance
 
 
-def line_classes(docs: DataFrame, distance: int, row_id: str, text: str) -> tuple[DataFrame, DataFrame]:
-    """Lines as ``row_key, id, line, node, size``, and ``node, component`` of near ones."""
+def line_classes(
+    docs: DataFrame, distance: int, row_id: str, text: str, least: int
+) -> tuple[DataFrame, DataFrame]:
+    """Lines as ``row_key, id, line, node, size``, and ``node, component`` of near ones of
+    ``least`` bytes or more."""
     rows = docs.select(
         row_key(row_id, text).alias("_key"), F.col(row_id).cast("bigint").alias("_id"),
         F.col(text).alias("_text"),
@@ -288,12 +295,12 @@ def line_classes(docs: DataFrame, distance: int, row_id: str, text: str) -> tupl
     lines = stored(rows.select("_key", "_id", "_text").mapInArrow(_listed, _LINES), "lines")
     items = stored(
         rows.select("_text")
-        .mapInArrow(lambda b: _sketched(b, distance), "node bigint, size bigint, sketch array<bigint>")
+        .mapInArrow(lambda b: _sketched(b, least), "node bigint, size bigint, sketch array<bigint>")
         .dropDuplicates(["node"]),
         "line-sketches",
     )
     signatures = rows.select("_text").mapInArrow(
-        lambda batches: _signed(batches, distance), "key bigint, node bigint"
+        lambda batches: _signed(batches, distance, least), "key bigint, node bigint"
     )
 
     def possible_sql(a: str, b: str) -> Column:
@@ -321,7 +328,7 @@ def line_classes(docs: DataFrame, distance: int, row_id: str, text: str) -> tupl
             "homes",
         )
         found = within(rows, homes, "_key").select("_text").mapInArrow(
-            _line_payloads, "node bigint, payload binary"
+            lambda batches: _line_payloads(batches, least), "node bigint, payload binary"
         )
         payloads = stored(within(found, nodes, "node").dropDuplicates(["node"]), "payloads")
         return linking_pairs(pairs, payloads, lambda mine, others: near(mine, others, distance))
@@ -330,19 +337,20 @@ def line_classes(docs: DataFrame, distance: int, row_id: str, text: str) -> tupl
 
 
 def dedup_lines(
-    docs: DataFrame, distance: int = DISTANCE, row_id: str = "doc_id", text: str = "text"
+    docs: DataFrame, distance: int = DISTANCE, row_id: str = "doc_id", text: str = "text",
+    min_near_bytes: int = MIN_NEAR_BYTES,
 ) -> DataFrame:
     """``docs`` without lines that are near an earlier one, plus ``n_lines`` and ``n_dropped``.
 
     Lines are what line feeds separate. Those of ``MIN_BYTES`` or more count as copies if they
-    are equal, those of ``MIN_NEAR_BYTES`` or more also if a chain of lines within
+    are equal, those of ``min_near_bytes`` or more also if a chain of lines within
     ``distance`` byte edits joins them. Of each class the first line stays, by id (null ids
     last), row key and line number; all other text stays as it is, and so does every row.
     Rows that agree in id and text count as one and lose the same lines. A null text stays
     null and has no lines; an empty one has one empty line. Other columns are carried along;
     ``n_lines`` and ``n_dropped`` replace columns of these names.
     """
-    lines, linked = line_classes(docs, distance, row_id, text)
+    lines, linked = line_classes(docs, distance, row_id, text, max(MIN_BYTES, min_near_bytes))
     linked = stored(linked, "line-classes")
     placed = lines.join(linked, "node", "left").select(
         "row_key", "id", "line", F.coalesce("component", "node").alias("class")

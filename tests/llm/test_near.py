@@ -7,6 +7,7 @@ from collections import Counter
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from orderloom.llm import line_dedup
@@ -220,6 +221,19 @@ def test_lines_against_loops(spark):
     assert rows(counts) == [(100, 0, 0), (101, 1, 0), (102, 3, 0)]
 
 
+def test_short_lines_of_the_pipeline_are_near_too(spark, monkeypatch):
+    rng = random.Random(20)
+    base = ["".join(rng.choice("abcdef ") for _ in range(size)) for size in (20, 21, 30, 47, 48) * 3]
+    docs = [(i, "\n".join(edit(rng, rng.choice(base), "abcdef ") for _ in range(4))) for i in range(30)]
+    df = spark.createDataFrame(docs, "doc_id bigint, text string").withColumn("n_chars", F.lit(0))
+    found = rows(corpus_pipeline.line_dedup(spark, df, DATA).select("doc_id", "text"))
+    narrow = deduped_by_loops(docs)
+    monkeypatch.setattr(line_dedup, "MIN_NEAR_BYTES", line_dedup.MIN_BYTES)
+    expected = deduped_by_loops(docs)
+    assert expected != narrow
+    assert found == sorted([(d, t) for d, t in expected if WORD.search(t)], key=repr)
+
+
 def test_lines_of_odd_rows(spark, odd, no_docs):
     found = line_dedup.dedup_lines(odd)
     assert found.columns == [c for c in odd.columns if c != "n_lines"] + ["n_lines", "n_dropped"]
