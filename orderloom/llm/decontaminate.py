@@ -262,8 +262,8 @@ def clean_documents(
 ) -> DataFrame:
     """The rows of ``docs`` that hold no benchmark item, all columns as they are.
 
-    The decision is made where the row is, so nothing is joined; edge cases as in
-    ``contaminated_pairs``.
+    The decision is made where the row is, so nothing is joined. Items need no id; other edge
+    cases as in ``contaminated_pairs``.
     """
     names = docs.columns
 
@@ -277,6 +277,8 @@ def clean_documents(
             good[bad.to_numpy()] = False
             yield batch.filter(pa.array(good))
 
-    for block in _blocks(benchmark, "item_id", "text", min_match, block_tokens):
+    # Which item it is does not matter here, so all have the same id.
+    items = benchmark.select(F.lit(0).alias("item_id"), "text")
+    for block in _blocks(items, "item_id", "text", min_match, block_tokens):
         docs = docs.mapInArrow(lambda batches, b=block: keep(batches, b), docs.schema)
     return docs

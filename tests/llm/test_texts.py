@@ -279,3 +279,11 @@ def test_reordered_passages_count_in_full(spark, odd, no_docs):
     for empty in (decontaminate.contaminated_pairs, decontaminate.clean_documents):
         result = empty(odd, items.where("false"))
         assert result.count() == (len(TEXTS) if empty is decontaminate.clean_documents else 0)
+
+
+def test_items_without_id_clean_documents_too(spark, odd):
+    items = spark.createDataFrame([(None, SENTENCE), (None, None), (1, "one two")], "item_id bigint, text string")
+    clean = decontaminate.clean_documents(odd, items)
+    assert rows(clean.select("doc_id")) == sorted(
+        [(i,) for i, t in TEXTS if t != SENTENCE and i != 10], key=repr
+    )
