@@ -12,6 +12,7 @@ from orderloom.llm.bpe import bpe_round_trip
 from orderloom.llm.decontaminate import contaminated_pairs
 from orderloom.llm.html_text import extract_text
 from orderloom.llm.line_dedup import dedup_lines
+from orderloom.llm.merkle import merkle_manifest
 from orderloom.llm.ngram_join import ngram_components
 from orderloom.llm.quality_rules import STATISTICS, learn_rules, score_quality
 from orderloom.llm.sharding import proportional_shards
@@ -86,6 +87,15 @@ def op10_url_filter(spark: SparkSession, folder: str) -> DataFrame:
     return filter_urls(pages, mine_rules(pages, table(spark, folder, "labels")))
 
 
+def op13_merkle(spark: SparkSession, folder: str) -> DataFrame:
+    even = F.crc32(F.col("doc_id").cast("string")) % 2 == 0
+    without_breaks = F.when(even, F.replace("text", F.lit("\n"), F.lit(""))).otherwise(F.col("text"))
+    manifest = merkle_manifest(table(spark, folder, "documents"), claims={"text": without_breaks})
+    return manifest.select(
+        "doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified"
+    )
+
+
 QUERIES: dict[str, Query] = {
     "op1_ngram_join": op1_ngram_join,
     "op2_warc": op2_warc,
@@ -97,4 +107,5 @@ QUERIES: dict[str, Query] = {
     "op8_html_text": op8_html_text,
     "op9_decontaminate": op9_decontaminate,
     "op10_url_filter": op10_url_filter,
+    "op13_merkle": op13_merkle,
 }

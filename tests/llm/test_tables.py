@@ -46,7 +46,10 @@ def pages(spark):
     ).repartition(3)
 
 
-@pytest.mark.parametrize("name", ["op1_ngram_join", "op2_warc", "op5_line_dedup", "op7_sharding"])
+TWINS = ["op1_ngram_join", "op2_warc", "op5_line_dedup", "op7_sharding", "op13_merkle"]
+
+
+@pytest.mark.parametrize("name", TWINS)
 def test_query_against_its_twin(spark, name):
     oracle = duckdb.connect()
     for table in ("documents", "pages"):
