@@ -15,6 +15,7 @@ from orderloom.llm.line_dedup import dedup_lines
 from orderloom.llm.merkle import merkle_manifest
 from orderloom.llm.ngram_join import ngram_components
 from orderloom.llm.quality_rules import STATISTICS, learn_rules, score_quality
+from orderloom.llm.rank_bpe import rank_round_trip
 from orderloom.llm.sharding import proportional_shards
 from orderloom.llm.toxicity import fit_toxicity, held_out, score_toxicity
 from orderloom.llm.url_filter import filter_urls, mine_rules
@@ -87,6 +88,11 @@ def op10_url_filter(spark: SparkSession, folder: str) -> DataFrame:
     return filter_urls(pages, mine_rules(pages, table(spark, folder, "labels")))
 
 
+def op11_rank_bpe(spark: SparkSession, folder: str) -> DataFrame:
+    ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    return rank_round_trip(table(spark, folder, "documents"), ranks, public_tokenizers.PATTERN)
+
+
 def op13_merkle(spark: SparkSession, folder: str) -> DataFrame:
     even = F.crc32(F.col("doc_id").cast("string")) % 2 == 0
     without_breaks = F.when(even, F.replace("text", F.lit("\n"), F.lit(""))).otherwise(F.col("text"))
@@ -107,5 +113,6 @@ QUERIES: dict[str, Query] = {
     "op8_html_text": op8_html_text,
     "op9_decontaminate": op9_decontaminate,
     "op10_url_filter": op10_url_filter,
+    "op11_rank_bpe": op11_rank_bpe,
     "op13_merkle": op13_merkle,
 }
