@@ -151,6 +151,59 @@ SELECT d.doc_id, coalesce(r.n_lines, 0) AS n_lines, coalesce(r.n_dropped, 0) AS
 FROM documents d LEFT JOIN rebuilt r ON r.doc_id = d.doc_id
 """
 
+COLLOCATED = r"""
+WITH pieces AS (
+    SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(
+        translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[.,;:!?\x0A-\x0D]')) AS piece
+    FROM documents
+),
+split AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces),
+words AS (SELECT lang, w, unnest(range(1, len(w) + 1)) AS i FROM split),
+f1 AS (SELECT lang, w[i] AS a1, count(*) AS f FROM words GROUP BY ALL),
+f2 AS (
+    SELECT lang, w[i] AS a1, w[i + 1] AS a2, count(*) AS f FROM words WHERE i < len(w) GROUP BY ALL
+),
+f3 AS (
+    SELECT lang, w[i] AS a1, w[i + 1] AS a2, w[i + 2] AS a3, count(*) AS f
+    FROM words WHERE i + 1 < len(w) GROUP BY ALL HAVING count(*) >= 10
+),
+over AS (
+    SELECT lang, a1, a2, max(f) AS f FROM (
+        SELECT lang, a1, a2, f FROM f3 UNION ALL SELECT lang, a2, a3, f FROM f3) GROUP BY ALL
+),
+two AS (
+    SELECT p.lang, p.a1 || ' ' || p.a2 AS phrase, p.f AS a, x.f AS l, y.f AS r
+    FROM f2 p JOIN f1 x ON x.lang = p.lang AND x.a1 = p.a1 JOIN f1 y ON y.lang = p.lang AND y.a1 = p.a2
+    LEFT JOIN over o ON o.lang = p.lang AND o.a1 = p.a1 AND o.a2 = p.a2
+    WHERE p.f >= 10 AND (o.f IS NULL OR 100 * o.f < 50 * p.f)
+),
+cuts AS (
+    SELECT lang, phrase, 1 AS k, a, l, r FROM two
+    UNION ALL
+    SELECT p.lang, p.a1 || ' ' || p.a2 || ' ' || p.a3, 1, p.f, x.f, y.f
+    FROM f3 p JOIN f1 x ON x.lang = p.lang AND x.a1 = p.a1
+    JOIN f2 y ON y.lang = p.lang AND y.a1 = p.a2 AND y.a2 = p.a3
+    UNION ALL
+    SELECT p.lang, p.a1 || ' ' || p.a2 || ' ' || p.a3, 2, p.f, x.f, y.f
+    FROM f3 p JOIN f2 x ON x.lang = p.lang AND x.a1 = p.a1 AND x.a2 = p.a2
+    JOIN f1 y ON y.lang = p.lang AND y.a1 = p.a3
+),
+scored AS (
+    SELECT *, CAST((1000000 * CAST(a AS hugeint) * a) // (CAST(l AS hugeint) * r) AS bigint) AS score
+    FROM cuts
+),
+chosen AS (
+    SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1
+),
+ranked AS (
+    SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM chosen
+),
+totals AS (SELECT lang, CAST(sum(f) AS bigint) AS n FROM f1 GROUP BY lang)
+SELECT r.lang, r.rank, r.phrase, r.a, r.l, r.r, t.n, r.score
+FROM ranked r JOIN totals t ON t.lang = r.lang WHERE r.rank <= 2000
+"""
+
 # Sources come as a key that sorts null before all others.
 MANIFEST = """
 WITH RECURSIVE crc_table AS (
@@ -238,5 +291,6 @@ ORACLES: dict[str, str] = {
     "op2_warc": ARCHIVED,
     "op5_line_dedup": DEDUPED_LINES,
     "op7_sharding": SHARDED,
+    "op12_collocations": COLLOCATED,
     "op13_merkle": MANIFEST,
 }

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from orderloom.llm.bpe import bpe_round_trip
+from orderloom.llm.collocations import collocations
 from orderloom.llm.decontaminate import contaminated_pairs
 from orderloom.llm.html_text import extract_text
 from orderloom.llm.line_dedup import dedup_lines
@@ -93,6 +94,10 @@ def op11_rank_bpe(spark: SparkSession, folder: str) -> DataFrame:
     return rank_round_trip(table(spark, folder, "documents"), ranks, public_tokenizers.PATTERN)
 
 
+def op12_collocations(spark: SparkSession, folder: str) -> DataFrame:
+    return collocations(table(spark, folder, "documents")).drop("words")
+
+
 def op13_merkle(spark: SparkSession, folder: str) -> DataFrame:
     even = F.crc32(F.col("doc_id").cast("string")) % 2 == 0
     without_breaks = F.when(even, F.replace("text", F.lit("\n"), F.lit(""))).otherwise(F.col("text"))
@@ -114,5 +119,6 @@ QUERIES: dict[str, Query] = {
     "op9_decontaminate": op9_decontaminate,
     "op10_url_filter": op10_url_filter,
     "op11_rank_bpe": op11_rank_bpe,
+    "op12_collocations": op12_collocations,
     "op13_merkle": op13_merkle,
 }

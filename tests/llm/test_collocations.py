@@ -1,0 +1,135 @@
+"""Phrase mining against loops over all windows."""
+
+import random
+import re
+from collections import Counter
+
+import pytest
+
+from orderloom.llm import collocations as module
+from orderloom.llm.collocations import collocations
+from tests.llm.conftest import CLASHING, TEXTS
+
+UPPER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
+def pieces(docs):
+    for text, lang in docs:
+        for piece in re.split("[.,;:!?\x0a-\x0d]", (text or "").translate(UPPER)):
+            yield lang or "und", re.findall("[^\x20\x09]+", piece)
+
+
+def by_loops(docs, max_words=3, min_count=10, percent=50, top=2000):
+    counts = Counter()
+    for lang, words in pieces(docs):
+        for size in range(1, max_words + 1):
+            for i in range(len(words) - size + 1):
+                counts[lang, tuple(words[i : i + size])] += 1
+    total = Counter()
+    for (lang, words), n in counts.items():
+        if len(words) == 1:
+            total[lang] += n
+    candidates = {k: a for k, a in counts.items() if len(k[1]) > 1 and a >= min_count}
+    covered = set()
+    for (lang, words), f in candidates.items():
+        for size in range(2, len(words)):
+            for i in range(len(words) - size + 1):
+                inner = (lang, words[i : i + size])
+                if 100 * f >= percent * candidates[inner]:
+                    covered.add(inner)
+    found = {}
+    for (lang, words), a in candidates.items():
+        if (lang, words) in covered:
+            continue
+        cuts = []
+        for k in range(1, len(words)):
+            left, right = counts[lang, words[:k]], counts[lang, words[k:]]
+            cuts.append((1_000_000 * a * a // (left * right), k, left, right))
+        score, _, left, right = min(cuts)
+        phrase = " ".join(words)
+        found.setdefault(lang, []).append((-score, -a, phrase.encode(), phrase, left, right))
+    rows = []
+    for lang, phrases in found.items():
+        for rank, (score, a, _, phrase, left, right) in enumerate(sorted(phrases)[:top], 1):
+            rows.append((lang, rank, phrase, -a, left, right, total[lang], -score))
+    return sorted(rows)
+
+
+def made(spark, docs):
+    return spark.createDataFrame(docs, "text string, lang string").repartition(4)
+
+
+def found(df):
+    columns = ("lang", "rank", "phrase", "a", "l", "r", "n", "score")
+    return sorted(tuple(r) for r in df.select(*columns).collect())
+
+
+def random_docs(seed, docs=120, words=12):
+    rng = random.Random(seed)
+    vocabulary = ["a", "B", "é", "日本", "new", "York", "city", "x\x0by", "\x00", "the", " ", "of"][:words]
+    marks = [" ", " ", " ", " ", "\t", "  ", ". ", ",", "\n", "!?"]
+    weights = [1 / (i + 1) for i in range(len(vocabulary))]
+    for _ in range(docs):
+        parts = rng.choices(vocabulary, weights, k=rng.randrange(0, 60))
+        text = "".join(p + rng.choice(marks) for p in parts)
+        yield (text if rng.random() > 0.05 else None), rng.choice(["en", "en", "en", "de", None, "und"])
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_against_loops(spark, seed):
+    docs = list(random_docs(seed))
+    expected = by_loops(docs)
+    assert len(expected) > 50
+    assert found(collocations(made(spark, docs))) == expected
+
+
+@pytest.mark.parametrize("block", [1, 300])
+def test_blocks_and_lengths(spark, monkeypatch, block):
+    monkeypatch.setattr(module, "BLOCK_BYTES", block)
+    docs = list(random_docs(3, docs=250, words=5))
+    expected = by_loops(docs, max_words=5, min_count=4, percent=70, top=40)
+    assert max(len(r[2].split(" ")) for r in expected) == 5
+    df = collocations(made(spark, docs), max_words=5, min_count=4, cover_percent=70, top=40)
+    assert found(df) == expected
+
+
+def test_bigrams_only_and_no_top(spark):
+    docs = list(random_docs(4))
+    expected = by_loops(docs, max_words=2, top=None)
+    assert found(collocations(made(spark, docs), max_words=2, top=None)) == expected
+
+
+def test_odd_rows(spark, odd, no_docs):
+    assert found(collocations(odd, min_count=2)) == by_loops(
+        [(t, "en" if n % 2 else None) for n, (_, t) in enumerate(TEXTS)], min_count=2
+    )
+    assert "_key" in CLASHING and set(CLASHING) <= set(odd.columns)
+    assert collocations(no_docs).collect() == []
+    assert found(collocations(made(spark, [(None, "en"), ("", None), (" .,\n", "de")]))) == []
+
+
+def test_nothing_is_adjacent_over_texts_and_pieces(spark):
+    docs = [("a", "en"), ("b", "en")] * 20 + [("c.d", "en"), ("c\x0bd", "en"), ("c:d", "en")] * 20
+    assert found(collocations(made(spark, docs))) == []
+    close = [("c\td", "en"), ("c   d", "en")] * 5
+    assert found(collocations(made(spark, docs + close))) == by_loops(docs + close) != []
+
+
+def test_ties_take_the_first_cut_and_the_bytes_of_the_phrase(spark):
+    docs = [("k l m. n o p. é f. z f", "en")] * 10
+    rows = found(collocations(made(spark, docs)))
+    assert rows == by_loops(docs)
+    assert [r[2] for r in rows] == ["k l m", "n o p", "z f", "é f"]
+
+
+def test_counts_past_64_bits(spark):
+    row = [("en", ["a", "b"], 3 * 10**12, [5 * 10**12], [7 * 10**12])]
+    schema = "lang string, words array<string>, a bigint, heads array<bigint>, tails array<bigint>"
+    scored = module._scored(spark.createDataFrame(row, schema)).first()
+    assert scored.score == 10**6 * 9 * 10**24 // (35 * 10**24)
+
+
+def test_a_long_text_and_a_hot_phrase(spark):
+    long = "one two three " * 200_000
+    docs = [(long, "en"), ("one two. " * 50, "de")] + [("one two", "en")] * 500
+    assert found(collocations(made(spark, docs))) == by_loops(docs)

@@ -46,7 +46,7 @@ def pages(spark):
     ).repartition(3)
 
 
-TWINS = ["op1_ngram_join", "op2_warc", "op5_line_dedup", "op7_sharding", "op13_merkle"]
+TWINS = ["op1_ngram_join", "op2_warc", "op5_line_dedup", "op7_sharding", "op12_collocations", "op13_merkle"]
 
 
 @pytest.mark.parametrize("name", TWINS)
