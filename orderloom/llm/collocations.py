@@ -15,7 +15,7 @@ A very common word or phrase is one row of each block, and a count that is combi
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -40,6 +40,17 @@ _WORD_ENDS[[0x20, 0x09]] = True
 #: Occurrences of one block: ``keys`` are their phrases' numbers in it, ``far`` is true where the
 #: next one is not at the next position.
 _RELATION = "block bigint, ids array<bigint>, size int, keys binary, far binary"
+_ARROW_RELATION = pa.schema(
+    [
+        ("block", pa.int64()), ("ids", pa.list_(pa.int64())), ("size", pa.int32()),
+        ("keys", pa.binary()), ("far", pa.binary()),
+    ]
+)
+
+#: From a block's batch and row, its listed phrases, keys and positions to new ids, keys and positions.
+Filter = Callable[
+    [pa.RecordBatch, int, pa.Table, np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray, np.ndarray]
+]
 
 
 def collocations(
@@ -85,11 +96,9 @@ def collocations(
         .withColumn("id", F.monotonically_increasing_id()),
         "frequent-words",
     )
-    known = of_block.join(frequent.select("lang", "word", "id").hint("merge"), ["lang", "word"])
+    known = of_block.join(frequent.select("lang", "word", "id").hint("shuffle_hash"), ["lang", "word"])
     relation = stored(
-        _with_frequent(words, known.select("block", F.struct("key", "id").alias("met")))
-        .select("block", "size", "keys", "far", "met.key", "met.id")
-        .mapInArrow(_frequent_words, _RELATION),
+        _semi_joined(words.drop("lang", "words", "counts"), known.select("block", "key", "id"), _frequent_words),
         "occurrences-1",
     )
     no_counts = F.expr("CAST(array() AS array<bigint>)")
@@ -114,14 +123,9 @@ def collocations(
         candidates.append(phrases)
         if length < max_words:
             known = adjacent.select("block", "head", "last").join(
-                frequent.select("head", "last", "id").hint("merge"), ["head", "last"]
-            )
-            relation = stored(
-                _with_frequent(relation, known.select("block", F.struct("head", "last", "id").alias("met")))
-                .select("block", "ids", "size", "keys", "far", "met.head", "met.last", "met.id")
-                .mapInArrow(_frequent_phrases, _RELATION),
-                f"occurrences-{length}",
+                frequent.select("head", "last", "id").hint("shuffle_hash"), ["head", "last"]
             )
+            relation = stored(_semi_joined(relation, known, _frequent_phrases), f"occurrences-{length}")
     found = candidates[0]
     for longer in candidates[1:]:
         found = found.unionByName(longer)
@@ -188,7 +192,7 @@ def _packed(keys: np.ndarray, far: np.ndarray, phrases: int) -> list[pa.Array]:
     ]
 
 
-def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, int, np.ndarray, np.ndarray]]:
+def _blocks(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, int, np.ndarray, np.ndarray]]:
     """Each block's batch and row, its ``keys`` and ``positions``."""
     for batch in batches:
         columns = [batch.column(batch.schema.get_field_index(n)) for n in ("size", "keys", "far")]
@@ -209,19 +213,52 @@ def _relation(block: int, ids: np.ndarray, keys: np.ndarray, positions: np.ndarr
     far = np.diff(positions) > 1
     return pa.RecordBatch.from_arrays(
         [pa.array([block]), _one_list(pa.array(ids)), *_packed(keys, far, len(ids))],
-        ["block", "ids", "size", "keys", "far"],
+        schema=_ARROW_RELATION,
     )
 
 
-def _frequent_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The occurrences of a block's frequent words, whose numbers and ids are listed."""
-    for batch, row, keys, positions in _blocks(batches):
-        number = np.full(int(keys.max()) + 1, -1, np.int64)
-        listed, ids = _values(batch, "key", row), _values(batch, "id", row)
-        number[listed] = np.arange(len(ids))
-        kept = number[keys]
-        stay = kept >= 0
-        yield _relation(batch.column(0)[row].as_py(), ids, kept[stay], positions[stay])
+def _semi_joined(relation: DataFrame, known: DataFrame, filtered: Filter) -> DataFrame:
+    """The occurrences of frequent phrases; ``known`` lists those among each block's own."""
+
+    def of_block(block: pa.Table, listed: pa.Table) -> pa.Table:
+        rows = []
+        if block.num_rows and listed.num_rows:
+            for batch, row, keys, positions in _blocks(block.to_batches()):
+                ids, kept, at = filtered(batch, row, listed.combine_chunks(), keys, positions)
+                rows.append(_relation(batch.column("block")[row].as_py(), ids, kept, at))
+        return pa.Table.from_batches(rows, _ARROW_RELATION)
+
+    # Another name, as both come from the same files.
+    listed = known.withColumnRenamed("block", "of_block")
+    return relation.groupBy("block").cogroup(listed.groupBy("of_block")).applyInArrow(of_block, _RELATION)
+
+
+def _frequent_words(
+    batch: pa.RecordBatch, row: int, listed: pa.Table, keys: np.ndarray, positions: np.ndarray
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Ids, keys and positions of the listed words of a block."""
+    number = np.full(int(keys.max()) + 1, -1, np.int64)
+    ids = listed.column("id").to_numpy()
+    number[listed.column("key").to_numpy()] = np.arange(len(ids))
+    kept = number[keys]
+    stay = kept >= 0
+    return ids, kept[stay], positions[stay]
+
+
+def _frequent_phrases(
+    batch: pa.RecordBatch, row: int, listed: pa.Table, keys: np.ndarray, positions: np.ndarray
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The same of the listed phrases, one word longer than the block's own."""
+    own = _values(batch, "ids", row)
+    order = np.argsort(own)
+    head, last, ids = (listed.column(n).to_numpy() for n in ("head", "last", "id"))
+    both = order[np.searchsorted(own[order], head)] << 32 | order[np.searchsorted(own[order], last)]
+    order = np.argsort(both)
+    both, ids = both[order], ids[order]
+    pairs, starts = _joined(keys, positions)
+    at = np.minimum(np.searchsorted(both, pairs), len(both) - 1)
+    stay = both[at] == pairs
+    return ids, at[stay], starts[stay]
 
 
 def _joined(keys: np.ndarray, positions: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -244,29 +281,6 @@ def _adjacent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def _frequent_phrases(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The occurrences of a block's frequent phrases, one word longer than its own."""
-    for batch, row, keys, positions in _blocks(batches):
-        own = _values(batch, "ids", row)
-        order = np.argsort(own)
-        head, last, ids = (_values(batch, n, row) for n in ("head", "last", "id"))
-        listed = (
-            order[np.searchsorted(own[order], head)] << 32 | order[np.searchsorted(own[order], last)]
-        )
-        order = np.argsort(listed)
-        listed, ids = listed[order], ids[order]
-        pairs, starts = _joined(keys, positions)
-        at = np.minimum(np.searchsorted(listed, pairs), len(listed) - 1)
-        stay = listed[at] == pairs
-        yield _relation(batch.column(0)[row].as_py(), ids, at[stay], starts[stay])
-
-
-def _with_frequent(relation: DataFrame, known: DataFrame) -> DataFrame:
-    """Blocks with ``met``, the frequent phrases among their own; blocks without any end here."""
-    met = known.groupBy("block").agg(F.collect_list("met").alias("met"))
-    return relation.join(met.hint("merge"), "block")
-
-
 # -- phrases -----------------------------------------------------------------
 
 

@@ -87,9 +87,9 @@ def test_against_loops(spark, seed):
 def test_blocks_and_lengths(spark, monkeypatch, block):
     monkeypatch.setattr(module, "BLOCK_BYTES", block)
     docs = list(random_docs(3, docs=250, words=5))
-    expected = by_loops(docs, max_words=5, min_count=4, percent=70, top=40)
+    expected = by_loops(docs, max_words=5, min_count=4, percent=70, top=900)
     assert max(len(r[2].split(" ")) for r in expected) == 5
-    df = collocations(made(spark, docs), max_words=5, min_count=4, cover_percent=70, top=40)
+    df = collocations(made(spark, docs), max_words=5, min_count=4, cover_percent=70, top=900)
     assert found(df) == expected
 
 
