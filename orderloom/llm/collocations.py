@@ -9,8 +9,8 @@ The relation is stored in blocks, one row for some 300,000 occurrences of one la
 block has the distinct phrases in it, and as two columns of numbers the phrase and the position of
 each occurrence. Positions count on within a piece and skip one between pieces, so one number
 stands for both, and as it ascends the merge join compares neighbours only. What is
-shuffled is a block's distinct phrases: to be counted, and to be held against the frequent ones.
-A very common word or phrase is one row of each block, and a count that is combined on the way.
+shuffled is a block's distinct phrases with their counts, sorted by phrase: a run of them is added
+up and, if it is frequent, passed on to the blocks. A very common phrase is one row of each block.
 """
 
 from __future__ import annotations
@@ -19,6 +19,7 @@ from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -90,15 +91,10 @@ def collocations(
     totals = words.groupBy("lang").agg(F.sum(F.col("size").cast("bigint")).alias("n"))
     of_block = words.select(
         "block", "lang", F.posexplode(F.arrays_zip("words", "counts")).alias("key", "met")
-    ).select("block", "lang", "key", F.col("met.words").alias("word"), F.col("met.counts").alias("a"))
-    frequent = stored(
-        of_block.groupBy("lang", "word").agg(F.sum("a").alias("a")).where(F.col("a") >= min_count)
-        .withColumn("id", F.monotonically_increasing_id()),
-        "frequent-words",
-    )
-    known = of_block.join(frequent.select("lang", "word", "id").hint("shuffle_hash"), ["lang", "word"])
+    ).select("lang", F.col("met.words").alias("word"), "block", "key", F.col("met.counts").alias("a"))
+    frequent, known = _supported(of_block, ["lang", "word"], ["block", "key"], min_count, "words")
     relation = stored(
-        _semi_joined(words.drop("lang", "words", "counts"), known.select("block", "key", "id"), _frequent_words),
+        _semi_joined(words.drop("lang", "words", "counts"), known, _frequent_words),
         "occurrences-1",
     )
     no_counts = F.expr("CAST(array() AS array<bigint>)")
@@ -111,21 +107,22 @@ def collocations(
         adjacent = relation.select("block", "ids", "size", "keys", "far").mapInArrow(
             _adjacent, "block bigint, head bigint, last bigint, a bigint"
         )
-        frequent = stored(
-            adjacent.groupBy("head", "last").agg(F.sum("a").alias("a"))
-            .where(F.col("a") >= min_count)
-            .withColumn("id", F.monotonically_increasing_id()),
-            f"frequent-{length}",
-        )
+        if length < max_words:
+            frequent, known = _supported(
+                adjacent, ["head", "last"], ["block", "head", "last"], min_count, f"phrases-of-{length}"
+            )
+            relation = stored(_semi_joined(relation, known, _frequent_phrases), f"occurrences-{length}")
+        else:
+            frequent = stored(
+                adjacent.groupBy("head", "last").agg(F.sum("a").alias("a"))
+                .where(F.col("a") >= min_count)
+                .withColumn("id", F.monotonically_increasing_id()),
+                f"phrases-of-{length}",
+            )
         if candidates:
             candidates[-1] = _uncovered(candidates[-1], frequent, cover_percent)
         phrases = stored(_named(frequent, phrases), f"phrases-{length}")
         candidates.append(phrases)
-        if length < max_words:
-            known = adjacent.select("block", "head", "last").join(
-                frequent.select("head", "last", "id").hint("shuffle_hash"), ["head", "last"]
-            )
-            relation = stored(_semi_joined(relation, known, _frequent_phrases), f"occurrences-{length}")
     found = candidates[0]
     for longer in candidates[1:]:
         found = found.unionByName(longer)
@@ -217,6 +214,89 @@ def _relation(block: int, ids: np.ndarray, keys: np.ndarray, positions: np.ndarr
     )
 
 
+def _supported(
+    met: DataFrame, keys: list[str], own: list[str], min_count: int, name: str
+) -> tuple[DataFrame, DataFrame]:
+    """Frequent groups, ``keys, a, id``, and which blocks have them, ``own, id``.
+
+    ``met`` has a row for each key of a block, with its count ``a``. Sorted by key, a group is a run
+    of rows, at most one of each block. Its rows are passed on as soon as they add up to
+    ``min_count``, so fewer than that ever wait, however common a phrase is.
+    """
+    kinds = {f.name: f.dataType.simpleString() for f in met.schema.fields}
+    names = list(dict.fromkeys(keys + own))
+    schema = ", ".join(f"{n} {kinds[n]}" for n in names) + ", a bigint, id bigint"
+    runs = stored(
+        met.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(
+            lambda batches: _runs(batches, keys, own, names, min_count), schema
+        ),
+        name,
+    )
+    return (
+        runs.where("a IS NOT NULL").select(*keys, "a", "id"),
+        runs.where("a IS NULL").select(*own, "id"),
+    )
+
+
+def _runs(
+    batches: Iterator[pa.RecordBatch], keys: list[str], own: list[str], names: list[str], min_count: int
+) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by ``keys`` as one row per frequent run, with ``a``, and its rows, without."""
+    context = TaskContext.get()
+    number = (context.partitionId() if context else 0) << 33
+    waiting: pa.RecordBatch | None = None
+    # The run that goes on: its key and id, and the count so far.
+    running: tuple[pa.RecordBatch, int, int] | None = None
+
+    def rows(batch: pa.RecordBatch, kept: list[str], counts: pa.Array, ids: np.ndarray) -> pa.RecordBatch:
+        columns = [
+            batch.column(n) if n in kept else pa.nulls(batch.num_rows, batch.schema.field(n).type)
+            for n in names
+        ]
+        return pa.RecordBatch.from_arrays([*columns, counts, pa.array(ids, pa.int64())], [*names, "a", "id"])
+
+    def total(run: tuple[pa.RecordBatch, int, int]) -> pa.RecordBatch:
+        return rows(run[0], keys, pa.array([run[2]], pa.int64()), np.array([run[1]]))
+
+    for batch in batches:
+        if waiting is not None:
+            batch, waiting = pa.Table.from_batches([waiting, batch]).combine_chunks().to_batches()[0], None
+        size = batch.num_rows
+        if not size:
+            continue
+        fresh = np.zeros(size, bool)
+        for name in keys:
+            column = batch.column(name)
+            changes = pc.not_equal(column.slice(1), column.slice(0, size - 1))
+            fresh[1:] |= changes.to_numpy(zero_copy_only=False)
+        fresh[0] = True
+        starts = np.flatnonzero(fresh)
+        lengths = np.diff(np.append(starts, size))
+        counts = np.add.reduceat(batch.column("a").to_numpy(), starts)
+        goes_on = running is not None and all(batch.column(n)[0] == running[0].column(n)[0] for n in keys)
+        if goes_on:
+            counts[0] += running[2]
+        elif running is not None:
+            yield total(running)
+        frequent = counts >= min_count
+        fresh_ids = frequent.copy()
+        fresh_ids[0] &= not goes_on
+        ids = np.full(len(starts), running[1] if goes_on else -1)
+        ids[fresh_ids] = number + np.arange(fresh_ids.sum())
+        number += int(fresh_ids.sum())
+        at = np.flatnonzero(np.repeat(frequent, lengths))
+        yield rows(batch.take(pa.array(at)), own, pa.nulls(len(at), pa.int64()), np.repeat(ids, lengths)[at])
+        ended = np.flatnonzero(frequent[:-1])
+        yield rows(batch.take(pa.array(starts[ended])), keys, pa.array(counts[ended]), ids[ended])
+        running = None
+        if frequent[-1]:
+            running = (batch.slice(int(starts[-1]), 1), int(ids[-1]), int(counts[-1]))
+        else:
+            waiting = batch.slice(int(starts[-1]))
+    if running is not None:
+        yield total(running)
+
+
 def _semi_joined(relation: DataFrame, known: DataFrame, filtered: Filter) -> DataFrame:
     """The occurrences of frequent phrases; ``known`` lists those among each block's own."""
 
@@ -238,8 +318,8 @@ def _frequent_words(
 ) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Ids, keys and positions of the listed words of a block."""
     number = np.full(int(keys.max()) + 1, -1, np.int64)
-    ids = listed.column("id").to_numpy()
-    number[listed.column("key").to_numpy()] = np.arange(len(ids))
+    order, ids = _by_id(listed)
+    number[listed.column("key").to_numpy()[order]] = np.arange(len(ids))
     kept = number[keys]
     stay = kept >= 0
     return ids, kept[stay], positions[stay]
@@ -250,15 +330,21 @@ def _frequent_phrases(
 ) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The same of the listed phrases, one word longer than the block's own."""
     own = _values(batch, "ids", row)
-    order = np.argsort(own)
-    head, last, ids = (listed.column(n).to_numpy() for n in ("head", "last", "id"))
-    both = order[np.searchsorted(own[order], head)] << 32 | order[np.searchsorted(own[order], last)]
+    by_id, ids = _by_id(listed)
+    head, last = (np.searchsorted(own, listed.column(n).to_numpy()[by_id]) for n in ("head", "last"))
+    both = head << 32 | last
     order = np.argsort(both)
-    both, ids = both[order], ids[order]
     pairs, starts = _joined(keys, positions)
-    at = np.minimum(np.searchsorted(both, pairs), len(both) - 1)
-    stay = both[at] == pairs
-    return ids, at[stay], starts[stay]
+    at = np.minimum(np.searchsorted(both[order], pairs), len(both) - 1)
+    stay = both[order[at]] == pairs
+    return ids, order[at[stay]], starts[stay]
+
+
+def _by_id(listed: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """The order of the ids, and the ids in it: a block has its phrases in that order."""
+    ids = listed.column("id").to_numpy()
+    order = np.argsort(ids)
+    return order, ids[order]
 
 
 def _joined(keys: np.ndarray, positions: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -4,6 +4,7 @@ import random
 import re
 from collections import Counter
 
+import pyarrow as pa
 import pytest
 
 from orderloom.llm import collocations as module
@@ -133,3 +134,29 @@ def test_a_long_text_and_a_hot_phrase(spark):
     long = "one two three " * 200_000
     docs = [(long, "en"), ("one two. " * 50, "de")] + [("one two", "en")] * 500
     assert found(collocations(made(spark, docs))) == by_loops(docs)
+
+
+@pytest.mark.parametrize("size", [1, 2, 7, 1000])
+def test_runs_over_batches(size):
+    rng = random.Random(size)
+    rows = [(k, b, rng.randrange(1, 5)) for k in range(60) for b in range(rng.choice([1, 2, 3, 5, 30]))]
+    batches = [
+        pa.RecordBatch.from_arrays(
+            [pa.array(["w%03d" % k for k, _, _ in part]), pa.array([b for _, b, _ in part], pa.int64()),
+             pa.array([a for _, _, a in part], pa.int64())],
+            ["word", "block", "a"],
+        )
+        for part in (rows[i : i + size] for i in range(0, len(rows), size))
+    ]
+    out = [r for b in module._runs(iter(batches), ["word"], ["block"], ["word", "block"], 10) for r in b.to_pylist()]
+    counts = Counter()
+    for k, _, a in rows:
+        counts["w%03d" % k] += a
+    assert sorted((r["word"], r["a"]) for r in out if r["a"]) == sorted(
+        (k, a) for k, a in counts.items() if a >= 10
+    )
+    key_of = {r["id"]: r["word"] for r in out if r["a"]}
+    assert len(key_of) == sum(a >= 10 for a in counts.values())
+    assert sorted((key_of[r["id"]], r["block"]) for r in out if not r["a"]) == sorted(
+        ("w%03d" % k, b) for k, b, _ in rows if counts["w%03d" % k] >= 10
+    )
