@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from orderloom.llm.components import stored
+from orderloom.llm.components import small_batches, stored
 from orderloom.llm.words import LOWER, slices, text_bytes, word_spans
 
 #: Bytes of text in a block; a longer text is a block of its own.
@@ -79,6 +79,15 @@ def collocations(
     they occur; other columns are not read; an empty table gives no rows.
     """
     texts = docs.select(F.coalesce(F.col(lang), F.lit("und")).alias("lang"), F.col(text).alias("text"))
+    with small_batches(docs.sparkSession):
+        scored, totals = _mined(texts, max_words, min_count, cover_percent)
+    return _ranked(scored, totals, top)
+
+
+def _mined(
+    texts: DataFrame, max_words: int, min_count: int, cover_percent: int
+) -> tuple[DataFrame, DataFrame]:
+    """All phrases of ``lang, text`` with their scores, and the number of words of each language."""
     block_bytes = BLOCK_BYTES
     words = stored(
         texts.mapInArrow(
@@ -126,7 +135,7 @@ def collocations(
     found = candidates[0]
     for longer in candidates[1:]:
         found = found.unionByName(longer)
-    return _ranked(stored(_scored(found), "scored"), totals, top)
+    return stored(_scored(found), "scored"), totals
 
 
 # -- relations ---------------------------------------------------------------
