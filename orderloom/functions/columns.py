@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -70,8 +72,78 @@ def exact_amount(amount: Column, scale: int) -> Column:
     return F.when(lost, too_large.cast(T.DecimalType(AMOUNT_DIGITS, scale))).otherwise(rounded)
 
 
+# Amounts below 10^18 units of the last place are added as integers, in limbs of 20 bits.
+_SMALL_DIGITS, _LIMB_BITS = 18, 20
+#: Amounts that one total can hold: a limb of 20 bits of each leaves room for 2^43 in a long.
+MOST_AMOUNTS = 1 << 42
+#: Scales that fit beside the digits of such a total.
+LARGEST_INTEGER_SCALE = 6
+
+
+def _units(amount: Column, scale: int) -> tuple[Column, Column]:
+    """``amount`` in units of the last place, as a long, or, if it is too large, as a decimal; the
+    other of the two is null, and both are for null and NaN.
+
+    The digits of an amount are rounded half up. Its product with a power of ten, as doubles, is off
+    by less than 2^-50 of itself; only where that could matter, next to a half, or where
+    the product is so large that it has no room for a fraction, are decimals used.
+    """
+    product = amount.cast("double") * F.lit(float(10**scale))
+    size = F.abs(product)
+    capped = F.least(size, F.lit(2.0**50))
+    whole = F.floor(capped)
+    fraction = capped - whole
+    is_clear = (size < 2.0**49) & (F.abs(fraction - 0.5) > size * 2.0**-50)
+    nearest = whole + F.when(fraction > 0.5, F.lit(1)).otherwise(F.lit(0))
+    rounded = exact_amount(amount, scale)
+    is_small = F.abs(rounded) < F.lit(Decimal(10 ** (_SMALL_DIGITS - scale)))
+    units = (
+        F.when(is_clear, F.when(product < 0, -nearest).otherwise(nearest))
+        .when(is_small, (rounded * F.lit(Decimal(10**scale))).cast("bigint"))
+    )
+    return units, F.when(is_clear | is_small, F.lit(None)).otherwise(rounded)
+
+
+def exact_parts(amount: Column, scale: int) -> dict[str, Column]:
+    """Aggregates from which ``total_of`` makes the sum of amounts; sums of them are parts again.
+
+    Units of the last place are added as longs, in three limbs of 20 bits so that none runs over.
+    """
+    units, large = _units(amount, scale)
+    low = F.lit((1 << _LIMB_BITS) - 1)
+    is_nan = F.isnan(amount.cast("double"))
+    return {
+        "high": F.sum(F.shiftright(units, 2 * _LIMB_BITS)),
+        "middle": F.sum(F.shiftright(units, _LIMB_BITS).bitwiseAND(low)),
+        "low": F.sum(units.bitwiseAND(low)),
+        "large": F.sum(large),
+        "numbers": F.count_if(amount.isNotNull() & ~is_nan),
+        "others": F.count_if(is_nan),
+    }
+
+
+def total_of(parts: dict[str, Column], scale: int) -> Column:
+    """The total as ``decimal(38, scale)``, null without numbers; one too large fails the job."""
+    kind = T.DecimalType(38, scale)
+
+    def shifted(name: str, bits: int) -> Column:
+        return F.coalesce(parts[name], F.lit(0)).cast("decimal(19,0)") * F.lit(Decimal(1 << bits))
+
+    units = shifted("high", 2 * _LIMB_BITS) + shifted("middle", _LIMB_BITS) + shifted("low", 0)
+    unit = F.lit(Decimal(1).scaleb(-scale))
+    total = (units * unit).cast(kind) + F.coalesce(parts["large"].cast(kind), F.lit(Decimal(0)).cast(kind))
+    too_large = (total.cast(kind).isNull()) | (parts["numbers"] > MOST_AMOUNTS)
+    overflow = F.raise_error(F.lit("sum of amounts is too large")).cast(kind)
+    return F.when(parts["numbers"] == 0, F.lit(None)).when(too_large, overflow).otherwise(total.cast(kind))
+
+
 def exact_total(amount: Column, scale: int) -> Column:
-    """Sum of amounts as a decimal, each rounded to ``scale``; too large a sum fails the job."""
+    """Sum of amounts as a decimal, each rounded to ``scale``; too large a sum fails the job.
+
+    Numbers that are none (NaN) are left out.
+    """
+    if scale <= LARGEST_INTEGER_SCALE:
+        return total_of(exact_parts(amount, scale), scale)
     addend = exact_amount(amount, scale)
     total = F.sum(addend)
     overflow = F.raise_error(F.lit("sum of amounts is too large")).cast(T.DecimalType(38, scale))
