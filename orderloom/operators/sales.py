@@ -84,7 +84,8 @@ def sales_by_period(
     ``lines`` is the fact or ``sale_lines``; products and regions hold one row per
     id. Totals are formed on the ids alone and names are joined to the totals, so no
     name is shuffled with the lines. Coarser grains start from the lines again, since
-    distinct orders do not add up over days or products.
+    distinct orders do not add up over days or products; for several grains at once, see
+    ``rollup``.
 
     The distinct count first combines per period, region, product and order, which
     spreads a hot group over its orders. Where the lines come from a sort-merge join
@@ -98,6 +99,13 @@ def sales_by_period(
         F.sum("quantity").alias("totalQuantity"),
         F.count_distinct("orderId").alias("orderCount"),
     )
+    return with_names(totals, products, regions, period)
+
+
+def with_names(
+    totals: DataFrame, products: DataFrame, regions: DataFrame, period: str
+) -> DataFrame:
+    """Totals by id with the names of region and product; those without either drop out."""
     return (
         totals.join(regions.select("regionId", "regionName"), "regionId")
         .join(products.select("productId", "productName"), "productId")

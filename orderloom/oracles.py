@@ -143,10 +143,30 @@ def _sales(period: str, name: str) -> str:
     )
 
 
+def _all_grains() -> str:
+    starts = {"day": '"orderDate"'} | {
+        g: f"CAST(date_trunc('{g}', \"orderDate\") AS date)" for g in ("week", "month")
+    }
+    grains = " UNION ALL ".join(
+        f"""SELECT '{grain}' AS "grain", {start} AS "periodStart", * FROM fact"""
+        for grain, start in starts.items()
+    )
+    return _with(
+        *MODEL, FACT, f"grains AS ({grains})",
+        select="""SELECT "grain", "periodStart", "regionId", "regionName", "productId", "productName",
+            CAST(sum(CAST("lineRevenue" AS decimal(18, 2))) AS double) AS "totalRevenue",
+            CAST(sum("quantity") AS bigint) AS "totalQuantity",
+            count(DISTINCT "orderId") AS "orderCount"
+        FROM grains
+        GROUP BY "grain", "periodStart", "regionId", "regionName", "productId", "productName" """,
+    )
+
+
 ORACLES: dict[str, str] = {
     "daily_sales": _sales('"orderDate"', "orderDate"),
     "weekly_sales": _sales("CAST(date_trunc('week', \"orderDate\") AS date)", "weekStart"),
     "monthly_sales": _sales("CAST(date_trunc('month', \"orderDate\") AS date)", "monthStart"),
+    "sales_of_all_grains": _all_grains(),
     "fact_order_lines": _with(*MODEL, FACT, select="SELECT * FROM fact"),
     "reconcile_revenue": _with(
         REGIONS, PRODUCTS, ORDERS, DETAILS, FACT,

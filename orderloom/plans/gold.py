@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import SparkSession
 
+from orderloom.operators.rollup import daily_states, roll_up, sales_of_states
 from orderloom.operators.sales import MONEY_SCALE, order_lines_fact, sales_by_period
 from orderloom.sources.parquet import write_parquet
 
@@ -11,27 +14,50 @@ from orderloom.sources.parquet import write_parquet
 FACT = "fact_order_lines"
 DAILY_SALES = "agg_sales_by_date_region_product"
 
+#: Daily states, from which sales of other grains are made, and where those go.
+SALES_STATES = "states_sales_by_date_region_product"
+
+
+COARSER_SALES = {
+    "week": "agg_sales_by_week_region_product",
+    "month": "agg_sales_by_month_region_product",
+}
+
 
 def run_gold(
-    spark: SparkSession, silver: str, out: str, money_scale: int | None = MONEY_SCALE
+    spark: SparkSession,
+    silver: str,
+    out: str,
+    money_scale: int | None = MONEY_SCALE,
+    grains: Sequence[str] = (),
 ) -> dict[str, int]:
-    """Writes both tables and returns their row counts.
+    """Writes the fact and the daily sales, and those by the ``grains`` week and month if asked for;
+    returns row counts.
 
     The totals read the fact back from Parquet, six columns of fifteen, instead of
     caching it: a cached fact would not fit a large cluster's memory, and losing part
-    of it would run the joins again.
+    of it would run the joins again. With coarser grains it is read once as well: for daily
+    states, from which the totals of all grains are made.
     """
     tables = {
         n: spark.read.parquet(f"{silver}/{n}")
         for n in ("region", "product", "order", "order_details")
     }
-    fact = order_lines_fact(
-        tables["order_details"], tables["order"], tables["product"], tables["region"]
-    )
-    fact_rows = write_parquet(fact, f"{out}/{FACT}")
+    dims = tables["product"], tables["region"]
+    fact = order_lines_fact(tables["order_details"], tables["order"], *dims)
+    rows = {FACT: write_parquet(fact, f"{out}/{FACT}")}
 
     written = spark.read.parquet(f"{out}/{FACT}")
-    daily = sales_by_period(
-        written, tables["product"], tables["region"], "day", money_scale
-    )
-    return {FACT: fact_rows, DAILY_SALES: write_parquet(daily, f"{out}/{DAILY_SALES}")}
+    if grains:
+        # States add exactly in any case.
+        scale = MONEY_SCALE if money_scale is None else money_scale
+        write_parquet(daily_states(written, scale), f"{out}/{SALES_STATES}")
+        states = spark.read.parquet(f"{out}/{SALES_STATES}")
+        daily = sales_of_states(states, *dims, "day", scale)
+    else:
+        daily = sales_by_period(written, *dims, "day", money_scale)
+    rows[DAILY_SALES] = write_parquet(daily, f"{out}/{DAILY_SALES}")
+    for grain in grains:
+        coarser = sales_of_states(roll_up(states, grain, scale), *dims, grain, scale)
+        rows[COARSER_SALES[grain]] = write_parquet(coarser, f"{out}/{COARSER_SALES[grain]}")
+    return rows

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 from pathlib import PurePosixPath
 from posixpath import normpath
@@ -57,11 +57,15 @@ def run_pipeline(
     entities: Mapping[str, Entity] | None = None,
     money_scale: int | None = MONEY_SCALE,
     timestamp_type: T.DataType | None = None,
+    grains: Sequence[str] = (),
 ) -> PipelineRun:
-    """Runs all layers and returns their counts; nothing is logged or kept in memory."""
+    """Runs all layers and returns their counts; nothing is logged or kept in memory.
+
+    ``grains`` adds weekly and monthly sales, see ``run_gold``.
+    """
     entities = entities or order_entities()
     files = [s.path for s in sources.values() if s.path is not None]
     require_separate_paths(files, [bronze, silver, gold])
     ingested = run_bronze(spark, sources, entities, bronze)
     cleansed = run_silver(spark, entities, bronze, silver, timestamp_type)
-    return PipelineRun(ingested, cleansed, run_gold(spark, silver, gold, money_scale))
+    return PipelineRun(ingested, cleansed, run_gold(spark, silver, gold, money_scale, grains))
