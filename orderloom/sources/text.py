@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from orderloom.functions.columns import any_null, field_or_null, is_padded_integer
+from orderloom.functions.columns import field_or_null, is_padded_integer
 
 
 def header_line(spark: SparkSession, path: str) -> str:
@@ -47,19 +47,27 @@ def parse_lines(lines: DataFrame, schema: T.StructType) -> DataFrame:
     No column of a good line is null, so lines are tested once, not once per column,
     whether or not the session runs in ANSI mode. The test is a filter: which columns are
     read, if any, makes no difference to it.
+
+    Cells are cast in a generator of one row per line. The optimizer merges projections and
+    moves filters through them, and would so repeat every cast for the test and again for the result;
+    it does neither through a generator.
     """
-    names = schema.names
     cells = F.col("_cells")
-    typed = lines.select("value", F.split("value", ",", -1).alias("_cells")).select(
-        "*", *[field_or_null(cells, i, f).alias(f.name) for i, f in enumerate(schema.fields)]
-    )
-    bad = any_null(*names)
+    typed = [field_or_null(cells, i, f).alias(f"_{i}") for i, f in enumerate(schema.fields)]
+    padded = F.lit(False)
     for i, f in enumerate(schema.fields):
         if isinstance(f.dataType, T.IntegralType):
-            bad = bad | is_padded_integer(cells, i, F.col(f.name))
+            padded = padded | is_padded_integer(cells, i, F.col("_line").getField(f"_{i}"))
+    parsed = lines.select("value", F.split("value", ",", -1).alias("_cells")).select(
+        "value", "_cells", F.explode(F.array(F.struct(*typed))).alias("_line")
+    )
+    values = [F.col("_line").getField(f"_{i}") for i in range(len(schema.fields))]
+    bad = padded
+    for value in values:
+        bad = bad | value.isNull()
     complaint = F.concat(F.lit(f"not a line of {schema.simpleString()}: "), F.col("value"))
     good = F.when(bad, F.raise_error(complaint).cast("boolean")).otherwise(F.lit(True))
-    return typed.where(good).select(*names)
+    return parsed.where(good).select(*[v.alias(f.name) for v, f in zip(values, schema.fields)])
 
 
 def read_text(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:

@@ -218,3 +218,19 @@ def test_source_choice(spark, tmp_path, monkeypatch):
 def test_bad_sources(spark, source):
     with pytest.raises(ValueError):
         read_source(spark, source, REGION)
+
+
+def test_a_line_is_split_once_and_a_cell_cast_once(spark):
+    schema = T.StructType().add("a", T.IntegerType()).add("b", T.DoubleType()).add("c", T.StringType())
+    lines = spark.createDataFrame([("1,2.5,x",), ("-3,4,",)], "value string")
+    df = parse_lines(lines, schema)
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("split(") == 1 and plan.count("try_cast(") == 2
+    # Columns that are not read are cast and tested all the same.
+    one = df.select("b")
+    plan = one._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("split(") == 1 and plan.count("try_cast(") == 2
+    assert rows(one) == [(2.5,), (4.0,)]
+    bad = spark.createDataFrame([("1,2.5,x",), ("1x,4,",)], "value string")
+    with pytest.raises(Exception, match="not a line of"):
+        parse_lines(bad, schema).select("c").collect()
