@@ -20,13 +20,16 @@ from orderloom.operators.quality import (
     parent_keys,
     require_non_empty,
 )
-from orderloom.sources.parquet import observe, read_parquet, write_parquet
+from orderloom.sources.parquet import observe, read_parquet, read_rest, write_parquet, write_split
 
 REPORT_SCHEMA = (
     "entity string, inputRows bigint, dedupedRows bigint, orphanRows bigint, keptRows bigint"
 )
 REJECT_SAMPLE_SIZE = 20
 
+#: Where rejected rows go, and the column that names the parent they lack; ``KEPT`` for those without.
+REJECTS, MISSING, KEPT = "_rejects", "missingParent", "-"
+
 
 def type_timestamps(
     df: DataFrame, columns: tuple[str, ...], timestamp_type: T.DataType | None = None
@@ -65,17 +68,20 @@ class Checked:
         clean = self.rows.where(self.is_kept()).select(*self.entity.raw.names)
         return type_timestamps(clean, self.entity.timestamps, timestamp_type)
 
-    def rejected(self) -> DataFrame:
-        """Orphans, with the first parent they lack."""
-        lacking = F.coalesce(
+    def lacking(self) -> Column:
+        """The first parent that a row lacks, null if it has all."""
+        return F.coalesce(
             *[
                 F.when(found.isNull(), F.lit(fk.parent))
                 for found, fk in zip(self._flags(), self.entity.foreign_keys)
             ],
             F.lit(None).cast("string"),
         )
+
+    def rejected(self) -> DataFrame:
+        """Orphans, with the first parent they lack."""
         return self.rows.where(~self.is_kept()).select(
-            *self.entity.raw.names, lacking.alias("missingParent")
+            *self.entity.raw.names, self.lacking().alias(MISSING)
         )
 
 
@@ -105,7 +111,7 @@ def reject_lines(rejects: DataFrame) -> DataFrame:
 
 @dataclass(frozen=True)
 class SilverRun:
-    """``report`` has one row per entity; ``rejects`` are lazy, per entity with references."""
+    """``report`` has one row per entity; ``rejects`` are frames, per entity with references."""
 
     report: DataFrame
     rejects: dict[str, DataFrame]
@@ -125,21 +131,32 @@ def cleanse(
 
     One job per entity deduplicates, checks, counts and writes. A child reads its
     parents back from ``out``: their lineage ends there, and a lost executor cannot
-    set off a second run of the parent's plan. Rejects come from the same check, with the
-    first parent that they lack, when somebody asks for them.
+    set off a second run of the parent's plan. Rejects, with the first parent that they lack, are
+    written by the same job, into ``out/_rejects/<entity>``. Those of an entity with timestamps keep
+    the text that they came with, which its table has no column for; they come from the same
+    check when somebody asks for them.
     """
     require_non_empty(tables)
     report, parents, rejects = [], {}, {}
     for name, entity in entities.items():
         result = check(entity, tables[name], parents, unique_parents=True)
-        rows, seen = observe(result.rows, {"deduped": F.count(F.lit(1))})
-        kept = write_parquet(Checked(entity, rows).kept(timestamp_type), f"{out}/{name}")
-        deduped = seen.get["deduped"]
+        path = f"{out}/{name}"
+        if entity.foreign_keys and not entity.timestamps:
+            split = result.rows.select(
+                *entity.raw.names, F.coalesce(result.lacking(), F.lit(KEPT)).alias(MISSING)
+            )
+            counts = write_split(split, MISSING, KEPT, path, f"{out}/{REJECTS}/{name}")
+            deduped, kept = counts["rows"], counts["kept"]
+            rejects[name] = read_rest(spark, f"{out}/{REJECTS}/{name}", split.schema)
+        else:
+            rows, seen = observe(result.rows, {"deduped": F.count(F.lit(1))})
+            kept = write_parquet(Checked(entity, rows).kept(timestamp_type), path)
+            deduped = seen.get["deduped"]
+            if entity.foreign_keys:
+                rejects[name] = result.rejected()
         # count() on Parquet reads file footers only.
         report.append((name, tables[name].count(), deduped, deduped - kept, kept))
-        parents[name] = spark.read.parquet(f"{out}/{name}")
-        if entity.foreign_keys:
-            rejects[name] = result.rejected()
+        parents[name] = spark.read.parquet(path)
     return SilverRun(spark.createDataFrame(report, REPORT_SCHEMA), rejects)
 
 

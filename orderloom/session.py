@@ -28,6 +28,8 @@ SETTINGS = {
     # Split a hot join partition even if the aggregate above then needs a shuffle of
     # its own; the shuffle is paid only when a hot partition was in fact found.
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
+    # Rows that are split over a few folders are not sorted by folder first.
+    "spark.sql.maxConcurrentOutputFileWriters": "8",
     "spark.sql.sources.fileCompressionFactor": str(ROW_BYTES_PER_FILE_BYTE),
 }
 

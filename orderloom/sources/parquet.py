@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
@@ -65,6 +66,47 @@ def write_parquet(df: DataFrame, path: str, partition_by: Sequence[str] = ()) ->
     return observation.get["rows"]
 
 
+def write_split(
+    df: DataFrame, by: str, kept: str, kept_path: str, rest_path: str
+) -> dict[str, int]:
+    """Writes rows whose ``by`` is ``kept`` to ``kept_path`` and the others to ``rest_path``, in one job.
+
+    ``kept_path`` has no column ``by``; in ``rest_path`` it is the partition column. Returns the
+    number of ``rows`` and of those ``kept``. Everything is written to a folder beside ``kept_path``
+    first, and both parts are moved from there once the job is done: one that fails leaves the old
+    tables as they were.
+    """
+    spark = df.sparkSession
+    is_kept = F.count_if(F.col(by) == kept)
+    observed, observation = observe(df, {"rows": F.count(F.lit(1)), "kept": is_kept})
+    parent, _, name = kept_path.rstrip("/").rpartition("/")
+    written = f"{parent}/_writing-{uuid.uuid4().hex}-{name}"
+    observed.write.partitionBy(by).parquet(written)
+    if observation.get["kept"]:
+        replace_folder(spark, f"{written}/{by}={kept}", kept_path)
+    else:
+        spark.createDataFrame([], df.drop(by).schema).write.mode("overwrite").parquet(kept_path)
+    replace_folder(spark, written, rest_path)
+    return observation.get
+
+
+def read_rest(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """What ``write_split`` left for ``rest_path``; ``schema`` includes the column split by."""
+    # Without rows there is no folder of a partition, only the mark of a finished job.
+    return spark.read.schema(schema).parquet(path)
+
+
+def replace_folder(spark: SparkSession, source: str, target: str) -> None:
+    """Moves a folder into the place of another, which goes first if it is there."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+    old, new = hadoop.Path(target), hadoop.Path(source)
+    files = new.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    files.delete(old, True)
+    files.mkdirs(old.getParent())
+    if not files.rename(new, old):
+        raise OSError(f"could not move {source} to {target}")
+
+
 def observe(df: DataFrame, metrics: Mapping[str, Column]) -> tuple[DataFrame, Observation]:
     """``df`` and the metrics that the next action on it fills in."""
     observation = Observation()

@@ -293,3 +293,14 @@ def test_overlapping_paths(output, other):
 def test_separate_paths():
     require_separate_paths(["/data/in", "/data/out2"], ["/data/out", "/data/output"])
     require_separate_paths(["hdfs://a/data"], ["hdfs://b/data", "file:///data"])
+
+
+def test_rejected_lines_are_stored_with_the_kept_ones(spark, tmp_path):
+    sources, _ = write_inputs(tmp_path / "in")
+    with open(f"{sources['order_details'].path}/rest.csv", "w") as more:
+        more.write("151,999,1,1,1.0\n152,1,999,1,1.0\n153,999,999,1,1.0\n")
+    run = run_pipeline(spark, sources, f"{tmp_path}/bronze", f"{tmp_path}/silver", f"{tmp_path}/gold")
+    rejects = run.cleansed.rejects["order_details"]
+    assert all("/silver/_rejects/order_details/" in f for f in rejects.inputFiles())
+    assert rows(rejects.select("orderDetailId", "missingParent")) == [(151, "order"), (152, "product"), (153, "order")]
+    assert spark.read.parquet(f"{tmp_path}/silver/order_details").count() == 150

@@ -11,7 +11,9 @@ from orderloom.sources.jdbc import (
     entity_query,
     jdbc_options,
 )
-from orderloom.sources.parquet import coerce_schema, conform, observe, read_parquet, write_parquet
+from orderloom.sources.parquet import (
+    coerce_schema, conform, observe, read_parquet, read_rest, write_parquet, write_split,
+)
 from orderloom.sources.spec import Source, read_source
 from orderloom.sources.text import header_line, parse_lines, read_body_lines, read_text
 from tests.conftest import final_plan, rows
@@ -234,3 +236,37 @@ def test_a_line_is_split_once_and_a_cell_cast_once(spark):
     bad = spark.createDataFrame([("1,2.5,x",), ("1x,4,",)], "value string")
     with pytest.raises(Exception, match="not a line of"):
         parse_lines(bad, schema).select("c").collect()
+
+
+def test_split_sink(spark, tmp_path):
+    df = spark.range(100).select("id", F.concat(F.lit("p"), (F.col("id") % 3).cast("string")).alias("by"))
+    kept, rest = f"{tmp_path}/t/kept", f"{tmp_path}/t/_rest/kept"
+    for _ in range(2):
+        assert write_split(df, "by", "p0", kept, rest) == {"rows": 100, "kept": 34}
+        assert rows(spark.read.parquet(kept)) == sorted(((i,) for i in range(0, 100, 3)), key=repr)
+        others = read_rest(spark, rest, df.schema)
+        assert rows(others) == rows(df.where("by <> 'p0'"))
+    assert sorted(p.name for p in (tmp_path / "t").iterdir()) == ["_rest", "kept"]
+    # Nothing left to keep, or nothing else.
+    assert write_split(df.where("by = 'p1'"), "by", "p0", kept, rest)["kept"] == 0
+    assert spark.read.parquet(kept).count() == 0 and spark.read.parquet(kept).columns == ["id"]
+    write_split(df.where("by = 'p0'"), "by", "p0", kept, rest)
+    assert read_rest(spark, rest, df.schema).collect() == []
+
+
+def test_a_failed_split_leaves_the_old_tables(spark, tmp_path):
+    df = spark.range(10).select("id", (F.col("id") % 2).cast("string").alias("by"))
+    kept, rest = f"{tmp_path}/kept", f"{tmp_path}/_rest"
+    write_split(df, "by", "0", kept, rest)
+    broken = df.withColumn("id", F.when(F.col("id") < 9, F.col("id")).otherwise(F.raise_error(F.lit("no")).cast("bigint")))
+    with pytest.raises(Exception, match="no"):
+        write_split(broken, "by", "0", kept, rest)
+    assert spark.read.parquet(kept).count() == 5 and read_rest(spark, rest, df.schema).count() == 5
+
+
+def test_split_needs_no_sort(spark, tmp_path, conf):
+    conf({"spark.sql.maxConcurrentOutputFileWriters": "8"})
+    df = spark.range(10).select("id", (F.col("id") % 2).cast("string").alias("by"))
+    df.createOrReplaceTempView("split_rows")
+    plan = spark.sql("EXPLAIN CREATE TABLE split_t USING parquet PARTITIONED BY (by) AS SELECT * FROM split_rows").first()[0]
+    assert "Sort" not in plan
