@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from orderloom.llm.components import stored
 from orderloom.llm.words import (
-    LOWER, PUNCTUATION, gram_hashes, powers, prefix_hashes, slices, span_hashes, text_bytes,
+    LOWER, PUNCTUATION, content_hashes, gram_hashes, powers, slices, text_bytes,
     word_spans,
 )
 
@@ -44,7 +44,7 @@ def token_hashes(column: pa.Array) -> Iterator[tuple[int, np.ndarray]]:
         at = offsets[first : last + 1] - offsets[first]
         part = LOWER[data[offsets[first] : offsets[last]]]
         starts, ends, bounds = word_spans(part, at, PUNCTUATION)
-        hashes = span_hashes(prefix_hashes(part), starts, ends)
+        hashes = content_hashes(part, starts, ends)
         for i in range(last - first):
             yield first + i, hashes[bounds[i] : bounds[i + 1]]
 
@@ -77,6 +77,13 @@ def _matches(
         return none
     at = np.repeat(low - (np.cumsum(many) - many), many) + np.arange(total)
     pairs = np.stack([i[at], np.repeat(j, many)], axis=1)
+    # Equal running hashes are only a proposal.
+    same = np.ones(len(pairs), bool)
+    for k in range(length):
+        same &= item[pairs[:, 0] + k] == doc[pairs[:, 1] + k]
+    pairs = pairs[same]
+    if not len(pairs):
+        return none
     # Windows that follow each other on a diagonal are one run.
     diagonal = pairs[:, 1] - pairs[:, 0]
     order = np.lexsort((pairs[:, 0], diagonal))

@@ -25,20 +25,18 @@ from orderloom.llm.components import stored
 from orderloom.llm.linkage import hamming, linked_components, numpy_hamming
 from orderloom.llm.ngram_join import row_key, within
 from orderloom.llm.pairing import linking_pairs
-from orderloom.llm.words import mix, prefix_hashes, slices, span_hashes, text_bytes
+from orderloom.llm.words import content_hashes, mix, prefix_hashes, slices, span_hashes, text_bytes
 
 DISTANCE = 2
 #: Shorter lines (in bytes) are never dropped: short ones recur in clean documents.
 MIN_BYTES = 20
-#: Shorter lines only have exact copies unless ``min_near_bytes`` says otherwise.
-MIN_NEAR_BYTES = 48
 #: Bytes of lines that advance together.
 TABLE_BYTES = 1 << 20
 #: A line's sketch: for runs of one, two and three bytes, which of 128 classes it has an odd
 #: number of. An edit takes away a run of each byte that it touches and adds as many.
 RUNS = (1, 2, 3)
 SKETCH_WORDS = 2
-_LINES = "row_key bigint, id bigint, line int, node bigint, size int"
+_LINES = "row_key bigint, id bigint, line int, node bigint, check int"
 
 
 def line_spans(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
@@ -61,21 +59,31 @@ def line_spans(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndar
         yield first, last, part, starts, ends, owner
 
 
+def identities(part: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """``node`` and ``check`` of lines: 64 and another 32 bits that tell different lines apart.
+
+    Lines meet by node. A line is dropped only where the check agrees as well, so that one that shares
+    its node with another by chance stays.
+    """
+    nodes = content_hashes(part, starts, ends).astype(np.int64)
+    return nodes, content_hashes(part, starts, ends, 1).astype(np.uint32).view(np.int32)
+
+
 def _listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Batches of (row_key, id, text) as one row per line of ``MIN_BYTES`` or more."""
     for batch in batches:
         for first, last, part, starts, ends, owner in line_spans(batch.column(2)):
             number = np.arange(len(starts)) - np.searchsorted(owner, owner)
             long = ends - starts >= MIN_BYTES
-            nodes = span_hashes(prefix_hashes(part), starts[long], ends[long]).astype(np.int64)
+            nodes, checks = identities(part, starts[long], ends[long])
             rows = pa.array(owner[long] + first)
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0).take(rows), batch.column(1).take(rows),
                     pa.array(number[long].astype(np.int32)), pa.array(nodes),
-                    pa.array((ends - starts)[long].astype(np.int32)),
+                    pa.array(checks),
                 ],
-                ["row_key", "id", "line", "node", "size"],
+                ["row_key", "id", "line", "node", "check"],
             )
 
 
@@ -109,7 +117,7 @@ def _signed(
     batches: Iterator[pa.RecordBatch], distance: int, least: int | None = None
 ) -> Iterator[pa.RecordBatch]:
     """Batches of (text) as (key, node), for lines that may have near ones."""
-    least = MIN_NEAR_BYTES if least is None else least
+    least = MIN_BYTES if least is None else least
     seen: set[int] = set()
     places: dict[int, tuple[np.ndarray, ...]] = {}
     for batch in batches:
@@ -119,7 +127,7 @@ def _signed(
             if not len(starts):
                 continue
             sums = prefix_hashes(part)
-            nodes = span_hashes(sums, starts, starts + sizes).astype(np.int64)
+            nodes = content_hashes(part, starts, starts + sizes).astype(np.int64)
             fresh = np.array([n not in seen for n in nodes.tolist()])
             seen.update(nodes.tolist())
             nodes, starts, sizes = nodes[fresh], starts[fresh], sizes[fresh]
@@ -148,21 +156,21 @@ def _signed(
 
 
 def _sketched(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
-    """Batches of (text) as (node, size, sketch)."""
+    """Batches of (text) as (node, check, size, sketch)."""
     for batch in batches:
         for _, _, part, starts, ends, _ in line_spans(batch.column(0)):
             long = ends - starts >= least
             starts, ends = starts[long], ends[long]
-            nodes = span_hashes(prefix_hashes(part), starts, ends).astype(np.int64)
+            nodes, checks = identities(part, starts, ends)
             sketches = _sketches(part, starts, ends - starts)
             width = sketches.shape[1]
             offsets = pa.array(np.arange(len(starts) + 1, dtype=np.int32) * width)
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array(nodes), pa.array((ends - starts).astype(np.int64)),
+                    pa.array(nodes), pa.array(checks), pa.array((ends - starts).astype(np.int64)),
                     pa.ListArray.from_arrays(offsets, pa.array(sketches.ravel())),
                 ],
-                ["node", "size", "sketch"],
+                ["node", "check", "size", "sketch"],
             )
 
 
@@ -192,7 +200,7 @@ def _line_payloads(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa
         for _, _, part, starts, ends, _ in line_spans(batch.column(0)):
             long = ends - starts >= least
             starts, ends = starts[long], ends[long]
-            nodes = span_hashes(prefix_hashes(part), starts, ends).astype(np.int64)
+            nodes = content_hashes(part, starts, ends).astype(np.int64)
             lines = [part[a:z].tobytes() for a, z in zip(starts, ends)]
             yield pa.RecordBatch.from_arrays(
                 [pa.array(nodes), pa.array(lines, pa.binary())], ["node", "payload"]
@@ -286,7 +294,7 @@ def _near(pairs: list[tuple[bytes, bytes]], distance: int) -> np.ndarray:
 def line_classes(
     docs: DataFrame, distance: int, row_id: str, text: str, least: int
 ) -> tuple[DataFrame, DataFrame]:
-    """Lines as ``row_key, id, line, node, size``, and ``node, component`` of near ones of
+    """Lines as ``row_key, id, line, node, check``, and ``node, check, component`` of near ones of
     ``least`` bytes or more."""
     rows = docs.select(
         row_key(row_id, text).alias("_key"), F.col(row_id).cast("bigint").alias("_id"),
@@ -295,7 +303,7 @@ def line_classes(
     lines = stored(rows.select("_key", "_id", "_text").mapInArrow(_listed, _LINES), "lines")
     items = stored(
         rows.select("_text")
-        .mapInArrow(lambda b: _sketched(b, least), "node bigint, size bigint, sketch array<bigint>")
+        .mapInArrow(lambda b: _sketched(b, least), "node bigint, check int, size bigint, sketch array<bigint>")
         .dropDuplicates(["node"]),
         "line-sketches",
     )
@@ -333,12 +341,13 @@ def line_classes(
         payloads = stored(within(found, nodes, "node").dropDuplicates(["node"]), "payloads")
         return linking_pairs(pairs, payloads, lambda mine, others: near(mine, others, distance))
 
-    return lines, linked_components(signatures, items, possible_sql, possible, verify)
+    linked = linked_components(signatures, items, possible_sql, possible, verify)
+    return lines, linked.join(items.select("node", "check"), "node")
 
 
 def dedup_lines(
     docs: DataFrame, distance: int = DISTANCE, row_id: str = "doc_id", text: str = "text",
-    min_near_bytes: int = MIN_NEAR_BYTES,
+    min_near_bytes: int = MIN_BYTES,
 ) -> DataFrame:
     """``docs`` without lines that are near an earlier one, plus ``n_lines`` and ``n_dropped``.
 
@@ -352,15 +361,18 @@ def dedup_lines(
     """
     lines, linked = line_classes(docs, distance, row_id, text, max(MIN_BYTES, min_near_bytes))
     linked = stored(linked, "line-classes")
-    placed = lines.join(linked, "node", "left").select(
-        "row_key", "id", "line", F.coalesce("component", "node").alias("class")
+    placed = lines.join(linked, ["node", "check"], "left").select(
+        "row_key", "id", "line", F.coalesce("component", "node").alias("class"),
+        F.when(F.col("component").isNull(), F.col("check")).otherwise(F.lit(0)).alias("check"),
+        F.col("component").isNotNull().alias("near"),
     )
     place = F.struct(F.col("id").isNull(), "id", "row_key", "line")
-    classes = placed.groupBy("class").agg(
+    class_key = ["class", "check", "near"]
+    classes = placed.groupBy(*class_key).agg(
         F.min(place).alias("first"), F.max(place).alias("last")
-    ).where("first <> last").select("class", F.col("first.row_key").alias("first_key"), F.col("first.line").alias("first_line"))
+    ).where("first <> last").select(*class_key, F.col("first.row_key").alias("first_key"), F.col("first.line").alias("first_line"))
     dropped = (
-        placed.join(classes, "class")
+        placed.join(classes, class_key)
         .where("row_key <> first_key OR line <> first_line")
         .groupBy(F.col("row_key").alias("_key"))
         .agg(F.collect_set("line").alias("_drop"))

@@ -27,8 +27,9 @@ from pyspark.sql import functions as F
 
 from orderloom.llm.components import connected_components, stored
 
-#: Items of a block: two blocks and their table of comparisons are what a task holds.
-BLOCK = 256
+#: Items of a block: a task holds two blocks, a few hundred bytes an item. A group of up to one block
+#: is one row an item; larger ones are one for each of their blocks.
+BLOCK = 4096
 #: Sketches held against each other in one numpy call.
 COMPARED_AT_ONCE = 50_000
 

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from orderloom.llm.components import stored
 from orderloom.llm.linkage import hamming, linked_components, numpy_hamming
 from orderloom.llm.words import (
-    LOWER, gram_hashes, mix, slices, span_hashes, prefix_hashes, text_bytes, word_spans,
+    LOWER, content_hashes, gram_hashes, mix, slices, text_bytes, word_spans,
 )
 
 SKETCH_BITS = 1024
@@ -53,7 +53,7 @@ def document_sets(
         at = offsets[first : last + 1] - offsets[first]
         part = LOWER[data[offsets[first] : offsets[last]]]
         starts, ends, bounds = word_spans(part, at)
-        hashes = span_hashes(prefix_hashes(part), starts, ends)
+        hashes = content_hashes(part, starts, ends)
         for i in range(last - first):
             words = hashes[bounds[i] : bounds[i + 1]]
             if len(words):

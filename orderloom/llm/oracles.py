@@ -124,7 +124,7 @@ distinct_lines AS (
 links AS (
     SELECT a.node AS a, b.node AS b
     FROM distinct_lines a, range(3) d(shift), distinct_lines b
-    WHERE b.size = a.size + d.shift AND a.size >= 48 AND (d.shift > 0 OR a.node < b.node)
+    WHERE b.size = a.size + d.shift AND (d.shift > 0 OR a.node < b.node)
       AND levenshtein(a.line, b.line) <= 2
 ),
 both_ways AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),

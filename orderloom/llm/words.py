@@ -1,7 +1,9 @@
 """Words of many texts at once, as numpy arrays over the UTF-8 bytes of an Arrow column.
 
 Every delimiter is an ASCII byte, and those never occur inside a longer UTF-8 sequence, so
-texts need no decoding. Words are known by a 64-bit hash of their bytes.
+texts need no decoding. Words are known by a 64-bit hash of their bytes, ``content_hashes``.
+Running hashes, ``prefix_hashes``, give those of any substring, but inputs that collide in them are
+easily made: they only ever propose what is then compared.
 """
 
 from __future__ import annotations
@@ -67,6 +69,33 @@ def span_hashes(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     return mix((sums[ends] - sums[starts]) * down[starts])
 
 
+def content_hashes(
+    data: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 0
+) -> np.ndarray:
+    """64-bit hashes of byte spans by their content; another ``seed`` gives independent ones.
+
+    Every eight bytes are mixed with their place in the span before they are added up, so no
+    sum of bytes, however weighted, decides whether two spans look alike.
+    """
+    sizes = np.asarray(ends - starts, np.int64)
+    blocks = (sizes + 7) >> 3
+    first = np.cumsum(blocks) - blocks
+    place = np.arange(int(blocks.sum())) - np.repeat(first, blocks)
+    at = np.repeat(starts, blocks) + 8 * place
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    eights = np.ndarray(len(data) + 1, "<u8", padded, strides=(1,))[at]
+    left = np.repeat(sizes, blocks) - 8 * place
+    tail = np.flatnonzero(left < 8)
+    eights[tail] &= (np.uint64(1) << (8 * left[tail]).astype(np.uint64)) - np.uint64(1)
+    places = np.arange(int(blocks.max(initial=0)), dtype=np.uint64) + np.uint64(seed << 40)
+    mixed = mix(eights ^ mix(places * np.uint64(_BASE))[place])
+    sums = np.zeros(len(sizes), np.uint64)
+    filled = blocks > 0
+    if filled.any():
+        sums[filled] = np.add.reduceat(mixed, first[filled])
+    return mix(sums + (sizes.astype(np.uint64) + np.uint64(seed + 1)) * np.uint64(_BASE))
+
+
 def gram_hashes(hashes: np.ndarray, n: int) -> np.ndarray:
     """Hash of every window of ``n`` consecutive word hashes."""
     size = max(0, len(hashes) - n + 1)

@@ -10,7 +10,8 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from orderloom.llm import line_dedup
+from orderloom.llm import line_dedup, ngram_join
+from orderloom.llm import words as words_module
 from orderloom.llm.ngram_join import (
     Tiles, document_sets, ngram_components, node_of, one_per_component, overlap, parity_bitmap,
 )
@@ -154,13 +155,12 @@ def edit(rng, line, alphabet):
 
 
 @pytest.mark.parametrize("alphabet", ["ab", "abcdefg é"])
-def test_edit_distance_and_segments(monkeypatch, alphabet):
-    monkeypatch.setattr(line_dedup, "MIN_NEAR_BYTES", 6)
+def test_edit_distance_and_segments(alphabet):
     rng = random.Random(len(alphabet))
 
     def keys(text):
         batch = pa.RecordBatch.from_arrays([pa.array([text])], ["text"])
-        return {k for b in line_dedup._signed(iter([batch]), 2) for k in b.column(0).to_pylist()}
+        return {k for b in line_dedup._signed(iter([batch]), 2, 6) for k in b.column(0).to_pylist()}
 
     for _ in range(150):
         line = "".join(rng.choice(alphabet) for _ in range(rng.randrange(6, 40)))
@@ -173,7 +173,7 @@ def test_edit_distance_and_segments(monkeypatch, alphabet):
                 assert keys(line) & keys(other)
 
 
-def deduped_by_loops(docs):
+def deduped_by_loops(docs, least=line_dedup.MIN_BYTES):
     """The texts that should remain, from all pairs of lines."""
     lines = [
         (doc is None, doc or 0, n, line.encode())
@@ -187,7 +187,7 @@ def deduped_by_loops(docs):
             x = parent[x]
         return x
 
-    near = [x for x in distinct if len(x) >= line_dedup.MIN_NEAR_BYTES]
+    near = [x for x in distinct if len(x) >= least]
     for i, x in enumerate(near):
         for y in near[:i]:
             if abs(len(x) - len(y)) <= 2 and distance(x, y) <= 2:
@@ -221,16 +221,14 @@ def test_lines_against_loops(spark):
     assert rows(counts) == [(100, 0, 0), (101, 1, 0), (102, 3, 0)]
 
 
-def test_short_lines_of_the_pipeline_are_near_too(spark, monkeypatch):
+def test_short_lines_are_near_too(spark):
     rng = random.Random(20)
     base = ["".join(rng.choice("abcdef ") for _ in range(size)) for size in (20, 21, 30, 47, 48) * 3]
     docs = [(i, "\n".join(edit(rng, rng.choice(base), "abcdef ") for _ in range(4))) for i in range(30)]
     df = spark.createDataFrame(docs, "doc_id bigint, text string").withColumn("n_chars", F.lit(0))
     found = rows(corpus_pipeline.line_dedup(spark, df, DATA).select("doc_id", "text"))
-    narrow = deduped_by_loops(docs)
-    monkeypatch.setattr(line_dedup, "MIN_NEAR_BYTES", line_dedup.MIN_BYTES)
     expected = deduped_by_loops(docs)
-    assert expected != narrow
+    assert expected != deduped_by_loops(docs, 48)
     assert found == sorted([(d, t) for d, t in expected if WORD.search(t)], key=repr)
 
 
@@ -293,3 +291,38 @@ def test_the_pipeline_on_odd_rows(spark, odd, tmp_path):
             assert result.count() <= docs.count()
             if name != corpus_pipeline.STAGES[-1][0]:
                 assert result.columns == docs.columns
+
+
+def test_lines_that_collide_in_running_hashes_stay(spark):
+    # The sequence of bit counts and its complement have equal power sums modulo 2^64.
+    one = "".join("ab"[i.bit_count() & 1] for i in range(2048))
+    other = one.translate(str.maketrans("ab", "ba"))
+    data = np.frombuffer((one + other).encode(), np.uint8)
+    sums, at = words_module.prefix_hashes(data), np.array([0, 2048, 4096])
+    assert len(set(words_module.span_hashes(sums, at[:-1], at[1:]).tolist())) == 1
+    assert len(set(words_module.content_hashes(data, at[:-1], at[1:]).tolist())) == 2
+    docs = spark.createDataFrame([(1, one), (2, other), (3, one)], "doc_id bigint, text string")
+    found = line_dedup.dedup_lines(docs)
+    assert rows(found.select("doc_id", "text")) == [(1, one), (2, other), (3, "")]
+    assert rows(ngram_join.ngram_components(docs, 3, 90).select("doc_id", "component_id")) == [(1, 1), (2, 2), (3, 1)]
+
+
+def test_lines_that_share_a_node_by_chance_stay(spark, monkeypatch):
+    # A node of 4 bits: nearly all lines share theirs with others.
+    lines = [f"line {i} of {i * 7919 % 1000} and something to fill it up {i}" for i in range(40)]
+    data = np.frombuffer("".join(lines).encode(), np.uint8)
+    sizes = np.array([len(x) for x in lines])
+    ends = np.cumsum(sizes)
+    nodes, checks = line_dedup.identities(data, ends - sizes, ends)
+    assert len(set(nodes.tolist())) == len(set(checks.tolist())) == 40
+    table = [(i, i, 0, int(n) & 15, int(c)) for i, (n, c) in enumerate(zip(nodes, checks))]
+    table += [(100, 100, 0, int(nodes[3]) & 15, int(checks[3]))]
+    stored = spark.createDataFrame(table, line_dedup._LINES)
+    linked = spark.createDataFrame([], "node bigint, check int, component bigint")
+    monkeypatch.setattr(line_dedup, "line_classes", lambda *_: (stored, linked))
+    monkeypatch.setattr(line_dedup, "row_key", lambda row_id, text: F.col(row_id))
+    docs = spark.createDataFrame(
+        [(i, x) for i, x in enumerate(lines)] + [(100, lines[3])], "doc_id bigint, text string"
+    )
+    found = line_dedup.dedup_lines(docs).where("n_dropped > 0")
+    assert rows(found.select("doc_id")) == [(100,)]

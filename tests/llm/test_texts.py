@@ -14,7 +14,7 @@ from tokenizers import Tokenizer
 from orderloom.llm import decontaminate, quality_rules, toxicity
 from orderloom.llm.bpe import ByteBpe, bpe_decode, bpe_encode, bpe_round_trip
 from orderloom.llm.words import (
-    LOWER, gram_hashes, prefix_hashes, slices, span_hashes, text_bytes, word_spans,
+    LOWER, content_hashes, gram_hashes, prefix_hashes, slices, span_hashes, text_bytes, word_spans,
 )
 from tests.conftest import rows
 from tests.llm.conftest import LONG, SENTENCE, TEXTS
@@ -33,6 +33,9 @@ def test_words_and_their_hashes():
     data, offsets = text_bytes(pa.array(texts))
     starts, ends, bounds = word_spans(data, offsets)
     hashes = span_hashes(prefix_hashes(data), starts, ends)
+    for seed in (0, 1):
+        content = content_hashes(data, starts, ends, seed)
+        assert len(set(zip(hashes.tolist(), content.tolist()))) == len(set(content.tolist())) == len(set(hashes.tolist()))
     known = {}
     for i, text in enumerate(texts):
         found = [data[a:z].tobytes().decode() for a, z in zip(starts[bounds[i]:bounds[i + 1]], ends[bounds[i]:bounds[i + 1]])]
