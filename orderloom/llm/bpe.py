@@ -20,6 +20,8 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
+from orderloom.llm.words import slices, text_bytes
+
 # Fixed value: the pattern of byte-level tokenizers, with white space spelled out.
 WORD_PATTERN = (
     r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+"
@@ -29,7 +31,7 @@ WORD_PATTERN = (
 WORDS_AT_ONCE = 100_000
 #: Distinct words a task remembers before it starts afresh. Results do not depend on it.
 WORDS_REMEMBERED = 250_000
-#: Characters of text encoded together.
+#: Bytes of text encoded together.
 CHARS_AT_ONCE = 1 << 20
 _NONE = np.iinfo(np.int64).max
 
@@ -188,24 +190,14 @@ def tokenizer(path: str) -> ByteBpe:
     return ByteBpe(path)
 
 
-def _slices(texts: list[str]) -> Iterator[tuple[int, int]]:
-    first = chars = 0
-    for i, text in enumerate(texts):
-        chars += len(text)
-        if chars >= CHARS_AT_ONCE:
-            yield first, i + 1
-            first, chars = i + 1, 0
-    if first < len(texts):
-        yield first, len(texts)
-
-
 def _encoded(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
     """Batches of (id, text) as batches of (id, ids)."""
     bpe = tokenizer(path)
     for batch in batches:
-        texts = [t or "" for t in batch.column(1).to_pylist()]
-        for first, last in _slices(texts):
-            ids = bpe.encode(texts[first:last])
+        _, offsets = text_bytes(batch.column(1))
+        for first, last in slices(offsets, CHARS_AT_ONCE):
+            part = batch.column(1).slice(first, last - first).to_pylist()
+            ids = bpe.encode([t or "" for t in part])
             offsets = np.cumsum([0, *map(len, ids)]).astype(np.int32)
             lists = pa.ListArray.from_arrays(
                 pa.array(offsets), pa.array(np.concatenate(ids).astype(np.int32))

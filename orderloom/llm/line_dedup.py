@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from orderloom.llm.components import stored
 from orderloom.llm.linkage import hamming, linked_components, numpy_hamming
-from orderloom.llm.ngram_join import row_key, within
+from orderloom.llm.ngram_join import NODES_REMEMBERED, row_key, within
 from orderloom.llm.pairing import linking_pairs
 from orderloom.llm.words import content_hashes, mix, prefix_hashes, slices, span_hashes, text_bytes
 
@@ -151,7 +151,7 @@ def _signed(
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(np.concatenate(keys)), pa.array(np.concatenate(owners))], ["key", "node"]
                 )
-            if len(seen) > 1_000_000:
+            if len(seen) > NODES_REMEMBERED:
                 seen = set()
 
 

@@ -37,6 +37,8 @@ SKETCH_WORDS = SKETCH_BITS // 64
 BAND_GROWTH = 1.5
 #: Row keys that are sent to every task at most, 16 bytes each; more are joined by a shuffle.
 BROADCAST_KEYS = 1_000_000
+#: Sets that a task knows to have passed on; it then starts afresh. Results do not depend on it.
+NODES_REMEMBERED = 250_000
 #: Pairs of one document that one task compares.
 PAIRS_AT_ONCE = 512
 
@@ -160,7 +162,7 @@ def _signed(batches: Iterator[pa.RecordBatch], n: int, percent: int) -> Iterator
                 keys, nodes, held = [], [], 0
         if keys:
             yield _arrays(["key", "node"], np.concatenate(keys), np.concatenate(nodes))
-        if len(seen) > 1_000_000:
+        if len(seen) > NODES_REMEMBERED:
             seen = set()
 
 
