@@ -13,9 +13,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from orderloom.llm.bpe import bpe_round_trip
-from orderloom.llm.components import stored
+from orderloom.llm.components import small_batches, stored
 from orderloom.llm.decontaminate import clean_documents
-from orderloom.llm.line_dedup import MIN_BYTES, dedup_lines
+from orderloom.llm.line_dedup import dedup_lines
 from orderloom.llm.ngram_join import one_per_component
 from orderloom.llm.quality_rules import keep_good, learn_rules
 
@@ -32,11 +32,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without lines that an earlier one has; those left without any text go.
-
-    Every line that can be dropped takes part in the edit join, short ones too.
-    """
-    deduped = dedup_lines(docs, min_near_bytes=MIN_BYTES)
+    """Documents without lines that an earlier one has; those left without any text go."""
+    deduped = dedup_lines(docs)
     emptied = (F.col("n_dropped") > 0) & ~F.col("text").rlike(r"[^\x20\x09-\x0D]")
     kept = deduped.where(~F.coalesce(emptied, F.lit(False)))
     return kept.withColumn("n_chars", F.char_length("text").cast("bigint")).select(*docs.columns)
@@ -74,5 +71,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages on the documents of a folder."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
-        docs = stored(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        with small_batches(spark):
+            docs = stored(stage(spark, docs, sf_dir), name.replace(" ", "-"))
     return docs
