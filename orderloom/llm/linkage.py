@@ -124,7 +124,7 @@ def _possible_pairs(
             F.col("sketch").alias(f"{name}_sketch"),
         )
 
-    joined = pairs.join(side("a"), "a").join(side("b"), "b")
+    joined = pairs.join(side("a").hint("merge"), "a").join(side("b").hint("merge"), "b")
     return joined.where(possible("a", "b")).select("a", "b")
 
 

@@ -311,10 +311,13 @@ def _verified(
         "a", "b", F.pmod(F.xxhash64("b"), "salts").alias("salt")
     )
     firsts = salts.select("a", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("salts") - 1)).alias("salt"))
-    brought = firsts.join(sets.withColumnRenamed("node", "a"), "a").select(
+    # Always sorted and merged, as in ``linking_pairs``: the plan tried on a small table is that of a large one.
+    brought = firsts.join(sets.withColumnRenamed("node", "a").hint("merge"), "a").select(
         "a", "salt", F.lit(None).cast("bigint").alias("b"), "grams"
     )
-    met = salted.join(sets.withColumnRenamed("node", "b"), "b").select("a", "salt", "b", "grams")
+    met = salted.join(sets.withColumnRenamed("node", "b").hint("merge"), "b").select(
+        "a", "salt", "b", "grams"
+    )
     return (
         brought.union(met)
         .repartition("a", "salt")
