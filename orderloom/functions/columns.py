@@ -76,8 +76,6 @@ def exact_amount(amount: Column, scale: int) -> Column:
 _SMALL_DIGITS, _LIMB_BITS = 18, 20
 #: Amounts that one total can hold: a limb of 20 bits of each leaves room for 2^43 in a long.
 MOST_AMOUNTS = 1 << 42
-#: Scales that fit beside the digits of such a total.
-LARGEST_INTEGER_SCALE = 6
 
 
 def _units(amount: Column, scale: int) -> tuple[Column, Column]:
@@ -140,10 +138,9 @@ def total_of(parts: dict[str, Column], scale: int) -> Column:
 def exact_total(amount: Column, scale: int) -> Column:
     """Sum of amounts as a decimal, each rounded to ``scale``; too large a sum fails the job.
 
-    Numbers that are none (NaN) are left out.
+    Numbers that are none (NaN) are left out. Decimals are faster here than ``exact_parts``, which are
+    for sums that are stored and added again.
     """
-    if scale <= LARGEST_INTEGER_SCALE:
-        return total_of(exact_parts(amount, scale), scale)
     addend = exact_amount(amount, scale)
     total = F.sum(addend)
     overflow = F.raise_error(F.lit("sum of amounts is too large")).cast(T.DecimalType(38, scale))
