@@ -19,7 +19,7 @@ from orderloom.operators.sales import MONEY_SCALE, marked_up_prices
 from orderloom.plans.pipeline import PipelineRun, run_pipeline
 from orderloom.plans.silver import reject_lines
 from orderloom.session import tune
-from orderloom.sources.jdbc import JdbcConnection, JdbcPartitioning, entity_query
+from orderloom.sources.jdbc import JdbcConnection, JdbcPartitioning, JdbcRanges, Partitioning, entity_query
 from orderloom.sources.spec import Source
 
 JDBC = "jdbc"
@@ -35,8 +35,8 @@ def parse(argv: Sequence[str] | None) -> argparse.Namespace:
         parser.add_argument(f"--{name}", default=JDBC, help=f"a path, or {JDBC} (default)")
         parser.add_argument(
             f"--{name}-split",
-            metavar="LOWER:UPPER:PARTS",
-            help=f"read {name} from the database in ranges of its id",
+            metavar="[LOWER:UPPER:]PARTS",
+            help=f"read {name} from the database in ranges of its id; without bounds it is asked for them",
         )
     parser.add_argument("--out", required=True, help="gets bronze, silver and gold")
     parser.add_argument("--jdbc-url")
@@ -75,9 +75,11 @@ def sources_of(args: argparse.Namespace) -> dict[str, Source]:
     return sources
 
 
-def _split(text: str | None, column: str) -> JdbcPartitioning | None:
+def _split(text: str | None, column: str) -> Partitioning | None:
     if text is None:
         return None
+    if ":" not in text:
+        return JdbcRanges(column, int(text))
     lower, upper, parts = text.split(":")
     return JdbcPartitioning(column, lower, upper, int(parts))
 

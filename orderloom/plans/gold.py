@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from datetime import date
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from orderloom.functions.columns import period_start
 from orderloom.operators.rollup import daily_states, roll_up, sales_of_states
-from orderloom.operators.sales import MONEY_SCALE, order_lines_fact, sales_by_period
-from orderloom.sources.parquet import write_parquet
+from orderloom.operators.sales import MONEY_SCALE, PERIOD_NAMES, order_lines_fact, sales_by_period
+from orderloom.sources.parquet import refresh_partitions, write_parquet
 
 # The names of the gold tables.
 FACT = "fact_order_lines"
@@ -18,6 +21,9 @@ DAILY_SALES = "agg_sales_by_date_region_product"
 SALES_STATES = "states_sales_by_date_region_product"
 
 
+#: The partition column of a daily sales table that is refreshed by months.
+MONTH = PERIOD_NAMES["month"]
+
 COARSER_SALES = {
     "week": "agg_sales_by_week_region_product",
     "month": "agg_sales_by_month_region_product",
@@ -61,3 +67,27 @@ def run_gold(
         coarser = sales_of_states(roll_up(states, grain, scale), *dims, grain, scale)
         rows[COARSER_SALES[grain]] = write_parquet(coarser, f"{out}/{COARSER_SALES[grain]}")
     return rows
+
+
+def refresh_daily_sales(
+    lines: DataFrame,
+    products: DataFrame,
+    regions: DataFrame,
+    path: str,
+    since: date | None = None,
+    money_scale: int | None = MONEY_SCALE,
+) -> int:
+    """Brings the daily sales at ``path`` up to date from the month of ``since`` on, all of them without
+    it; returns the number of rows written.
+
+    ``lines`` is the fact or ``sale_lines``; only lines of the months in question are read, where its
+    scan can tell. The table has the rows of ``sales_by_period`` and is partitioned by month: months
+    with lines are replaced whole, earlier ones stay as they are, and so does a month that has no
+    lines any more. Lines without a day are a partition of their own, which every refresh replaces.
+    """
+    if since is not None:
+        day = F.col("orderDate")
+        lines = lines.where((day >= F.lit(since.replace(day=1))) | day.isNull())
+    daily = sales_by_period(lines, products, regions, "day", money_scale)
+    by_month = daily.withColumn(MONTH, period_start(F.col("orderDate"), "month"))
+    return refresh_partitions(by_month, path, [MONTH])

@@ -66,6 +66,23 @@ def write_parquet(df: DataFrame, path: str, partition_by: Sequence[str] = ()) ->
     return observation.get["rows"]
 
 
+def refresh_partitions(df: DataFrame, path: str, partition_by: Sequence[str]) -> int:
+    """Replaces the partitions of ``path`` that ``df`` has rows for and leaves the others; returns the
+    number of rows.
+
+    Rows of a partition are brought together first, so there is about one file for each and not one for
+    each task and partition; a partition larger than a task should hold is split again by adaptive
+    execution, with those that share its task, and small ones are put together. ``df`` is not sampled, so it runs once. Files are written
+    beside the table and moved into it when the job is done: one that fails leaves the old
+    partitions as they were, and ``df`` may be read from ``path`` itself. A partition without new rows
+    stays, even if it should now be empty. A new path becomes a table of these rows.
+    """
+    counted, observation = observe(df.hint("rebalance", *partition_by), {"rows": F.count(F.lit(1))})
+    writer = counted.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    writer.partitionBy(*partition_by).parquet(path)
+    return observation.get["rows"]
+
+
 def write_split(
     df: DataFrame, by: str, kept: str, kept_path: str, rest_path: str
 ) -> dict[str, int]:

@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-from orderloom.sources.jdbc import JdbcConnection, JdbcPartitioning, read_jdbc
+from orderloom.sources.jdbc import JdbcConnection, Partitioning, read_jdbc
 from orderloom.sources.parquet import coerce_schema
 from orderloom.sources.text import read_text
 
@@ -20,7 +20,7 @@ class Source:
     path: str | None = None
     connection: JdbcConnection | None = None
     dbtable: str | None = None
-    partitioning: JdbcPartitioning | None = None
+    partitioning: Partitioning | None = None
 
 
 def read_source(spark: SparkSession, source: Source, schema: T.StructType) -> DataFrame:

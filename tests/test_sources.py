@@ -1,10 +1,15 @@
+from datetime import date, datetime
+from decimal import Decimal
+
+import duckdb
 import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from orderloom.__main__ import _split
 from orderloom.entities import order_entities
-from orderloom.sources import spec
+from orderloom.sources import jdbc, spec
 from orderloom.sources.jdbc import (
     JdbcConnection,
     JdbcPartitioning,
@@ -12,7 +17,7 @@ from orderloom.sources.jdbc import (
     jdbc_options,
 )
 from orderloom.sources.parquet import (
-    coerce_schema, conform, observe, read_parquet, read_rest, write_parquet, write_split,
+    coerce_schema, conform, observe, read_parquet, read_rest, refresh_partitions, write_parquet, write_split,
 )
 from orderloom.sources.spec import Source, read_source
 from orderloom.sources.text import header_line, parse_lines, read_body_lines, read_text
@@ -270,3 +275,130 @@ def test_split_needs_no_sort(spark, tmp_path, conf):
     df.createOrReplaceTempView("split_rows")
     plan = spark.sql("EXPLAIN CREATE TABLE split_t USING parquet PARTITIONED BY (by) AS SELECT * FROM split_rows").first()[0]
     assert "Sort" not in plan
+
+
+def test_hash_predicates_split_rows():
+    n = 7
+    conditions = jdbc.hash_predicates(jdbc.JdbcHashes("sku", n, "LENGTH({column}) - 5"))
+    con = duckdb.connect()
+    con.execute("""CREATE TABLE t AS SELECT repeat('x', i % 31) AS sku FROM range(1000) r(i)
+                   UNION ALL SELECT NULL FROM range(5)""")
+    # Negative hashes and nulls too: each row fulfils one condition.
+    assert len(conditions) == n
+    met = " + ".join(f"CAST(coalesce({c}, false) AS int)" for c in conditions)
+    assert con.execute(f"SELECT min({met}), max({met}), count(*) FROM t").fetchone() == (1, 1, 1005)
+    assert 'hashtext(CAST("sku" AS text))' in jdbc.hash_predicates(jdbc.JdbcHashes("sku", 2))[1]
+    with pytest.raises(ValueError):
+        jdbc.hash_predicates(jdbc.JdbcHashes("sku", 0))
+
+
+def test_bounds_are_asked_for():
+    con = duckdb.connect()
+    con.execute("CREATE TABLE product AS SELECT i AS product_id FROM range(5, 900) r(i)")
+    query = jdbc.bounds_query('(SELECT product_id AS "productId" FROM product) AS product_rows', "productId")
+    assert con.execute(f"SELECT * FROM {query}").fetchall() == [(5, 899)]
+    assert jdbc.bounds_query("product", 'a"b').count('"a""b"') == 2
+
+
+@pytest.mark.parametrize(
+    "low, high, bounds",
+    [
+        (5, 899, ("5", "899")),
+        (Decimal("-1.5"), Decimal("7.2"), ("-2", "8")),
+        (date(2020, 1, 1), date(2021, 1, 1), ("2020-01-01", "2021-01-01")),
+        (datetime(2020, 1, 1, 3), datetime(2021, 1, 1), ("2020-01-01 03:00:00", "2021-01-01 00:00:00")),
+        (None, None, None),
+        (4, 4, None),
+    ],
+)
+def test_bounds_become_ranges(low, high, bounds):
+    found = jdbc.bounded(jdbc.JdbcRanges("k", 8), low, high)
+    assert found == (JdbcPartitioning("k", *bounds, 8) if bounds else None)
+
+
+def test_text_has_no_ranges():
+    with pytest.raises(TypeError, match="JdbcHashes"):
+        jdbc.bounded(jdbc.JdbcRanges("k", 8), "a", "z")
+
+
+class Reader:
+    """Stands in for a session's reader, and notes what it is asked for."""
+
+    def __init__(self):
+        self.asked, self.read = [], self
+
+    def format(self, name):
+        assert name == "jdbc"
+        return self
+
+    def options(self, **options):
+        self.asked.append(options)
+        return self
+
+    def load(self):
+        return self
+
+    def first(self):
+        return (1, 1000)
+
+    def jdbc(self, url, table, predicates, properties):
+        self.asked.append((url, table, predicates, properties))
+        return self
+
+
+def test_scans_of_large_tables():
+    reader = Reader()
+    jdbc.read_jdbc(reader, CONNECTION, "product", jdbc.JdbcRanges("product_id", 8))
+    bounds, scan = reader.asked
+    assert bounds["dbtable"] == jdbc.bounds_query("product", "product_id")
+    assert scan == jdbc_options(CONNECTION, "product", JdbcPartitioning("product_id", "1", "1000", 8))
+
+    reader, hashes = Reader(), jdbc.JdbcHashes("sku", 3)
+    jdbc.read_jdbc(reader, CONNECTION, "product", hashes)
+    login = {"user": "reader", "password": "secret", "driver": "org.postgresql.Driver"}
+    assert reader.asked == [(CONNECTION.url, "product", jdbc.hash_predicates(hashes), login)]
+
+
+def test_partitions_are_refreshed(spark, tmp_path):
+    path = str(tmp_path / "t")
+    old = spark.range(90).selectExpr("id", "id % 3 AS day", "'old' AS v")
+    assert refresh_partitions(old, path, ["day"]) == 90
+    new = spark.range(5).selectExpr("id", "IF(id = 4, NULL, id % 2 + 2) AS day", "'new' AS v")
+    assert refresh_partitions(new, path, ["day"]) == 5
+    found = spark.read.parquet(path).groupBy("day", "v").count()
+    assert set(rows(found)) == {(0, "old", 30), (1, "old", 30), (2, "new", 2), (3, "new", 2), (None, "new", 1)}
+    # The table itself may be read for it, and no rows replace nothing.
+    again = spark.read.parquet(path).where("day = 1").withColumn("v", F.lit("again"))
+    assert refresh_partitions(again, path, ["day"]) == 30
+    assert refresh_partitions(again.limit(0), path, ["day"]) == 0
+    assert spark.read.parquet(path).where("v = 'again'").count() == 30
+    assert spark.read.parquet(path).count() == 65
+
+
+def test_a_failed_refresh_leaves_the_old_partitions(spark, tmp_path):
+    path = str(tmp_path / "t")
+    df = spark.range(100).selectExpr("id", "id % 4 AS day")
+    refresh_partitions(df, path, ["day"])
+    broken = df.selectExpr("IF(id = 77, raise_error('stop'), id + 1000) AS id", "day")
+    with pytest.raises(Exception, match="stop"):
+        refresh_partitions(broken, path, ["day"])
+    assert rows(spark.read.parquet(path)) == rows(df)
+
+
+def test_refresh_writes_few_files_and_splits_a_hot_partition(spark, tmp_path, conf):
+    conf({"spark.sql.adaptive.advisoryPartitionSizeInBytes": "800KB"})
+    path = tmp_path / "t"
+    day = "IF(id % 3 = 0, 0, id % 40) AS day"
+    df = spark.range(0, 300_000, 1, 16).selectExpr("id", "xxhash64(id) AS v", day)
+    refresh_partitions(df, str(path), ["day"])
+    files = {d.name: len(list(d.glob("*.parquet"))) for d in path.iterdir() if d.is_dir()}
+    assert files.pop("day=0") > 1
+    # Those that share a task with the hot one are split with it; the others have one file, not 16.
+    assert sorted(files.values())[len(files) // 2] == 1
+    assert spark.read.parquet(str(path)).count() == 300_000
+
+
+def test_split_option_of_the_job():
+    assert _split(None, "productId") is None
+    assert _split("64", "productId") == jdbc.JdbcRanges("productId", 64)
+    assert _split("1:900:4", "productId") == JdbcPartitioning("productId", "1", "900", 4)
