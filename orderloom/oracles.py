@@ -130,7 +130,7 @@ REJECTED = _with(
 )
 
 
-def _sales(period: str, name: str) -> str:
+def _sales(period: str, name: str, where: str = "TRUE") -> str:
     return _with(
         *MODEL, FACT,
         select=f"""SELECT {period} AS "{name}", "regionId", "regionName", "productId",
@@ -138,7 +138,7 @@ def _sales(period: str, name: str) -> str:
             CAST(sum(CAST("lineRevenue" AS decimal(18, 2))) AS double) AS "totalRevenue",
             CAST(sum("quantity") AS bigint) AS "totalQuantity",
             count(DISTINCT "orderId") AS "orderCount"
-        FROM fact
+        FROM fact WHERE {where}
         GROUP BY {period}, "regionId", "regionName", "productId", "productName" """,
     )
 
@@ -208,6 +208,18 @@ ORACLES: dict[str, str] = {
                       WHERE o.o_orderkey = d."orderId" AND o.o_orderstatus <> 'P')
           AND EXISTS (SELECT 1 FROM some_products p WHERE p."productId" = d."productId")""",
     ),
+    "drop_orphans_screened": _with(
+        DETAILS,
+        select="""SELECT * FROM details d WHERE EXISTS (
+            SELECT 1 FROM orders o WHERE o.o_orderkey = d."orderId" AND o.o_orderstatus = 'P'
+            AND o.o_orderdate < TIMESTAMP '1996-01-01')""",
+    ),
+    "missing_references_screened": _with(
+        DETAILS,
+        select="""SELECT count(*) AS "missing" FROM details d WHERE NOT EXISTS (
+            SELECT 1 FROM orders o WHERE o.o_orderkey = d."orderId" AND o.o_orderstatus = 'P'
+            AND o.o_orderdate < TIMESTAMP '1996-01-01')""",
+    ),
     "dedupe_by_key": """SELECT * FROM lineitem QUALIFY row_number() OVER (
         PARTITION BY l_orderkey, l_linenumber
         ORDER BY l_partkey NULLS FIRST, l_suppkey NULLS FIRST, l_quantity NULLS FIRST,
@@ -307,6 +319,9 @@ ORACLES: dict[str, str] = {
     "write_readback": "SELECT * FROM orders",
     "write_count": """SELECT count(*) AS "reportedRows", count(*) AS "writtenRows"
         FROM lineitem""",
+    "refreshed_sales": _sales(
+        '"orderDate"', "orderDate", "\"regionName\" <> 'ASIA' OR \"orderDate\" >= DATE '1998-04-01'"
+    ),
     "silver_orders": _with(
         REGIONS, ORDERS, FAULTY_ORDERS, CLEAN_ORDERS, select="SELECT * FROM clean_orders"
     ),

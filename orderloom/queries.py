@@ -10,15 +10,16 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import replace
+from datetime import date
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from orderloom.entities import ForeignKey, order_entities
-from orderloom.operators import quality, rollup, sales
+from orderloom.operators import quality, rollup, sales, screen
 from orderloom.operators.ordinals import surrogate_ordinals
-from orderloom.plans.gold import DAILY_SALES, FACT
+from orderloom.plans.gold import DAILY_SALES, FACT, MONTH, refresh_daily_sales
 from orderloom.plans.pipeline import PipelineRun, run_pipeline
 from orderloom.plans.silver import (
     REJECT_SAMPLE_SIZE,
@@ -206,6 +207,25 @@ def drop_orphans_two_fk(t: Tables) -> DataFrame:
     return quality.drop_orphans(with_order, "productId", t.some_products(), "productId", True)
 
 
+def _few_orders(t: Tables) -> DataFrame:
+    """Old orders still in progress, a few in a hundred: the lines of all others become orphans."""
+    return t.orders.where("o_orderstatus = 'P' AND o_orderdate < TIMESTAMP_NTZ '1996-01-01'")
+
+
+def drop_orphans_screened(t: Tables) -> DataFrame:
+    t.tuned("lineitem", "orders")
+    return screen.drop_orphans_screened(
+        t.details(), "orderId", _few_orders(t), "o_orderkey", unique=True
+    )
+
+
+def missing_references_screened(t: Tables) -> DataFrame:
+    t.tuned("lineitem", "orders")
+    return screen.missing_references_screened(
+        t.details(), "orderId", _few_orders(t), "o_orderkey"
+    )
+
+
 def dedupe_by_key(t: Tables) -> DataFrame:
     t.tuned("lineitem")
     return quality.dedupe_by_key(t.lineitem, ["l_orderkey", "l_linenumber"])
@@ -439,6 +459,17 @@ def write_count(t: Tables) -> DataFrame:
     )
 
 
+def refreshed_sales(t: Tables) -> DataFrame:
+    """Daily sales without one region, then refreshed with it from April 1998 on: earlier months stay."""
+    t.tuned("lineitem", "orders")
+    dims, path = (t.products(), t.regions()), staging_path(t.spark, "sales_by_month")
+    lines = sales.sale_lines(t.details(), t.model_orders())
+    asia = t.regions().where("regionName = 'ASIA'")
+    refresh_daily_sales(lines.join(asia, "regionId", "left_anti"), *dims, path, None, MONEY_SCALE)
+    refresh_daily_sales(lines, *dims, path, date(1998, 4, 15), MONEY_SCALE)
+    return t.spark.read.parquet(path).drop(MONTH)
+
+
 def _silver(t: Tables) -> tuple[SilverRun, str]:
     t.tuned("lineitem", "orders", "customer")
     out = staging_path(t.spark, "silver")
@@ -525,6 +556,8 @@ QUERIES: dict[str, Callable[[Tables], DataFrame]] = {
     "drop_orphans": drop_orphans,
     "missing_references": missing_references,
     "drop_orphans_two_fk": drop_orphans_two_fk,
+    "drop_orphans_screened": drop_orphans_screened,
+    "missing_references_screened": missing_references_screened,
     "dedupe_by_key": dedupe_by_key,
     "count_duplicate_keys": count_duplicate_keys,
     "count_null_keys": count_null_keys,
@@ -553,6 +586,7 @@ QUERIES: dict[str, Callable[[Tables], DataFrame]] = {
     "typed_scan": typed_scan,
     "write_readback": write_readback,
     "write_count": write_count,
+    "refreshed_sales": refreshed_sales,
     "silver_orders": silver_orders,
     "silver_order_details": silver_order_details,
     "silver_rejects": silver_rejects,

@@ -1,0 +1,103 @@
+"""Screens of parent keys: results as without them, and what is shuffled."""
+
+import pytest
+from pyspark.sql import functions as F
+
+from orderloom.operators import quality, screen
+from tests.conftest import final_plan, rows
+
+
+@pytest.fixture
+def no_broadcast_joins(conf):
+    conf({
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+    })
+
+
+KEYS = {
+    "bigint": "id * 7919 - 3000000",
+    "int": "CAST(id * 79 - 30000 AS int)",
+    "string": "concat('k-', id)",
+    "date": "date_add(DATE '2000-01-01', CAST(id AS int))",
+    "timestamp": "timestamp_seconds(id * 61)",
+}
+
+
+@pytest.mark.parametrize("key", KEYS.values(), ids=list(KEYS))
+def test_same_rows_as_without(spark, no_broadcast_joins, key):
+    child = spark.range(5000).selectExpr("id", f"IF(id % 11 = 0, NULL, {key}) AS fk", "id AS other")
+    parent = spark.range(0, 5000, 13).selectExpr(f"{key} AS pk").union(spark.sql(f"SELECT {key} FROM (SELECT 26L AS id)"))
+    parent = parent.union(spark.range(1).selectExpr("NULL"))
+    plain = quality.drop_orphans(child, "fk", parent, "pk")
+    screened = screen.drop_orphans_screened(child, "fk", parent, "pk")
+    assert screened.columns == plain.columns
+    assert rows(screened) == rows(plain) != []
+    missing = screen.missing_references_screened(child, "fk", parent, "pk").first()
+    assert missing == quality.missing_references(child, "fk", parent, "pk").first()
+    assert missing[0] == 5000 - plain.count()
+
+
+def test_few_orphans_pass(spark):
+    parent = spark.range(100_000).selectExpr("id * 3 AS pk")
+    child = spark.range(300_000).selectExpr("id AS fk")
+    known = screen.key_screen(parent, "pk").split(child, "fk")
+    assert known.where("_known AND fk % 3 = 0").count() == 100_000
+    # One minus 1/e to the power of 1/8 of the orphans.
+    assert 0.10 < known.where("_known AND fk % 3 <> 0").count() / 200_000 < 0.13
+
+
+def test_orphans_are_not_shuffled(spark, no_broadcast_joins, tmp_path):
+    spark.range(300_000).selectExpr("id", "id AS fk").write.parquet(str(tmp_path / "c"))
+    spark.range(0, 300_000, 10).selectExpr("id AS pk").write.parquet(str(tmp_path / "p"))
+    child, parent = spark.read.parquet(str(tmp_path / "c")), spark.read.parquet(str(tmp_path / "p"))
+
+    def sorted_rows(df):
+        df.collect()
+        plan = df._jdf.queryExecution().executedPlan()
+        found, todo = 0, [plan.executedPlan()]
+        while todo:
+            node = todo.pop()
+            if node.nodeName() == "ShuffleQueryStage" or node.nodeName() == "Exchange":
+                metric = node.metrics().get("shuffleRecordsWritten")
+                found += metric.get().value() if metric.isDefined() else 0
+            if "QueryStage" in node.nodeName():
+                todo.append(node.plan())
+            children = node.children()
+            todo += [children.apply(i) for i in range(children.size())]
+        return found
+
+    plain = quality.drop_orphans(child, "fk", parent, "pk", unique=True).agg(F.sum("id"))
+    screened = screen.drop_orphans_screened(child, "fk", parent, "pk", unique=True).agg(F.sum("id"))
+    assert "BroadcastHashJoin" in final_plan(screened) and "BroadcastHashJoin" not in final_plan(plain)
+    assert plain.first() == screened.first()
+    assert sorted_rows(plain) >= 330_000
+    # 30,000 parents, as many children, and an eighth of 270,000 orphans.
+    assert sorted_rows(screened) < 100_000
+
+
+def test_keys_without_room_are_not_screened(spark):
+    parent = spark.range(100_000).selectExpr("id AS pk")
+    assert screen.key_screen(parent, "pk", max_bytes=1 << 16) is None
+    assert screen.key_screen(parent, "pk", max_bytes=1 << 17) is not None
+    child = spark.range(99_990, 100_010).selectExpr("id AS fk")
+    kept = screen.drop_orphans_screened(child, "fk", parent, "pk", max_bytes=1)
+    assert rows(kept) == [(i,) for i in range(99_990, 100_000)]
+    assert screen.missing_references_screened(child, "fk", parent, "pk", max_bytes=1).first()[0] == 10
+
+
+def test_empty_tables(spark):
+    some, none = spark.range(9).selectExpr("id AS k"), spark.range(0).selectExpr("id AS k")
+    assert rows(screen.drop_orphans_screened(some, "k", none, "k")) == []
+    assert rows(screen.drop_orphans_screened(none, "k", some, "k")) == []
+    assert screen.missing_references_screened(some, "k", none, "k").first()[0] == 9
+    assert screen.missing_references_screened(none, "k", some, "k").first()[0] == 0
+
+
+def test_types(spark):
+    ints, longs = spark.range(9).selectExpr("CAST(id AS int) AS k"), spark.range(4).selectExpr("id AS k")
+    assert len(rows(screen.drop_orphans_screened(ints, "k", longs, "k"))) == 4
+    with pytest.raises(TypeError, match="cannot be screened"):
+        screen.key_screen(spark.sql("SELECT 1.0D AS k"), "k")
+    with pytest.raises(TypeError, match="string"):
+        screen.drop_orphans_screened(spark.sql("SELECT '1' AS k"), "k", longs, "k")
