@@ -25,7 +25,9 @@ from orderloom.llm.components import stored
 from orderloom.llm.linkage import hamming, linked_components, numpy_hamming
 from orderloom.llm.ngram_join import NODES_REMEMBERED, row_key, within
 from orderloom.llm.pairing import linking_pairs
-from orderloom.llm.words import content_hashes, mix, prefix_hashes, slices, span_hashes, text_bytes
+from orderloom.llm.words import (
+    content_hashes, mix, prefix_hashes, seeded_hashes, slices, span_hashes, text_bytes,
+)
 
 DISTANCE = 2
 #: Shorter lines (in bytes) are never dropped: short ones recur in clean documents.
@@ -36,6 +38,9 @@ TABLE_BYTES = 1 << 20
 #: number of. An edit takes away a run of each byte that it touches and adds as many.
 RUNS = (1, 2, 3)
 SKETCH_WORDS = 2
+#: The class of a run: the highest bits of its product with an odd number, modulo 2^32.
+_SPREAD = np.uint32(0x9E3779B1)
+_TOP = np.uint32(32 - (SKETCH_WORDS * 64 - 1).bit_length())
 _LINES = "row_key bigint, id bigint, line int, node bigint, check int"
 
 
@@ -65,8 +70,8 @@ def identities(part: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[
     Lines meet by node. A line is dropped only where the check agrees as well, so that one that shares
     its node with another by chance stays.
     """
-    nodes = content_hashes(part, starts, ends).astype(np.int64)
-    return nodes, content_hashes(part, starts, ends, 1).astype(np.uint32).view(np.int32)
+    nodes, checks = seeded_hashes(part, starts, ends, (0, 1))
+    return nodes.astype(np.int64), checks.astype(np.uint32).view(np.int32)
 
 
 def _listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -113,13 +118,20 @@ def probes(size: int, distance: int, least: int) -> list[tuple[int, int, int, in
     return found
 
 
+def _places(size: int, distance: int, least: int) -> np.ndarray:
+    """Where substrings looked up by a line of ``size`` begin and end, and the salts of their keys."""
+    length, segment, start, width = np.array(probes(size, distance, least), np.int64).T
+    salt = mix((length << 8 | segment).astype(np.uint64)).view(np.int64)
+    return np.stack([start, start + width, salt])
+
+
 def _signed(
     batches: Iterator[pa.RecordBatch], distance: int, least: int | None = None
 ) -> Iterator[pa.RecordBatch]:
     """Batches of (text) as (key, node), for lines that may have near ones."""
     least = MIN_BYTES if least is None else least
     seen: set[int] = set()
-    places: dict[int, tuple[np.ndarray, ...]] = {}
+    places: dict[int, np.ndarray] = {}
     for batch in batches:
         for _, _, part, starts, ends, _ in line_spans(batch.column(0)):
             long = ends - starts >= least
@@ -131,25 +143,23 @@ def _signed(
             fresh = np.array([n not in seen for n in nodes.tolist()])
             seen.update(nodes.tolist())
             nodes, starts, sizes = nodes[fresh], starts[fresh], sizes[fresh]
-            # Lines of one length look in the same places.
-            order = np.argsort(sizes, kind="stable")
-            nodes, starts, sizes = nodes[order], starts[order], sizes[order]
-            cuts = np.flatnonzero(np.r_[True, sizes[1:] != sizes[:-1], True]) if len(sizes) else []
-            keys, owners = [], []
-            for a, z in zip(cuts[:-1], cuts[1:]):
-                size = int(sizes[a])
-                if size not in places:
-                    table = np.array(probes(size, distance, least), np.int64)
-                    salt = mix((table[:, 0] << 8 | table[:, 1]).astype(np.uint64))
-                    places[size] = (table[:, 2], table[:, 2] + table[:, 3], salt)
-                begin, end, salt = places[size]
-                at = starts[a:z, None]
-                hashes = span_hashes(sums, (at + begin).ravel(), (at + end).ravel())
-                keys.append(mix(hashes ^ np.tile(salt, z - a)).astype(np.int64))
-                owners.append(np.repeat(nodes[a:z], len(salt)))
-            if keys:
+            if len(nodes):
+                lengths, of = np.unique(sizes, return_inverse=True)
+                for size in lengths.tolist():
+                    if size not in places:
+                        places[size] = _places(size, distance, least)
+                # Lines of one length look in the same places: those of all lengths in one table.
+                tables = [places[size] for size in lengths.tolist()]
+                counts = np.array([t.shape[1] for t in tables])
+                begin, end, salt = np.concatenate(tables, axis=1)
+                each = counts[of]
+                before = np.cumsum(each) - each
+                row = np.arange(int(each.sum())) + np.repeat((np.cumsum(counts) - counts)[of] - before, each)
+                at = np.repeat(starts, each)
+                hashes = span_hashes(sums, at + begin[row], at + end[row])
+                keys = mix(hashes ^ salt[row].view(np.uint64)).astype(np.int64)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate(keys)), pa.array(np.concatenate(owners))], ["key", "node"]
+                    [pa.array(keys), pa.array(np.repeat(nodes, each))], ["key", "node"]
                 )
             if len(seen) > NODES_REMEMBERED:
                 seen = set()
@@ -175,21 +185,23 @@ def _sketched(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.Reco
 
 
 def _sketches(part: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """``len(RUNS) * SKETCH_WORDS`` numbers per line."""
+    """``len(RUNS) * SKETCH_WORDS`` numbers per line; lines do not overlap."""
+    classes, lines = SKETCH_WORDS * 64, len(starts)
+    # The line of every byte; those of no line, and runs that leave theirs, go to one more.
+    owner = np.full(len(part), lines, np.int32)
     before = np.cumsum(sizes) - sizes
-    owner = np.repeat(np.arange(len(starts)), sizes)
-    place = np.arange(len(owner)) - np.repeat(before, sizes)
-    at = place + np.repeat(starts, sizes)
-    left = np.repeat(sizes, sizes) - place
-    run, found = np.zeros(len(owner), np.uint64), []
+    owner[np.arange(int(sizes.sum())) + np.repeat(starts - before, sizes)] = np.repeat(
+        np.arange(lines, dtype=np.int32), sizes
+    )
+    run, found = np.zeros(len(part), np.uint32), []
     for length in RUNS:
-        begins = left >= length
-        owner, at, left, run = owner[begins], at[begins], left[begins], run[begins]
-        run = run << np.uint64(8) | part[at + length - 1].astype(np.uint64)
-        classes = SKETCH_WORDS * 64
-        cell = owner * classes + (mix(run) % np.uint64(classes)).astype(np.int64)
-        odd = np.bincount(cell, minlength=len(starts) * classes) & 1
-        bits = odd.astype(np.uint8).reshape(len(starts), classes)
+        places = max(0, len(part) - length + 1)
+        run = run[:places] << np.uint32(8) | part[length - 1 :]
+        first = owner[:places]
+        cell = np.where(first == owner[length - 1 :], first, np.int32(lines)) * np.int32(classes)
+        cell += (run * _SPREAD >> _TOP).astype(np.int32)
+        odd = np.bincount(cell, minlength=(lines + 1) * classes)[: lines * classes] & 1
+        bits = odd.astype(np.uint8).reshape(lines, classes)
         found.append(np.packbits(bits, axis=1, bitorder="little").view(np.int64))
     return np.concatenate(found, axis=1)
 

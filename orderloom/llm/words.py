@@ -77,6 +77,13 @@ def content_hashes(
     Every eight bytes are mixed with their place in the span before they are added up, so no
     sum of bytes, however weighted, decides whether two spans look alike.
     """
+    return seeded_hashes(data, starts, ends, (seed,))[0]
+
+
+def seeded_hashes(
+    data: np.ndarray, starts: np.ndarray, ends: np.ndarray, seeds: tuple[int, ...]
+) -> list[np.ndarray]:
+    """``content_hashes`` by several seeds, which take the spans apart once."""
     sizes = np.asarray(ends - starts, np.int64)
     blocks = (sizes + 7) >> 3
     first = np.cumsum(blocks) - blocks
@@ -84,16 +91,20 @@ def content_hashes(
     at = np.repeat(starts, blocks) + 8 * place
     padded = np.concatenate([data, np.zeros(8, np.uint8)])
     eights = np.ndarray(len(data) + 1, "<u8", padded, strides=(1,))[at]
-    left = np.repeat(sizes, blocks) - 8 * place
-    tail = np.flatnonzero(left < 8)
-    eights[tail] &= (np.uint64(1) << (8 * left[tail]).astype(np.uint64)) - np.uint64(1)
-    places = np.arange(int(blocks.max(initial=0)), dtype=np.uint64) + np.uint64(seed << 40)
-    mixed = mix(eights ^ mix(places * np.uint64(_BASE))[place])
-    sums = np.zeros(len(sizes), np.uint64)
+    # Only the last block of a span reaches over its end.
+    tail = np.flatnonzero(sizes & 7)
+    last = first[tail] + blocks[tail] - 1
+    eights[last] &= (np.uint64(1) << (8 * (sizes[tail] & 7)).astype(np.uint64)) - np.uint64(1)
+    longest = np.arange(int(blocks.max(initial=0)), dtype=np.uint64)
     filled = blocks > 0
-    if filled.any():
-        sums[filled] = np.add.reduceat(mixed, first[filled])
-    return mix(sums + (sizes.astype(np.uint64) + np.uint64(seed + 1)) * np.uint64(_BASE))
+    found = []
+    for seed in seeds:
+        mixed = mix(eights ^ mix((longest + np.uint64(seed << 40)) * np.uint64(_BASE))[place])
+        sums = np.zeros(len(sizes), np.uint64)
+        if filled.any():
+            sums[filled] = np.add.reduceat(mixed, first[filled])
+        found.append(mix(sums + (sizes.astype(np.uint64) + np.uint64(seed + 1)) * np.uint64(_BASE)))
+    return found
 
 
 def gram_hashes(hashes: np.ndarray, n: int) -> np.ndarray:
