@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 from html import unescape
@@ -323,3 +324,58 @@ def test_pairs_of_a_hot_item_are_spread(spark):
     found = rows(linking_pairs(pairs, payloads, compare))
     assert found == sorted([(1, i) for i in range(2, 10)] + [(2, 3)], key=repr)
     assert linking_pairs(pairs.where("false"), payloads, compare).isEmpty()
+
+
+def _main_text(html):
+    return html_text.main_lines(html_text.page_lines(html))
+
+
+@pytest.mark.parametrize(
+    "inside, expected",
+    [
+        # A quote after a value starts a name; after one never closed, tags end at the first bracket.
+        ('<p>one <a href="x"">two</a> three <b class="y">four</b></p>', ["one two three four"]),
+        ('<p>one</p><p><a title="x>two</p><p>three</p>', ["one", "two", "three"]),
+        ('<p>one</p><p>two <a title="x>y</a> z" href=q>three</a></p>', ["one", "two three"]),
+        ("<p>one <a href=it's>two</a> <b>it's</b></p>", ["one two it's"]),
+        ("<p>a < b, b <3 c <> d</p>", ["a < b, b <3 c <> d"]),
+        ("<p>one<!-->two<!-- x > y -->three</p>", ["onetwothree"]),
+        ('<script a=">">x</script><p>one</p><script>if (a</b/) "</p>"</script >', ["one"]),
+        ("<p>one <svg/> two</p>", ["one two"]),
+        ('<div class="entry-header"><h1>Title</h1></div><p>x</p>', ["Title", "x"]),
+        ('<p class="search-results">one</p><p id="social">two</p>', ["one", "two"]),
+        ('<div class="share-price">one</div><h2 id="comments">two</h2>', ["one", "two"]),
+        ('<div class="site-header">no</div><p>x</p><div class="comment-list">no</div>', ["x"]),
+        ('<div id="comments">no</div><p>x</p><div class="c-ad ad-1">no</div>', ["x"]),
+        ('<ul><li class="ad"><p>no<li>yes</ul>', ["yes"]),
+    ],
+)
+def test_markup_of_all_kinds(inside, expected):
+    assert _main_text(f"<body><article>{inside}</article></body>")[: len(expected)] == expected
+    assert not any("no" == t or "<a" in t for t in _main_text(f"<body><article>{inside}</article></body>"))
+
+
+def test_teasers_are_no_main_region():
+    body = "<div><p>" + "The text of the page itself. " * 20 + "</p></div>"
+    teasers = "".join(f"<article><p>teaser {i}</p></article>" for i in range(3))
+    assert not html_text.has_region(html_text.page_lines(body + teasers))
+    assert any(line.startswith("The text") for line in _main_text(body + teasers))
+    # Articles that hold the text, and any main, stay regions.
+    parts = "<article><p>" + "One part of several. " * 9 + "</p></article>"
+    assert len(_main_text("<p>around</p>" + parts * 2)) == 2
+    assert _main_text(f"<main><p>x</p></main>{body}{teasers}")[0] == "x"
+
+
+@pytest.mark.parametrize(
+    "piece", ['<a "', "<a '", '<a b="', "<", "<!--", "</", "<b>", "</b>", "<i><div></i>", "<p>", "<li>",
+              "<script>", "<a =", "<a b= ", "<article>", "&amp"],
+)
+def test_broken_markup_costs_no_more_than_its_length(piece):
+    page = "<article><p>text</p>" + piece * (1_000_000 // len(piece))
+    start = time.process_time()
+    assert _main_text(page)[0].startswith("text")
+    small = "<article><p>text</p>" + piece * (250_000 // len(piece))
+    spent = time.process_time() - start
+    start = time.process_time()
+    _main_text(small)
+    assert spent < 1 or spent < 8 * (time.process_time() - start)
