@@ -2,8 +2,9 @@
 
 All of it is built-in Spark SQL and Spark ML. FP-growth finds token combinations that are
 frequent among URLs labelled bad; each is kept if most of all labelled URLs with these tokens
-are bad. Mined rules are indexed by their rarest token, so a URL meets only rules whose rarest
-token it has.
+are bad, by the lower end of a confidence interval. Tokens that occur in the same labelled URLs
+say the same and are one item. Mined rules are indexed by their rarest item, so a URL meets
+only rules whose rarest item it has.
 """
 
 from __future__ import annotations
@@ -84,10 +85,12 @@ def url_tokens(url: Column) -> Column:
 @dataclass(frozen=True)
 class MinedRules:
     """``table`` has one row per rule; ``vocabulary`` are the tokens that rules use, or None if
-    they are more than ``VOCABULARY``."""
+    they are more than ``VOCABULARY``; ``members`` has the tokens of every item of a rule, any of
+    which stands for it, or is None if each token is an item of its own."""
 
     table: DataFrame
     vocabulary: tuple[str, ...] | None
+    members: DataFrame | None = None
 
 
 def mine_rules(
@@ -99,109 +102,174 @@ def mine_rules(
     label: str = "quality",
     min_count: int = 5,
     min_confidence: float = 0.6,
+    z: float = 1.96,
 ) -> MinedRules:
     """Token combinations that speak for a URL labelled 0.
 
     All labelled URLs count. ``min_count`` is the number of bad URLs that must hold the
     combination (all of them if there are fewer), whatever the number of bad URLs and of
-    tokens; ``min_confidence`` the share of bad ones among the labelled URLs that hold it. A
-    rule that adds tokens to another of at least its confidence is dropped. Pages without
-    label, null ids and null labels are not learned from; no labels, no rules.
+    tokens. The share of bad ones among the labelled URLs that hold it is its confidence; the
+    lower end of Wilson's interval around it, at ``z`` standard deviations, must reach
+    ``min_confidence``: 6 bad URLs of 6 do (0.61), 5 of 6 (0.44) may be chance. A rule that adds
+    items to another of at least its confidence is dropped. An item is a set of tokens that
+    occur in the same labelled URLs, named by the first of them; one of them in a URL is enough.
+    Pages without label, null ids and null labels are not learned from; no labels, no rules.
     """
     spark = pages.sparkSession
-    path = staging_path(spark, "url-labelled")
     one_each = (
         labels.where(F.col(row_id).isNotNull() & F.col(label).isNotNull())
         .groupBy(F.col(row_id).alias("_id"))
         .agg((F.min(label) == 0).alias("_bad"))
     )
-    pages.select(F.col(page_id).alias("_id"), url_tokens(F.col(url)).alias("_tokens")).join(
-        one_each, "_id"
-    ).groupBy("_tokens").agg(
-        F.count_if("_bad").alias("_bad"), F.count(F.lit(1)).alias("_rows")
-    ).write.parquet(path)
+    rows = _stored(
+        pages.select(F.col(page_id).alias("_id"), url_tokens(F.col(url)).alias("_tokens"))
+        .join(one_each, "_id")
+        .select("_tokens", "_bad"),
+        "url-labelled",
+    )
     # One row per distinct token set.
-    labelled = spark.read.parquet(path)
+    labelled = _stored(
+        rows.groupBy("_tokens").agg(F.count_if("_bad").alias("_bad"), F.count(F.lit(1)).alias("_rows")),
+        "url-sets",
+    )
     bad_rows = labelled.agg(F.coalesce(F.sum("_bad"), F.lit(0))).first()[0]
     if bad_rows == 0:
         return MinedRules(spark.createDataFrame([], NO_RULES), ())
 
-    transactions = labelled.where("_bad > 0").select(
-        F.explode(F.array_repeat("_tokens", F.col("_bad").cast("int"))).alias("items")
-    )
-    # FP-growth rounds share times rows up to a count; half a row less keeps that exact.
-    share = min(1.0, (min_count - 0.5) / bad_rows)
+    members = _stored(_items(labelled, min(min_count, bad_rows)), "url-items")
+    labelled = _stored(_with_items(labelled, members), "url-sets")
+    # Every bad URL is a transaction of its own; those of equal tokens are never put together.
+    transactions = rows.where("_bad").select("_tokens").join(labelled, "_tokens").select("items")
+    # FP-growth rounds share times rows up to a count; half a row less keeps that exact. The
+    # rows with an item may be fewer than the bad ones.
+    held = labelled.agg(F.sum("_bad")).first()[0] or 0
+    if held == 0:
+        return MinedRules(spark.createDataFrame([], NO_RULES), ())
+    share = min(1.0, (min(min_count, bad_rows) - 0.5) / held)
     model = FPGrowth(itemsCol="items", minSupport=share).fit(transactions)
-    sets = model.freqItemsets.select(F.array_sort("items").alias("items"), F.col("freq").alias("support"))
-    path = staging_path(spark, "url-itemsets")
-    sets.write.parquet(path)
-    sets = spark.read.parquet(path)
+    sets = _stored(
+        model.freqItemsets.select(F.array_sort("items").alias("items"), F.col("freq").alias("support")),
+        "url-itemsets",
+    )
 
-    # How common a token is among all labelled URLs decides where a rule is indexed.
+    # How common an item is among all labelled URLs decides where a rule is indexed.
     common = (
-        labelled.select(F.explode("_tokens").alias("token"), "_rows")
-        .groupBy("token")
+        labelled.select(F.explode("items").alias("item"), "_rows")
+        .groupBy("item")
         .agg(F.sum("_rows").alias("uses"))
     )
     anchors = (
-        sets.select("items", F.explode("items").alias("token"))
-        .join(common, "token")
+        sets.select("items", F.explode("items").alias("item"))
+        .join(common, "item")
         .groupBy("items")
-        .agg(F.min(F.struct("uses", "token"))["token"].alias("anchor"))
+        .agg(F.min(F.struct("uses", "item"))["item"].alias("anchor"))
     )
     indexed = sets.join(anchors, "items")
     seen = (
-        _matches(labelled, "_tokens", indexed.select("items", "anchor"))
+        _matches(labelled.withColumnRenamed("items", "_items"), indexed.select("items", "anchor"))
         .groupBy("items")
         .agg(F.sum("_rows").alias("all_rows"))
     )
-    confident = (
+    scored = _stored(
         indexed.join(seen, "items")
         .withColumn("confidence", F.col("support") / F.col("all_rows"))
-        .where(F.col("confidence") >= min_confidence)
+        .withColumn("_sure", wilson(F.col("support"), F.col("all_rows"), z) >= min_confidence),
+        "url-scored",
     )
-    path = staging_path(spark, "url-rules")
-    confident.write.parquet(path)
-    confident = spark.read.parquet(path)
-    rules = _without_redundant(confident).select(
-        F.xxhash64("items").alias("rule_id"), "items", "anchor", "support", "confidence"
+    rules = _stored(
+        _without_redundant(scored).select(
+            F.xxhash64("items").alias("rule_id"), "items", "anchor", "support", "confidence"
+        ),
+        "url-rules",
     )
-    path = staging_path(spark, "url-rules")
-    rules.write.parquet(path)
-    rules = spark.read.parquet(path)
-    tokens = rules.select(F.explode("items").alias("token")).distinct()
-    words = sorted(r["token"] for r in tokens.limit(VOCABULARY + 1).collect())
-    return MinedRules(rules, tuple(words) if len(words) <= VOCABULARY else None)
+    used = rules.select(F.explode("items").alias("item")).distinct()
+    members = _stored(members.join(used, "item", "left_semi"), "url-items")
+    words = sorted(r["token"] for r in members.select("token").limit(VOCABULARY + 1).collect())
+    return MinedRules(rules, tuple(words) if len(words) <= VOCABULARY else None, members)
+
 
+def _stored(df: DataFrame, name: str) -> DataFrame:
+    path = staging_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
 
-def _matches(rows: DataFrame, tokens: str, rules: DataFrame) -> DataFrame:
-    """Pairs of a row and a rule whose tokens it all has, by the rule's rarest token."""
+
+def wilson(hits: Column, tries: Column, z: float) -> Column:
+    """Lower end of Wilson's interval around the share ``hits / tries``."""
+    share, slack = hits / tries, z * z / tries
+    spread = z * F.sqrt(share * (1 - share) / tries + slack / (4 * tries))
+    return (share + slack / 2 - spread) / (1 + slack)
+
+
+def _items(labelled: DataFrame, least: int) -> DataFrame:
+    """``token, item`` of the tokens that ``least`` bad URLs have.
+
+    Tokens are one item if they occur in the same token sets, which are known by their number
+    and by 128 bits over all of them. The tokens of an item stand in one URL, so they are few.
+    """
+    tokens = (
+        labelled.select(
+            F.explode("_tokens").alias("token"), "_bad", "_rows",
+            F.xxhash64("_tokens").alias("_a"), F.xxhash64("_tokens", F.lit("b")).alias("_b"),
+        )
+        .groupBy("token")
+        .agg(
+            F.sum("_bad").alias("_bad"), F.sum("_rows").alias("_rows"), F.count(F.lit(1)).alias("_sets"),
+            F.bit_xor("_a").alias("_a"), F.bit_xor("_b").alias("_b"),
+        )
+        .where(F.col("_bad") >= least)
+    )
+    return tokens.groupBy("_bad", "_rows", "_sets", "_a", "_b").agg(
+        F.array_sort(F.collect_list("token")).alias("_all")
+    ).select(F.explode("_all").alias("token"), F.col("_all")[0].alias("item"))
+
+
+def _with_items(sets: DataFrame, members: DataFrame) -> DataFrame:
+    """Adds ``items``, those that the tokens of a row stand for; rows without one are left out."""
+    found = (
+        sets.select("_tokens", F.explode("_tokens").alias("token"))
+        .join(members, "token")
+        .groupBy("_tokens")
+        .agg(F.array_sort(F.collect_set("item")).alias("items"))
+    )
+    return sets.join(found, "_tokens")
+
+
+def _matches(rows: DataFrame, rules: DataFrame) -> DataFrame:
+    """Pairs of a row and a rule whose items are all in ``_items``, by the rule's rarest one."""
     return (
-        rows.withColumn("anchor", F.explode(tokens))
+        rows.withColumn("anchor", F.explode("_items"))
         .join(rules, "anchor")
-        .where(F.size(F.array_except("items", tokens)) == 0)
+        .where(F.size(F.array_except("items", "_items")) == 0)
     )
 
 
-def _without_redundant(rules: DataFrame) -> DataFrame:
-    """Drops rules that a shorter, equally confident rule makes needless."""
-    shorter = rules.select(
-        F.col("items").alias("_items"), F.col("anchor").alias("_anchor"),
-        F.col("confidence").alias("_confidence"),
-    )
-    # The shorter rule's rarest token is one of the longer rule's tokens.
-    covered = (
-        rules.select("items", "confidence", F.explode("items").alias("_anchor"))
-        .join(shorter, "_anchor")
-        .where(
-            (F.size("_items") < F.size("items"))
-            & (F.size(F.array_except("_items", "items")) == 0)
-            & (F.col("_confidence") >= F.col("confidence"))
+def _without_redundant(scored: DataFrame) -> DataFrame:
+    """The sure rules that no smaller, equally confident one makes needless.
+
+    All subsets of a frequent set are frequent, so the best confidence inside a set is that of
+    the sets with one item less and of what is inside those: one join of neighbouring sizes after
+    the other, on whole sets, in place of a join of all with all.
+    """
+    sure = scored.where("_sure")
+    longest = sure.agg(F.max(F.size("items"))).first()[0] or 0
+    kept = sure.where(F.size("items") == 1)
+    inside = scored.where(F.size("items") == 1).select("items", F.col("confidence").alias("_best"))
+    for size in range(2, longest + 1):
+        level = scored.where(F.size("items") == size)
+        best = (
+            level.select(
+                F.col("items").alias("_items"),
+                F.explode(F.transform("items", lambda x: F.array_remove("items", x))).alias("items"),
+            )
+            .join(inside, "items")
+            .groupBy(F.col("_items").alias("items"))
+            .agg(F.max("_best").alias("_inside"))
         )
-        .select("items")
-        .distinct()
-    )
-    return rules.join(covered, "items", "left_anti")
+        level = _stored(level.join(best, "items"), "url-levels")
+        kept = kept.unionByName(level.where("_sure AND confidence > _inside").drop("_inside"))
+        inside = level.select("items", F.greatest("confidence", "_inside").alias("_best"))
+    return kept
 
 
 def filter_urls(
@@ -227,8 +295,12 @@ def filter_urls(
         rows = rows.withColumn("_tokens", F.array_intersect("_tokens", known))
     # Equal sets are matched once.
     sets = rows.select("_tokens").distinct()
+    if mined.members is None:
+        sets = sets.withColumn("items", F.col("_tokens"))
+    else:
+        sets = _with_items(sets, mined.members)
     found = (
-        _matches(sets, "_tokens", mined.table)
+        _matches(sets.withColumnRenamed("items", "_items"), mined.table)
         .groupBy("_tokens")
         .agg(F.max(F.struct("confidence", "support", "items")).alias("_best"))
     )

@@ -7,6 +7,7 @@ import time
 import zlib
 from collections import Counter, defaultdict
 from html import unescape
+from itertools import combinations
 
 import duckdb
 import numpy as np
@@ -162,6 +163,56 @@ def test_mined_rules_of_one_host_among_many_and_of_four_tokens(spark, monkeypatc
     assert sorted(r.page_id for r in blocked.collect()) == list(range(len(bad)))
 
 
+def test_urls_with_many_tokens_in_common(spark):
+    # 30 tokens in the same six bad URLs would be 2^30 sets; they are one item, any of them enough.
+    common = "&".join(f"k{i}=v" for i in range(30))
+    bad = [f"http://six.com/{i}?{common}&n{i}" for i in range(6)]
+    # 5 of 6 may be chance.
+    chance = [f"http://chance.com/{i}" for i in range(6)]
+    data = list(enumerate(bad + chance + [f"http://good.com/{i}" for i in range(50)]))
+    df = spark.createDataFrame(data, "page_id int, url string").selectExpr("*", "'x' AS _tokens", "1 AS _bad")
+    labels = df.selectExpr("page_id AS doc_id", "int(page_id >= 11) AS quality", "0 AS _rows", "'t' AS token")
+    mined = url_filter.mine_rules(df, labels)
+    assert [(r["items"], r.support, r.confidence) for r in mined.table.collect()] == [(["host:six"], 6, 1.0)]
+    assert {r.token for r in mined.members.collect()} == {"host:six", *(f"query:k{i}=v" for i in range(30))}
+    new = [(0, "http://other.org/?k7=v"), (1, "http://chance.com/9"), (2, "http://six.com/"), (None, None)]
+    new.append((3, "http://long.org/" + "a/" * 500_000 + "?k3=v"))
+    found = url_filter.filter_urls(spark.createDataFrame(new, "page_id int, url string"), mined)
+    verdicts = {r.page_id: (r.verdict, r.mined) for r in found.collect()}
+    block, allow = ("block", "host:six"), ("allow", "")
+    assert verdicts == {0: block, 1: allow, 2: block, 3: block, None: allow}
+
+
+def test_url_rules_against_a_loop(spark):
+    """Mining on small random URLs, against all token sets one by one."""
+    rng = random.Random(12)
+    data, bad = [], {}
+    for i in range(240):
+        words = sorted(rng.sample("abcdef", rng.randrange(1, 5)))
+        data.append((i, "x://h/" + "/".join(words)))
+        bad[i] = rng.random() < (0.9 if {"a", "b"} <= set(words) or "f" in words else 0.2)
+    df = spark.createDataFrame(data, "page_id int, url string")
+    labels = spark.createDataFrame([(i, int(not b)) for i, b in bad.items()], "doc_id int, quality int")
+    tokens = {i: frozenset(f"path:{w}" for w in u[6:].split("/")) | {"host:h", "scheme:x"} for i, u in data}
+    # Both of these are in every URL: one item, named by the first.
+    names = ["host:h", *(f"path:{w}" for w in "abcdef")]
+    share = {}
+    for n in range(1, 8):
+        for chosen in combinations(names, n):
+            rows = [bad[i] for i, t in tokens.items() if t.issuperset(chosen)]
+            if sum(rows) >= 5:
+                share[chosen] = (sum(rows), len(rows))
+    expected = {}
+    for chosen, (hits, tries) in share.items():
+        p = hits / tries
+        low = (p + 1.96**2 / 2 / tries - 1.96 * (p * (1 - p) / tries + (1.96 / 2 / tries) ** 2) ** 0.5)
+        smaller = [share[s] for n in range(1, len(chosen)) for s in combinations(chosen, n)]
+        if low / (1 + 1.96**2 / tries) >= 0.6 and all(a / b < p for a, b in smaller):
+            expected[chosen] = hits
+    found = {tuple(r["items"]): r.support for r in url_filter.mine_rules(df, labels).table.collect()}
+    assert found == expected and len(expected) > 2
+
+
 def test_archives_of_odd_pages(spark, pages, tmp_path):
     folder = str(tmp_path / "archives")
     manifest = warc.write_archives(warc.plan_records(pages, min_revisit_bytes=100), folder, archive_bytes=2000)
