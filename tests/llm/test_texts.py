@@ -2,6 +2,7 @@
 
 import random
 import re
+import zlib
 from collections import Counter
 
 import numpy as np
@@ -290,3 +291,115 @@ def test_items_without_id_clean_documents_too(spark, odd):
     assert rows(clean.select("doc_id")) == sorted(
         [(i,) for i, t in TEXTS if t != SENTENCE and i != 10], key=repr
     )
+
+
+def _loop_logit(model, words):
+    """Logit of one text, word by word and filter by filter."""
+    pad = [toxicity.PAD] * toxicity.KINDS
+    words = [list(w) for w in words] + [pad] * (max(toxicity.WIDTHS) - 1)
+    starts = range(max(1, len(words) - max(toxicity.WIDTHS) + 1))
+    logit, column = model.intercept, 0
+    for w, bias in zip(model.filters, model.biases):
+        for f in range(toxicity.FILTERS):
+            best = max(
+                sum(
+                    float(model.embeddings[bucket] @ w[k][:, f])
+                    for k in range(len(w)) for bucket in (words + [pad])[s + k]
+                )
+                for s in starts
+            )
+            logit += max(best + bias[f], 0) * model.dense[column]
+            column += 1
+    return logit
+
+
+def _small_model(rng):
+    size, d = toxicity.BUCKETS + 1, toxicity.DIMENSIONS
+    embeddings = np.zeros((size, d))
+    embeddings[:40] = rng.normal(0, 0.5, (40, d))
+    n = len(toxicity.WIDTHS) * toxicity.FILTERS
+    return toxicity.ToxicityModel(
+        embeddings, [rng.normal(0, 0.5, (w, d, toxicity.FILTERS)) for w in toxicity.WIDTHS],
+        [rng.normal(0, 0.1, toxicity.FILTERS) for _ in toxicity.WIDTHS], rng.normal(0, 0.5, n), -0.3,
+    )
+
+
+def test_toxicity_network_against_a_loop():
+    rng = np.random.default_rng(3)
+    model = _small_model(rng)
+    texts = [rng.integers(0, 40, (n, toxicity.KINDS)).astype(np.int32) for n in (0, 1, 2, 5, 12)]
+    bounds = np.cumsum([0, *map(len, texts)])
+    flat, starts, of = toxicity.padded(np.concatenate(texts), bounds)
+    logits = model.logits(model.pooled(flat, starts, of, len(texts), model.table()))
+    assert np.allclose(logits, [_loop_logit(model, t) for t in texts], atol=1e-4)
+
+
+def test_toxicity_gradients_against_differences():
+    rng = np.random.default_rng(4)
+    model = _small_model(rng)
+    rows = [(int(n % 2), rng.integers(0, 40, (n, toxicity.KINDS)).astype(np.int32)) for n in (1, 3, 6, 9)]
+
+    def loss():
+        logits = np.array([_loop_logit(model, b) for _, b in rows])
+        labels = np.array([y for y, _ in rows])
+        return float(np.mean(np.log1p(np.exp(logits)) - labels * logits))
+
+    def slope(array, at):
+        kept, values = array[at], []
+        for step in (1e-6, -1e-6):
+            array[at] = kept + step
+            values.append(loss())
+        array[at] = kept
+        return (values[0] - values[1]) / 2e-6
+
+    class Recorder:
+        steps, seen = 0, {}
+
+        def update(self, name, weight, gradient):
+            self.seen[name] = gradient
+            return weight
+
+    expected = {}
+    for i, w in enumerate(model.filters):
+        at = (len(w) - 1, 2, 5)
+        expected[f"filter{i}", at] = slope(w, at) + 1e-4 * w[at]
+        expected[f"bias{i}", (3,)] = slope(model.biases[i], (3,))
+    for j in range(0, len(model.dense), 5):
+        expected["dense", (j,)] = slope(model.dense, (j,)) + 1e-4 * model.dense[j]
+    embedded = {(b, d): slope(model.embeddings, (b, d)) for b in rows[2][1][:2].ravel() for d in (0, 7)}
+    before, recorder = model.embeddings.copy(), Recorder()
+    toxicity._step(model, rows, recorder)
+    for (name, at), value in expected.items():
+        assert np.isclose(recorder.seen[name][at], value, atol=1e-5), name
+    moved = (before - model.embeddings) / 0.05
+    for at, value in embedded.items():
+        assert np.isclose(moved[at], value, atol=1e-5), at
+
+
+def test_toxicity_threshold_against_all_cuts():
+    rng = np.random.default_rng(5)
+    for _ in range(50):
+        scores, labels = rng.integers(0, 8, 30) / 8, rng.integers(0, 2, 30)
+
+        def f1(cut):
+            said = scores >= cut
+            return 2 * (labels * said).sum() / (said.sum() + labels.sum())
+
+        assert np.isclose(f1(toxicity._threshold(scores, labels)), max(f1(c) for c in set(scores)))
+
+
+def test_toxicity_sample_is_bounded(spark, monkeypatch):
+    # An id in 500 rows, a very long text, and short ones: the long one takes no other's place.
+    data = [(1, "rep eated", "en")] * 500 + [(2, "word " * 5000, "en")]
+    data += [(i, f"text number {i}", "en") for i in range(3, 60)]
+    docs = spark.createDataFrame(data, "doc_id int, text string, lang string")
+    marks = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id int, toxic int")
+    given = []
+    monkeypatch.setattr(toxicity, "train", given.extend)
+    toxicity.fit_toxicity(docs, marks, fit_rows=100, fit_words=10_000)
+    learned = [i for i in range(1, 60) if zlib.crc32(str(i).encode()) % 4 != 2 and i != 2]
+    assert 0 < len(given) <= 100 and max(len(b) for *_, b in given) <= 100
+    assert len(given) == 100 if 1 in learned else len(given) == len(learned)
+    given.clear()
+    toxicity.fit_toxicity(docs, marks, fit_rows=1000, fit_words=500)
+    assert sum(len(b) for *_, b in given) <= 500 and len(given) > 10
