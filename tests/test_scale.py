@@ -142,6 +142,24 @@ def test_partition_sizing():
     assert 500e6 < session.split_bytes_for(300 * tib) < 600e6
 
 
+def test_tasks_are_sized_by_shuffle_bytes(spark, conf):
+    merged, blocks = "spark.sql.adaptive.advisoryPartitionSizeInBytes", "spark.sql.adaptive.coalescePartitions.initialPartitionNum"
+    conf({"spark.sql.shuffle.partitions": "8"})
+    session.tune(spark, spark.range(1 << 30))
+    assert spark.conf.get(merged) == f"{16 << 20}b"
+    # A number of partitions set by hand stays, and so does a size.
+    assert spark.conf.get(blocks, None) in (None, "<undefined>")
+    conf({merged: "3MB"})
+    spark.conf.unset("spark.sql.shuffle.partitions")
+    session.tune(spark, spark.range(1 << 30))
+    assert spark.conf.get(merged) == "3MB"
+    assert int(spark.conf.get(blocks)) == 8 * int(spark.conf.get("spark.sql.shuffle.partitions")) == 256
+    spark.conf.unset(merged)
+    spark.conf.set("spark.sql.shuffle.partitions", "9")
+    session.tune(spark, spark.range(1 << 30))
+    assert spark.conf.get(merged) == f"{16 << 20}b" and spark.conf.get(blocks, None) in (None, "<undefined>")
+
+
 def test_size_of_a_scan(spark):
     table = spark.read.parquet(f"{DATA}/lineitem.parquet")
     assert 50_000 < session.scan_bytes(table) < 50_000_000
