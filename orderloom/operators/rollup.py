@@ -20,6 +20,8 @@ from orderloom.operators.sales import MONEY_SCALE, PERIOD_NAMES, with_names
 
 #: Ids of a bucket agree in all bits but these.
 BUCKET_BITS = 15
+#: States of a region and product beyond which they are not brought into one task.
+HOT_STATES = 1 << 20
 _GROUP = ("regionId", "productId", "bucket")
 
 
@@ -47,6 +49,25 @@ def daily_states(lines: DataFrame, money_scale: int = MONEY_SCALE) -> DataFrame:
     )
 
 
+def by_heat(states: DataFrame, hot_states: int = HOT_STATES) -> tuple[DataFrame, DataFrame]:
+    """States in two parts that share no region and product, to be rolled up and totalled one by one.
+
+    The first is shuffled by region and product, once: totals of any grain need no shuffle after that,
+    and plans that read all of its columns share it. The second holds the pairs with more than
+    ``hot_states`` states; those stay where they are, to be combined before they are shuffled. One pair
+    in so many states is hot at most, so the list of them is broadcast.
+    """
+    pairs = states.groupBy("regionId", "productId").agg(F.count(F.lit(1)).alias("_states"))
+    hot = F.broadcast(pairs.where(F.col("_states") > hot_states).select(
+        F.col("regionId").alias("_region"), F.col("productId").alias("_product")
+    ))
+    is_hot = F.col("regionId").eqNullSafe(F.col("_region")) & F.col("productId").eqNullSafe(F.col("_product"))
+    return (
+        states.join(hot, is_hot, "left_anti").repartition("regionId", "productId"),
+        states.join(hot, is_hot, "left_semi"),
+    )
+
+
 def roll_up(states: DataFrame, grain: str, money_scale: int = MONEY_SCALE) -> DataFrame:
     """States of a coarser grain from daily ones; of rows of one group, from several loads, as well."""
     union = F.array_sort(F.array_distinct(F.flatten(F.collect_list("orders"))))

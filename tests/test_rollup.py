@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from orderloom.operators import sales
-from orderloom.operators.rollup import BUCKET_BITS, daily_states, roll_up, sales_of_states
+from orderloom.operators.rollup import BUCKET_BITS, by_heat, daily_states, roll_up, sales_of_states
 from orderloom.queries import MONEY_SCALE
 from orderloom.plans.gold import COARSER_SALES, DAILY_SALES, FACT, SALES_STATES, run_gold
 from tests.conftest import final_plan, rows
@@ -100,6 +100,30 @@ def test_all_grains_scan_the_lines_once(spark, tmp_path, dims):
         assert files and all("/states/" in f for f in files)
 
 
+@pytest.mark.parametrize("hot_states", [0, 150, 10**6])
+def test_parts_by_heat_give_the_totals_of_the_lines(spark, dims, hot_states):
+    lines = lines_of(spark)
+    parts = by_heat(daily_states(lines), hot_states)
+    assert [p.isEmpty() for p in parts] == [hot_states == 0, hot_states == 10**6]
+    for grain in ("day", "week", "month"):
+        cold, hot = (sales_of_states(roll_up(p, grain), *dims, grain) for p in parts)
+        assert rows(cold.unionByName(hot)) == rows(sales.sales_by_period(lines, *dims, grain))
+
+
+def test_grains_share_the_shuffle_of_the_states(spark, tmp_path, dims, conf):
+    conf({"spark.sql.autoBroadcastJoinThreshold": "-1"})
+    daily_states(lines_of(spark)).write.parquet(f"{tmp_path}/states")
+    cold, _ = by_heat(spark.read.parquet(f"{tmp_path}/states"))
+    found = [
+        sales_of_states(roll_up(cold, grain), *dims, grain).withColumnRenamed(period, "period")
+        for grain, period in sales.PERIOD_NAMES.items()
+    ]
+    plan = final_plan(found[0].unionByName(found[1]).unionByName(found[2]))
+    # Once over all columns, and no totals by period are shuffled; names are joined by id.
+    assert plan.count("REPARTITION_BY_COL") == 1 or "ReusedExchange" in plan
+    assert not any("period" in x.split("\n")[0] for x in plan.split("Exchange hashpartitioning(")[1:])
+
+
 def test_gold_writes_coarser_sales_from_states(spark, tmp_path, dims):
     products, regions = dims
     silver, out = f"{tmp_path}/silver", f"{tmp_path}/gold"
