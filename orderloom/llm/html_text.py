@@ -1,14 +1,15 @@
 """Main text of web pages, by page structure and by differencing pages of a host.
 
-A page is cut into lines, one per block. Lines inside ``article`` or ``main`` are the main
-text unless an element around them says that they are not (menus, footers, forms, comments
-and so on). Where a page has no such region its markup does not tell the text from what
-surrounds it, and the page is held against another one: pages of a host are sorted by path,
-each is paired with the neighbour whose path has more in common with its own, the lines of
-both are aligned by longest common subsequence, and lines in common are deleted.
-
-Differencing is kept away from marked regions on purpose. Articles share whole passages with
-other articles, and it would delete those.
+A page is cut into lines, one per block. Every page is held against another one: pages of a
+host are sorted by path, each is paired with the neighbour whose path has more in common with
+its own, and the lines of both are aligned by longest common subsequence. Lines in common
+belong to the host, the others to the page.
+
+Markup is held against that. Lines inside ``article`` or ``main``, unless an element around them
+says that they are not text (menus, footers, forms, comments and so on), are a region. Articles
+share whole passages with other articles, so a region with a line of the page's own is the main
+text, whole. One that has none is a box that pages of the host repeat if the page's own lines
+elsewhere are longer, and they are the main text then, as they are in a page without a region.
 """
 
 from __future__ import annotations
@@ -241,8 +242,11 @@ def page_lines(html: str) -> list[Line]:
 
 
 def main_lines(lines: list[Line], shared: set[int] = frozenset()) -> list[str]:
-    """The main text: the lines of a marked region, or else those neither around nor shared."""
-    if any(line.where == INSIDE for line in lines):
+    """The main text: the lines of a marked region, or else those neither around nor shared.
+
+    ``shared`` are the positions of the lines in common with the nearest page.
+    """
+    if has_region(lines) and not repeats_region(line_places(lines), shared):
         return [line.text for line in lines if line.where == INSIDE]
     return [x.text for i, x in enumerate(lines) if x.where == OPEN and i not in shared]
 
@@ -251,6 +255,20 @@ def has_region(lines: list[Line]) -> bool:
     return any(line.where == INSIDE for line in lines)
 
 
+def line_places(lines: list[Line]) -> np.ndarray:
+    """Code points of each line: of one in a region below zero, of one around the text zero."""
+    sign = {INSIDE: -1, OPEN: 1, AROUND: 0}
+    return np.array([sign[line.where] * len(line.text) for line in lines], np.int32)
+
+
+def repeats_region(places: np.ndarray, shared: set[int] | list[int]) -> bool:
+    """Whether a page's region is all shared, and shorter than the open lines that are not."""
+    own = np.ones(len(places), bool)
+    own[list(shared)] = False
+    region = places < 0
+    return not own[region].any() and places[own].sum() > -places[region].sum(dtype=np.int64)
+
+
 def line_hashes(lines: list[Line]) -> np.ndarray:
     data = [line.text.encode() for line in lines]
     bounds = np.cumsum([0, *map(len, data)])
@@ -270,8 +288,11 @@ def common_lines(a: np.ndarray, b: np.ndarray) -> list[int]:
     tail = 0
     while tail < min(len(a), len(b)) - head and a[-1 - tail] == b[-1 - tail]:
         tail += 1
-    middle = _subsequence(a[head : len(a) - tail], b[head : len(b) - tail])
-    return [*range(head), *(head + i for i in middle), *range(len(a) - tail, len(a))]
+    a_rest, b_rest = a[head : len(a) - tail], b[head : len(b) - tail]
+    # Lines of one page only are in no common subsequence, and most lines are such.
+    a_at = np.flatnonzero(np.isin(a_rest, b_rest))
+    middle = _subsequence(a_rest[a_at], b_rest[np.isin(b_rest, a_rest)])
+    return [*range(head), *(head + int(a_at[i]) for i in middle), *range(len(a) - tail, len(a))]
 
 
 def _lengths(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -302,21 +323,24 @@ def common_prefix(a: str, b: str) -> int:
 
 
 def _profiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Batches of (key, host, path, html) as (key, host, path, marked, hashes)."""
+    """Batches of (key, host, path, html) as (key, host, path, marked, hashes, places)."""
     for batch in batches:
-        marked, hashes = [], []
+        marked, hashes, places = [], [], []
         for html in batch.column(3):
             lines = page_lines(html.as_py() or "")
             marked.append(has_region(lines))
             hashes.append(line_hashes(lines))
+            places.append(line_places(lines))
         bounds = np.cumsum([0, *map(len, hashes)]).astype(np.int32)
         values = np.concatenate([np.zeros(0, np.int64), *hashes])
+        sizes = np.concatenate([np.zeros(0, np.int32), *places])
         yield pa.RecordBatch.from_arrays(
             [
                 *[batch.column(i) for i in range(3)], pa.array(marked),
                 pa.ListArray.from_arrays(pa.array(bounds), pa.array(values)),
+                pa.ListArray.from_arrays(pa.array(bounds), pa.array(sizes)),
             ],
-            ["key", "host", "path", "marked", "hashes"],
+            ["key", "host", "path", "marked", "hashes", "places"],
         )
 
 
@@ -339,8 +363,24 @@ def _differences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
+def _undecided(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches of (key, marked, places, shared) as (key, shared), without regions that stand."""
+    for batch in batches:
+        places, shared = batch.column(2), batch.column(3)
+        stays = [
+            not marked.as_py() or repeats_region(np.array(p.as_py(), np.int32), s.as_py())
+            for marked, p, s in zip(batch.column(1), places, shared)
+        ]
+        kept = pa.array(stays, pa.bool_())
+        yield pa.RecordBatch.from_arrays(
+            [batch.column(0).filter(kept), shared.filter(kept)], ["key", "shared"]
+        )
+
+
 def shared_lines(pages: DataFrame) -> DataFrame:
-    """``key, shared`` for pages without a marked region; ``pages`` has ``key, url, html``.
+    """``key, shared`` for pages without a region that stands; ``pages`` has ``key, url, html``.
+
+    All pages are differenced. Those whose region has lines of its own are left out afterwards.
 
     Equal pages of a host count once, so a page is never held against its own copy and a
     large group of copies is one row. Pages are numbered in the order of host and path over
@@ -349,14 +389,12 @@ def shared_lines(pages: DataFrame) -> DataFrame:
     rows = pages.select("key", "html", *[c.alias(n) for n, c in split_url(F.col("url")).items()])
     profiles = stored(
         rows.select("key", "host", "path", "html").mapInArrow(
-            _profiles, "key bigint, host string, path string, marked boolean, hashes array<bigint>"
+            _profiles, "key bigint, host string, path string, marked boolean, hashes array<bigint>, places array<int>"
         ),
         "page-lines",
     ).withColumn("content", F.xxhash64("hashes"))
-    if profiles.where("NOT marked").isEmpty():
-        return profiles.where("NOT marked").select("key", F.array().cast("array<int>").alias("shared"))
     distinct = profiles.groupBy("host", "content").agg(
-        F.min("path").alias("path"), F.first("marked").alias("marked"), F.first("hashes").alias("hashes")
+        F.min("path").alias("path"), F.first("hashes").alias("hashes")
     )
     # Bounds of range partitions are sampled: stored once, so that all that follows agrees.
     ordered = stored(
@@ -372,7 +410,7 @@ def shared_lines(pages: DataFrame) -> DataFrame:
     )
     numbered = ordered.join(F.broadcast(starts), "_part").withColumn(
         "_at", F.col("_start") + F.col("_row")
-    ).select("_at", "host", "content", "path", "marked", "hashes")
+    ).select("_at", "host", "content", "path", "hashes")
 
     def neighbour(side: str, step: int) -> DataFrame:
         return numbered.select(
@@ -380,7 +418,7 @@ def shared_lines(pages: DataFrame) -> DataFrame:
             F.col("path").alias(f"{side}_path"), F.col("hashes").alias(f"{side}_hashes"),
         )
 
-    met = numbered.where("NOT marked").drop("marked")
+    met = numbered
     for side, step in (("before", -1), ("after", 1)):
         same = F.col(f"{side}_host") == F.col("host")
         met = met.join(neighbour(side, step), "_at", "left").withColumns(
@@ -390,7 +428,11 @@ def shared_lines(pages: DataFrame) -> DataFrame:
         "host", "content", "path", "hashes",
         "before_path", "before_hashes", "after_path", "after_hashes",
     ).mapInArrow(_differences, "host string, content bigint, shared array<int>")
-    return profiles.where("NOT marked").join(found, ["host", "content"]).select("key", "shared").distinct()
+    return profiles.select("key", "host", "content", "marked", "places").join(
+        found, ["host", "content"]
+    ).select("key", "marked", "places", "shared").mapInArrow(
+        _undecided, "key bigint, shared array<int>"
+    ).distinct()
 
 
 def extract_text(
@@ -409,7 +451,7 @@ def extract_text(
         F.xxhash64(page_id, url, html).alias("key"),
     )
     shared = stored(shared_lines(rows), "shared-lines")
-    # Pages whose markup leaves no question are most; the others are joined to their lines.
+    # Pages whose region stands are most; the others are joined to their lines.
     if shared.isEmpty():
         ready = rows.withColumn("shared", F.lit(None).cast("array<int>"))
     else:

@@ -294,6 +294,27 @@ def test_pages_without_a_region_lose_what_they_share(spark):
     assert found[300].startswith("Menu one") and found[301].startswith("Menu one")
 
 
+def test_a_region_that_pages_repeat_is_no_main_text(spark):
+    box = "<article><p>See our offers</p><p>of this week</p></article>"
+
+    def page(i):
+        return f"<div>Menu one</div>{box}<div>Story {i} begins here and goes on for a while</div><p>and ends {i}</p>"
+
+    def article(i):
+        return f"<div>Menu one</div><article><p>Passage that all have</p><p>Own {i}</p></article><div>Open line {i} " + "x" * 90 + "</div>"
+
+    data = [(i, f"http://a.com/{i}", page(i)) for i in range(6)]
+    data += [(10 + i, f"http://b.com/{i}", article(i)) for i in range(6)]
+    data += [(20, "http://alone.com/", page(20))]
+    df = spark.createDataFrame(data, "page_id int, url string, html string").repartition(4)
+    found = {r.page_id: r.text for r in html_text.extract_text(df).collect()}
+    for i in range(6):
+        assert found[i] == f"Story {i} begins here and goes on for a while\nand ends {i}"
+        # A region with a line of its own stands, with the passage that it shares.
+        assert found[10 + i] == f"Passage that all have\nOwn {i}"
+    assert found[20] == "See our offers\nof this week"
+
+
 def test_common_subsequence_against_a_table():
     rng = random.Random(6)
     for _ in range(200):
