@@ -1,0 +1,67 @@
+"""What linking moves and leaves behind."""
+
+import glob
+import time
+
+from pyspark.sql import functions as F
+
+from orderloom.llm import components, linkage
+
+
+def staged(spark):
+    return set(glob.glob(f"{spark.conf.get('spark.checkpoint.dir').removeprefix('file:')}/orderloom-*/*"))
+
+
+def test_an_item_of_many_groups_is_verified_once(spark):
+    """Forty copies, of which each begins a group: 780 pairs, and 39 join them."""
+    signatures = spark.range(40).crossJoin(spark.range(40).withColumnRenamed("id", "key")).where(
+        "id >= key"
+    ).select("key", F.col("id").alias("node"))
+    items = spark.range(40).select(F.col("id").alias("node"), F.col("id").alias("size"), F.expr("array(0L)").alias("sketch"))
+    verified = []
+
+    def verify(pairs):
+        verified.append(pairs.count())
+        return pairs
+
+    before = staged(spark)
+    found = linkage.linked_components(
+        signatures, items, lambda a, b: F.lit(True), lambda size, sketch, sizes, sketches: size == size, verify
+    )
+    assert {tuple(r) for r in found.collect()} == {(i, 0) for i in range(40)}
+    assert sum(verified) == 39
+    # Of all that was stored on the way only the components are left.
+    assert len(staged(spark) - before) == 1
+
+
+def test_pairs_that_stars_leave_over_are_verified(spark):
+    """Node 9 links with 5 alone, but the smallest that it shares a group with is 1."""
+    signatures = spark.createDataFrame([(1, 1), (1, 9), (2, 5), (2, 9)], "key bigint, node bigint")
+    items = spark.createDataFrame([(n, n, [0]) for n in (1, 5, 9)], "node bigint, size bigint, sketch array<bigint>")
+    found = linkage.linked_components(
+        signatures, items, lambda a, b: F.lit(True), lambda size, sketch, sizes, sketches: size == size,
+        lambda pairs: pairs.where("a = 5"),
+    )
+    assert {tuple(r) for r in found.collect()} == {(5, 5), (9, 5)}
+
+
+def test_scratch_ends_with_its_block(spark):
+    before = staged(spark)
+    with components.scratch(spark):
+        with components.scratch(spark):
+            components.stored(spark.range(3), "short")
+            kept = components.stored(spark.range(5), "long", lasting=True)
+        assert len(staged(spark) - before) == 1 and kept.count() == 5
+    assert staged(spark) == before
+
+
+def test_shuffles_of_what_is_stored_are_removed(spark):
+    disk = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    before = disk.getAllFiles().size()
+    components.stored(spark.range(1000).groupBy(F.col("id") % 7).count(), "counts")
+    # Removal does not hold up the job.
+    for _ in range(50):
+        if disk.getAllFiles().size() <= before:
+            return
+        time.sleep(0.1)
+    raise AssertionError("files of the shuffle are left")
