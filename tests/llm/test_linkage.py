@@ -45,6 +45,19 @@ def test_pairs_that_stars_leave_over_are_verified(spark):
     assert {tuple(r) for r in found.collect()} == {(5, 5), (9, 5)}
 
 
+def test_only_items_of_open_groups_are_shuffled(spark, tmp_path):
+    """Of a thousand items two are in an open group; the others are left out before the join."""
+    spark.range(1000).select(
+        F.col("id").alias("node"), F.col("id").alias("size"), F.expr("array(0L)").alias("sketch")
+    ).write.parquet(str(tmp_path / "items"))
+    items = spark.read.parquet(str(tmp_path / "items"))
+    rest = spark.createDataFrame([(7, 3, 3, 2), (7, 5, 5, 2)], "key bigint, node bigint, component bigint, members bigint")
+    with components.scratch(spark):
+        pairs = linkage._tile_pairs(rest, items, lambda size, sketch, sizes, sketches: size != sizes, False)
+        assert "LeftSemi" in pairs._jdf.queryExecution().optimizedPlan().toString()
+        assert {tuple(r) for r in pairs.collect()} == {(3, 5)}
+
+
 def test_scratch_ends_with_its_block(spark):
     before = staged(spark)
     with components.scratch(spark):

@@ -10,10 +10,11 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from orderloom.llm import line_dedup, ngram_join
+from orderloom.llm import line_dedup, linkage, ngram_join
 from orderloom.llm import words as words_module
 from orderloom.llm.ngram_join import (
     Tiles, document_sets, ngram_components, node_of, one_per_component, overlap, parity_bitmap,
+    sketch_words,
 )
 from tests.conftest import rows
 from tests.llm.conftest import SENTENCE, TEXTS
@@ -85,6 +86,43 @@ def test_components_against_loops(spark, n, percent, seed):
     assert rows(found) == sorted(components_by_loops(docs, n, percent), key=repr)
 
 
+def test_long_texts_with_a_common_passage_are_ruled_out_by_bitmaps(spark, monkeypatch):
+    """Twelve long texts share a fifth, and only one of them has a near copy."""
+    rng, verified = random.Random(7), []
+    passage = [f"p{i}" for i in range(600)]
+    texts = [passage + [f"u{rng.randrange(10**9)}" for _ in range(2400)] for _ in range(12)]
+    docs = list(enumerate([*(" ".join(t) for t in texts), edited(rng, texts[5], 20)]))
+    true = ngram_join._verified
+
+    def counted(rows, items, pairs, n, percent):
+        verified.extend(tuple(sorted(p)) for p in pairs.collect())
+        return true(rows, items, pairs, n, percent)
+
+    monkeypatch.setattr(ngram_join, "_verified", counted)
+    df = spark.createDataFrame(docs, "doc_id bigint, text string")
+    found = ngram_components(df, 5, 80).select("doc_id", "n_shingles", "component_id")
+    assert rows(found) == sorted(components_by_loops(docs, 5, 80), key=repr)
+    assert len(set(verified)) == 1
+
+
+@pytest.mark.parametrize("size,more", [(1400, 0), (1400, 200), (3000, 400), (200_000, 30_000)])
+def test_bitmaps_of_unlike_sizes_are_folded(spark, size, more):
+    rng = np.random.default_rng(size + more)
+    x = np.unique(rng.integers(0, 1 << 63, size, dtype=np.uint64) * np.uint64(2))
+    y = np.unique(np.concatenate([x, rng.integers(0, 1 << 63, more, dtype=np.uint64) * np.uint64(2) + np.uint64(1)]))
+    words = [sketch_words(len(s), 80) for s in (x, y)]
+    sketches = [parity_bitmap(s, w) for s, w in zip((x, y), words)]
+    least = min(words)
+    expected = np.bitwise_count((parity_bitmap(x, least) ^ parity_bitmap(y, least)).view(np.uint64)).sum()
+    assert expected <= more and max(words) <= 1024
+    widths, folded = linkage._folded(pa.array([[1], *(s.tolist() for s in sketches)], pa.list_(pa.int64())).slice(1))
+    place, all_of_least = folded[least]
+    assert widths.tolist() == words
+    assert linkage.numpy_hamming(all_of_least[place[0]], all_of_least[place[1]]) == expected
+    df = spark.createDataFrame([(s.tolist(), t.tolist()) for s, t in (sketches, sketches[::-1])], "a array<bigint>, b array<bigint>")
+    assert [r[0] for r in df.select(linkage.folded_hamming("a", "b", 16)).collect()] == [expected] * 2
+
+
 @pytest.mark.parametrize("percent", [80, 90])
 def test_linked_sets_share_a_signature_and_pass_the_bitmap(percent):
     rng, tiles = random.Random(percent), Tiles(percent)
