@@ -3,6 +3,7 @@
 import glob
 import time
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from orderloom.llm import components, linkage
@@ -45,6 +46,53 @@ def test_pairs_that_stars_leave_over_are_verified(spark):
     assert {tuple(r) for r in found.collect()} == {(5, 5), (9, 5)}
 
 
+def linked_in_one_group(spark, count, link):
+    """Components of ``count`` items that share a group and all may link, and the pairs of every verification."""
+    signatures = spark.range(count).select(F.lit(1).cast("bigint").alias("key"), F.col("id").alias("node"))
+    items = spark.range(count).select(F.col("id").alias("node"), F.col("id").alias("size"), F.expr("array(0L)").alias("sketch"))
+    verified = []
+
+    def verify(pairs):
+        verified.append({tuple(r) for r in pairs.collect()})
+        return pairs.where(link)
+
+    found = linkage.linked_components(
+        signatures, items, lambda a, b: F.lit(True), lambda size, sketch, sizes, sketches: size == size, verify
+    )
+    return {tuple(r) for r in found.collect()}, verified
+
+
+def test_few_pairs_of_open_groups_are_verified_in_one_round(spark):
+    """Item 0 links with none, the others with those of their parity: 28 pairs of 8 items are sent at once."""
+    found, verified = linked_in_one_group(spark, 9, "a > 0 AND a % 2 = b % 2")
+    assert found == {(i, 2 - i % 2) for i in range(1, 9)}
+    assert [len(x) for x in verified] == [8, 28]
+    assert verified[1] == {(a, b) for b in range(1, 9) for a in range(1, b)}
+
+
+def test_many_pairs_of_open_groups_are_sent_sparingly(spark):
+    """The same of 39 items: 741 pairs, more than eight an item. The last round has those that are left."""
+    found, verified = linked_in_one_group(spark, 40, "a > 0 AND a % 2 = b % 2")
+    assert found == {(i, 2 - i % 2) for i in range(1, 40)}
+    sent = [len(x) for x in verified]
+    assert sent[:2] == [39, 38] and 2 < len(sent) <= 4
+    assert all(n < 39 for n in sent[1:-1])
+
+
+def test_open_stars_are_whole_if_no_pair_is_left_out(spark):
+    stars = spark.createDataFrame([(1, 9), (1, 8), (5, 7), (5, 6), (4, 6), (2, 3)], "a bigint, b bigint")
+    known = spark.createDataFrame([(8, 8), (9, 8), (4, 4), (5, 4), (6, 6), (7, 6), (2, 2), (3, 2)], "node bigint, component bigint")
+    found = {tuple(r) for r in linkage._open_stars(stars, known, True).collect()}
+    # Of three pairs that join 4 and 6 two are sent; 2 and 3 are joined already.
+    assert found == {(1, 8, True), (1, 9, True), (4, 6, False), (5, 7, False)}
+    assert linkage._open_stars(stars, known, False).count() == 5
+
+
+def test_a_pair_is_whole_if_it_is_in_all_tiles():
+    nodes, whole = linkage._unique_pairs(np.array([[1, 2], [3, 4], [1, 2]]), np.array([True, True, False]))
+    assert nodes.tolist() == [[1, 2], [3, 4]] and whole.tolist() == [False, True]
+
+
 def test_only_items_of_open_groups_are_shuffled(spark, tmp_path):
     """Of a thousand items two are in an open group; the others are left out before the join."""
     spark.range(1000).select(
